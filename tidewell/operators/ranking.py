@@ -1,68 +1,140 @@
 """Exact per-group row numbers without a hot partition.
 
 ``row_number() OVER (PARTITION BY label ORDER BY ...)`` sends a whole class to
-one task; with three classes, a third of the table lands in one task.  Here the
-rows are range-partitioned on (group, order keys), so a big group is spread over
-many tasks; each task numbers its own slice, and a tiny table of per-slice
-counts (at most partitions + groups rows) gives every slice its offset.
-
-The order keys should end in a unique key so the order is total; when they do
-not (quantiles, where tied values are interchangeable) numbers among ties are
-arbitrary but the multiset of (rank, value) pairs is still exact.
+one task; with three classes, a third of the table lands in one task.  Here
+every row gets a *slice* number that is a pure function of its order key and
+never decreases along the order.  Rows are numbered inside (group, slice) —
+many small windows — and a tiny table of per-(group, slice) counts gives every
+slice its offset.
+
+Slices come from the order key itself, never from ``spark_partition_id``:
+a value derived from the row is the same in every branch of a plan and after
+any recomputation (Spark's range partitioner seeds its sample by RDD id, so two
+branches over one range shuffle can disagree).
+
+* hash orders (the first order column is 32 hex chars of md5): the slice is the
+  hash prefix scaled to ``partitions`` — uniform, no sampling pass;
+* other orders: ``partitions - 1`` bounds on the whole order key, picked from a
+  seeded sample (at most ``partitions × 32`` rows reach the driver), in two
+  levels so a row is compared with about 2·√partitions bounds.  The order key
+  ends in a unique id, so even one value shared by a third of the rows is cut
+  into many slices.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PID = "__tw_pid"
+SLICE = "__tw_slice"
 LOCAL_RN = "__tw_local_rn"
 OFFSET = "__tw_offset"
 
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
 def default_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
     try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # pragma: no cover
         return 200
 
 
-def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
+def _hash_slice(h: Column, parts: int) -> Column:
+    # first 8 hex digits → [0, 2^32), scaled to [0, parts): monotone in the hash text
+    return F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") * parts / 4294967296.0).cast("int")
+
+
+def _sample_bounds(df: DataFrame, names: list[str], parts: int, seed: int = 42) -> list[tuple]:
+    n = df.count()
+    if n == 0 or parts <= 1:
+        return []
+    frac = min(1.0, parts * 32.0 / n)
+    rows = df.select(*names).sample(False, frac, seed).collect()
+    keys = sorted((tuple(r) for r in rows), key=_sort_key)
+    if not keys:
+        return []
+    step = len(keys) / parts
+    out = []
+    for i in range(1, parts):
+        b = keys[min(len(keys) - 1, int(i * step))]
+        if not out or _sort_key(b) > _sort_key(out[-1]):
+            out.append(b)
+    return out
+
+
+def _sort_key(t):
+    # Spark ascending order: NULLs first; strings by code point (= UTF-8 byte order)
+    return tuple((0, 0) if v is None else (1, v) for v in t)
+
+
+def _struct_lit(b, names, types):
+    return F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(b, names, types)])
+
+
+def _bounded_slice(df: DataFrame, names: list[str], bounds: list[tuple]) -> Column:
+    """slice = number of bounds ≤ key, searched in two levels (coarse, then fine)."""
+    if not bounds:
+        return F.lit(0)
+    types = [df.schema[n].dataType.simpleString() for n in names]
+    arr_type = "array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(names, types)) + ">>"
+    key = F.struct(*[F.col(n).alias(n) for n in names])
+    width = max(1, int(math.sqrt(len(bounds))))
+    coarse = bounds[width - 1::width]
+    coarse_arr = F.array(*[_struct_lit(b, names, types) for b in coarse])
+    ci = F.size(F.filter(coarse_arr, lambda b: b <= key))
+    # fine bounds of coarse bucket g: those strictly between coarse g-1 and coarse g
+    fine = []
+    for g in range(len(coarse) + 1):
+        lo = g * width
+        hi = min(len(bounds), lo + width - 1) if g < len(coarse) else len(bounds)
+        fine.append(F.array(*[_struct_lit(b, names, types) for b in bounds[lo:hi]]) if hi > lo
+                    else F.array().cast(arr_type))
+    fi = F.size(F.filter(F.element_at(F.array(*fine), ci + 1), lambda b: b <= key))
+    return (ci * width + fi).cast("int")
+
+
+def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                rank_col: str = "rn", count_col: str | None = None,
-               partitions: int | None = None) -> DataFrame:
-    """Add ``rank_col`` = 1-based row number within ``group_cols`` by ``order_cols`` (ascending
-    unless a Column with ``.desc()`` is passed), and optionally ``count_col`` = group size."""
-    n_parts = partitions or default_partitions(df)
+               partitions: int | None = None, hash_ordered: bool | None = None,
+               weight_col: str | None = None) -> DataFrame:
+    """Add ``rank_col`` = 1-based row number within ``group_cols`` by ascending
+    ``order_cols`` (column names forming a total order, e.g. ending in a unique id),
+    and optionally ``count_col`` = group size.  With ``weight_col`` the rank is the
+    running sum of the weights (inclusive) and the size is the total weight."""
+    parts = partitions or default_partitions(df)
     groups = list(group_cols)
-    order = _cols(order_cols)
-    tagged = (df.repartitionByRange(n_parts, *_cols(groups), *order)
-                .withColumn(PID, F.spark_partition_id()))
-    w_local = Window.partitionBy(PID, *groups).orderBy(*order)
-    numbered = tagged.withColumn(LOCAL_RN, F.row_number().over(w_local))
-    # per (group, slice) counts: a table of <= partitions + groups rows
-    slices = tagged.groupBy(*groups, PID).agg(F.count(F.lit(1)).alias("__tw_n"))
-    w_cum = Window.partitionBy(*groups).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    order = list(order_cols)
+    if hash_ordered is None:
+        first = df.schema[order[0]]
+        hash_ordered = first.dataType.simpleString() == "string" and order[0].startswith("__h")
+    if hash_ordered:
+        tagged = df.withColumn(SLICE, _hash_slice(F.col(order[0]), parts))
+    else:
+        bounds = _sample_bounds(df, order, parts)
+        tagged = df.withColumn(SLICE, _bounded_slice(df, order, bounds))
+    w_local = Window.partitionBy(*groups, SLICE).orderBy(*order)
+    if weight_col:
+        w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        numbered = tagged.withColumn(LOCAL_RN, F.sum(F.col(weight_col)).over(w_run))
+        slices = tagged.groupBy(*groups, SLICE).agg(F.sum(F.col(weight_col)).alias("__tw_n"))
+    else:
+        numbered = tagged.withColumn(LOCAL_RN, F.row_number().over(w_local))
+        slices = tagged.groupBy(*groups, SLICE).agg(F.count(F.lit(1)).alias("__tw_n"))
+    w_cum = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.withColumn(OFFSET, F.coalesce(F.sum("__tw_n").over(w_cum), F.lit(0)))
     if count_col:
         offsets = offsets.withColumn(count_col, F.sum("__tw_n").over(Window.partitionBy(*groups)))
     offsets = offsets.drop("__tw_n")
     # NULL groups are groups too: join null-safely on renamed copies
     ren = {g: f"__tw_g{i}" for i, g in enumerate(groups)}
-    offsets = offsets.withColumnsRenamed({**ren, PID: PID + "_o"}) if groups else \
-        offsets.withColumnRenamed(PID, PID + "_o")
-    cond = [F.col(PID) == F.col(PID + "_o")] + [F.col(g).eqNullSafe(F.col(ren[g])) for g in groups]
-    out = (numbered.join(offsets, on=cond, how="inner")
-                   .withColumn(rank_col, (F.col(OFFSET) + F.col(LOCAL_RN)).cast("bigint"))
-                   .drop(PID, PID + "_o", LOCAL_RN, OFFSET, *ren.values()))
-    return out
+    ren[SLICE] = SLICE + "_o"
+    offsets = offsets.withColumnsRenamed(ren)
+    cond = [F.col(SLICE) == F.col(SLICE + "_o")] + [F.col(g).eqNullSafe(F.col(ren[g])) for g in groups]
+    return (numbered.join(offsets, on=cond, how="inner")
+                    .withColumn(rank_col, (F.col(OFFSET) + F.col(LOCAL_RN)).cast("bigint"))
+                    .drop(SLICE, LOCAL_RN, OFFSET, *ren.values()))
 
 
 def group_counts(df: DataFrame, group_cols: Sequence[str], count_col: str = "n") -> DataFrame:

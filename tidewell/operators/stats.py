@@ -122,17 +122,23 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    .withColumn("p", F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
                                                  F.col("__i") + 1))
                    .select(*key, "p", "value"))
-    ranked = group_rank(long, key, ["value"], rank_col="__rk", count_col="__n")
-    pos = F.array(*[F.lit(float(p)) for p in probs])
-    # for each p: h = (n-1)·p; need ranks floor(h)+1 and ceil(h)+1
-    wanted = (ranked.withColumn("p", F.explode(pos))
-                    .withColumn("__h", (F.col("__n") - 1) * F.col("p"))
-                    .withColumn("__lo", F.floor("__h") + 1)
-                    .withColumn("__hi", F.ceil("__h") + 1)
-                    .filter((F.col("__rk") == F.col("__lo")) | (F.col("__rk") == F.col("__hi"))))
-    out = (wanted.groupBy(*key, "p", "__h", "__lo")
-                 .agg(F.max(F.when(F.col("__rk") == F.col("__lo"), F.col("value"))).alias("__vlo"),
-                      F.max(F.when(F.col("__rk") == F.col("__hi"), F.col("value"))).alias("__vhi")))
+    # distinct values with multiplicities: copies of one value collapse in the partial
+    # aggregate, and (group, value) is a total order for the weighted rank
+    dv = long.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = group_rank(dv, key, ["value"], rank_col="__cum", count_col="__n", weight_col="__c",
+                        hash_ordered=False)
+    # a distinct value covers ranks (__cum - __c, __cum]; position p needs ranks
+    # floor(h)+1 and ceil(h)+1 with h = (n-1)·p
+    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
+    cand = (ranked.withColumn("p", F.explode(probs_arr))
+                  .withColumn("__h", (F.col("__n") - 1) * F.col("p"))
+                  .withColumn("__lo", (F.floor("__h") + 1).cast("bigint"))
+                  .withColumn("__hi", (F.ceil("__h") + 1).cast("bigint")))
+    covers = lambda r: (F.col("__cum") - F.col("__c") < F.col(r)) & (F.col(r) <= F.col("__cum"))
+    hits = cand.filter(covers("__lo") | covers("__hi"))
+    out = (hits.groupBy(*key, "p", "__h", "__lo")
+               .agg(F.max(F.when(covers("__lo"), F.col("value"))).alias("__vlo"),
+                    F.max(F.when(covers("__hi"), F.col("value"))).alias("__vhi")))
     frac = F.col("__h") - (F.col("__lo") - 1)
     return out.select(*key, "p", (F.col("__vlo") + frac * (F.col("__vhi") - F.col("__vlo"))).alias("value"))
 

@@ -171,3 +171,34 @@ def with_ctes(names: list[str], body: str, extra: list[str] | None = None) -> st
     """``WITH <fixture ctes>, <extra ctes> <body>`` for the oracle."""
     parts = [SQL[n] for n in names] + list(extra or [])
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+def embn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``emb`` with NULLs injected in three components (for imputation)."""
+    e = emb(spark, sf_dir)
+    k = F.col("id").cast("bigint")
+    return e.withColumns({
+        "e0": F.when(k % 7 == 3, None).otherwise(F.col("e0")),
+        "e1": F.when(k % 11 == 5, None).otherwise(F.col("e1")),
+        "e2": F.when(k % 13 == 4, None).otherwise(F.col("e2")),
+    })
+
+
+EMBN_SQL = """embn AS (
+  SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 3 THEN NULL ELSE e0 END AS e0,
+         CASE WHEN CAST(id AS BIGINT) % 11 = 5 THEN NULL ELSE e1 END AS e1,
+         CASE WHEN CAST(id AS BIGINT) % 13 = 4 THEN NULL ELSE e2 END AS e2,
+         e3, e4, e5, e6, e7, label
+  FROM emb)"""
+SQL["embn"] = EMBN_SQL
+
+
+def sql_uniform(key_sql: str, salt: str | None = None, seed: int = 42) -> str:
+    """DuckDB text of :func:`tidewell.functions.columns.hash_uniform`."""
+    inner = f"'{seed}|' || {key_sql}" + (f" || '|{salt}'" if salt is not None else "")
+    return f"(CAST(('0x' || substr(md5({inner}), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def sql_hash(key_sql: str, salt: str | None = None, seed: int = 42) -> str:
+    inner = f"'{seed}|' || {key_sql}" + (f" || '|{salt}'" if salt is not None else "")
+    return f"md5({inner})"
