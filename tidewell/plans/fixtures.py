@@ -202,3 +202,73 @@ def sql_uniform(key_sql: str, salt: str | None = None, seed: int = 42) -> str:
 def sql_hash(key_sql: str, salt: str | None = None, seed: int = 42) -> str:
     inner = f"'{seed}|' || {key_sql}" + (f" || '|{salt}'" if salt is not None else "")
     return f"md5({inner})"
+
+
+# ---------------------------------------------------------------- predictions without a model
+CLASSES3 = ("A", "N", "R")
+
+
+def _pexprs():
+    return {"A": 1 + F.col("l_partkey") % 5, "N": 1 + F.col("l_suppkey") % 7, "R": 1 + F.col("l_orderkey") % 3}
+
+
+def _qexprs():
+    return {"A": 1 + F.col("l_linenumber") % 4, "N": 1 + F.col("l_partkey") % 3, "R": 1 + F.col("l_suppkey") % 5}
+
+
+def _id_col():
+    s = lambda x: F.col(x).cast("string")
+    return F.concat_ws("|", s("l_orderkey"), s("l_partkey"), s("l_suppkey"), s("l_linenumber")).alias("id")
+
+
+def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, actual, predicted): actual = lineitem label (with the 3-row class RARE, never
+    predicted); predicted = argmax of the key-derived probabilities (ties → first class)."""
+    l = read(spark, sf_dir, "lineitem")
+    p = _pexprs()
+    pred = (F.when((p["A"] >= p["N"]) & (p["A"] >= p["R"]), "A").when(p["N"] >= p["R"], "N").otherwise("R"))
+    return l.select(_id_col(), F.when(F.col("l_orderkey") == 0, "RARE").otherwise(F.col("l_returnflag")).alias("actual"),
+                    pred.alias("predicted"))
+
+
+def probs(spark: SparkSession, sf_dir: str, student: bool = False) -> DataFrame:
+    """(id, class, p): three positive key expressions divided by their sum."""
+    l = read(spark, sf_dir, "lineitem")
+    e = _qexprs() if student else _pexprs()
+    tot = e["A"] + e["N"] + e["R"]
+    return l.select(_id_col(), F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (v / tot).alias("p"))
+                                                   for k, v in e.items()])).alias("kv")).select("id", "kv.class", "kv.p")
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preds(spark, sf_dir).select("id", F.col("actual").alias("label"))
+
+
+_SQL_ID = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), "
+           "CAST(l_linenumber AS VARCHAR))")
+_PA, _PN, _PR = "(1 + l_partkey % 5)", "(1 + l_suppkey % 7)", "(1 + l_orderkey % 3)"
+_QA, _QN, _QR = "(1 + l_linenumber % 4)", "(1 + l_partkey % 3)", "(1 + l_suppkey % 5)"
+PREDS_SQL = f"""preds AS (
+  SELECT {_SQL_ID} AS id, CASE WHEN l_orderkey = 0 THEN 'RARE' ELSE l_returnflag END AS actual,
+         CASE WHEN {_PA} >= {_PN} AND {_PA} >= {_PR} THEN 'A' WHEN {_PN} >= {_PR} THEN 'N' ELSE 'R' END AS predicted
+  FROM lineitem)"""
+PROBS_SQL = "probs AS (\n" + "\n  UNION ALL ".join(
+    f"SELECT {_SQL_ID} AS id, '{k}' AS class, CAST({v} AS DOUBLE) / ({_PA} + {_PN} + {_PR}) AS p FROM lineitem"
+    for k, v in (("A", _PA), ("N", _PN), ("R", _PR))) + ")"
+SPROBS_SQL = "sprobs AS (\n" + "\n  UNION ALL ".join(
+    f"SELECT {_SQL_ID} AS id, '{k}' AS class, CAST({v} AS DOUBLE) / ({_QA} + {_QN} + {_QR}) AS p FROM lineitem"
+    for k, v in (("A", _QA), ("N", _QN), ("R", _QR))) + ")"
+TRUTH_SQL = "truth AS (SELECT id, actual AS label FROM preds)"
+SQL.update({"preds": PREDS_SQL, "probs": PROBS_SQL, "sprobs": SPROBS_SQL, "truth": TRUTH_SQL})
+
+
+def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, y, pred): price against a quantity-based guess."""
+    l = read(spark, sf_dir, "lineitem")
+    # price in thousands, so sums of squares stay within double precision at 6 places
+    return l.select(_id_col(), (F.col("l_extendedprice") / 1000.0).alias("y"), (F.col("l_quantity") * 1.5).alias("pred"))
+
+
+REG_SQL = (f"reg AS (SELECT {_SQL_ID} AS id, l_extendedprice / CAST(1000.0 AS DOUBLE) AS y, "
+           f"l_quantity * CAST(1.5 AS DOUBLE) AS pred FROM lineitem)")
+SQL["reg"] = REG_SQL
