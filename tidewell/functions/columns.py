@@ -56,7 +56,9 @@ def minkowski(left: Sequence[Column], right: Sequence[Column], p: float = 2.0) -
         total = term if total is None else total + term
     if total is None:
         return F.lit(0.0)
-    return total if p == 1 else F.pow(total, F.lit(1.0 / p))
+    if p == 1:
+        return total
+    return F.sqrt(total) if p == 2 else F.pow(total, F.lit(1.0 / p))
 
 
 def row_max(cols: Sequence[str]) -> Column:

@@ -272,3 +272,40 @@ def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 REG_SQL = (f"reg AS (SELECT {_SQL_ID} AS id, l_extendedprice / CAST(1000.0 AS DOUBLE) AS y, "
            f"l_quantity * CAST(1.5 AS DOUBLE) AS pred FROM lineitem)")
 SQL["reg"] = REG_SQL
+
+
+def probs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, p_A, p_N, p_R) — the teacher probabilities as one column per class."""
+    l = read(spark, sf_dir, "lineitem")
+    e = _pexprs()
+    tot = e["A"] + e["N"] + e["R"]
+    return l.select(_id_col(), F.when(F.col("l_orderkey") == 0, "RARE").otherwise(F.col("l_returnflag")).alias("label"),
+                    *[(v / tot).alias(f"p_{k}") for k, v in e.items()])
+
+
+PWIDE_SQL = (f"pw AS (SELECT {_SQL_ID} AS id, CASE WHEN l_orderkey = 0 THEN 'RARE' ELSE l_returnflag END AS label, "
+             + ", ".join(f"CAST({v} AS DOUBLE) / ({_PA} + {_PN} + {_PR}) AS p_{k}"
+                         for k, v in (("A", _PA), ("N", _PN), ("R", _PR))) + " FROM lineitem)")
+SQL["pw"] = PWIDE_SQL
+
+
+def cust_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cu = read(spark, sf_dir, "customer")
+    return cu.select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_acctbal", "c_mktsegment")
+
+
+def cust_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(op, id, col, value): edits for every 50th customer, deletes for the next, and
+    one added row per supplier."""
+    cu = read(spark, sf_dir, "customer")
+    su = read(spark, sf_dir, "supplier")
+    k = F.col("c_custkey")
+    cid = k.cast("string")
+    e1 = cu.filter(k % 50 == 1).select(F.lit("edit").alias("op"), cid.alias("id"), F.lit("c_acctbal").alias("col"),
+                                       F.lit("0.0").alias("value"))
+    e2 = cu.filter(k % 50 == 1).select(F.lit("edit"), cid, F.lit("c_mktsegment"), F.lit("EDITED"))
+    d = cu.filter(k % 50 == 2).select(F.lit("delete"), cid, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    sid = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    a1 = su.select(F.lit("add"), sid, F.lit("c_name"), F.col("s_name"))
+    a2 = su.select(F.lit("add"), sid, F.lit("c_acctbal"), F.col("s_acctbal").cast("string"))
+    return e1.union(e2).union(d).union(a1).union(a2)

@@ -334,3 +334,98 @@ def q_problem_type(spark, sf):
 def q_select_numeric(spark, sf):
     """Numeric columns of the meta table."""
     return G.select_by_type(X.meta(spark, sf), "numeric")
+
+
+# ------------------------------------------------------------------ reduction, ranking, edits
+
+from tidewell.operators import edit as U  # noqa: E402
+from tidewell.operators import reduce as W  # noqa: E402
+
+_EMBF = list(X.EMB_FEATURES)
+_RANKED = ("ranked AS (SELECT e.*, row_number() OVER (PARTITION BY e.label ORDER BY sqrt(" + " + ".join(
+    f"coalesce(pow(abs(e.e{i} - c.e{i}), 2), 0)" for i in range(8)) + "), e.id) AS rn, "
+    "count(*) OVER (PARTITION BY e.label) AS n, round_even(count(*) OVER (PARTITION BY e.label) * 0.8, 0) AS m "
+    "FROM emb e JOIN (SELECT label, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(8)) +
+    " FROM emb GROUP BY label) c ON e.label = c.label)")
+_EMB_OUT = "SELECT id, label, " + ", ".join(f"round(e{i}, 6) AS e{i}" for i in range(8)) + " FROM ranked WHERE "
+
+
+def _reduced(method):
+    def run(spark, sf):
+        return rounded(W.reduce_per_class(X.emb(spark, sf), X.EMB_SPEC, 0.8, method).select("id", "label", *_EMBF))
+    return run
+
+
+register("reduce_first", X.with_ctes(["emb"], _EMB_OUT + "rn <= m", [_RANKED]), headline=True)(_reduced("first"))
+register("reduce_last", X.with_ctes(["emb"], _EMB_OUT + "rn > n - m", [_RANKED]))(_reduced("last"))
+register("reduce_proportion", X.with_ctes(["emb"], _EMB_OUT +
+         "(n = m OR (rn - 1) % round_even(n / (n - m), 0) <> 0)", [_RANKED]))(_reduced("proportion"))
+
+_PMAX = "pm AS (SELECT *, greatest(p_A, p_N, p_R) AS p_max FROM pw)"
+
+
+@register("quantile_cut", X.with_ctes(["pw"], """SELECT id, label, round(p_max, 6) AS p_max FROM pm
+WHERE p_max >= (SELECT quantile_cont(p_max, 0.75) FROM pm)""", [_PMAX]))
+def q_quantile_cut(spark, sf):
+    """Rows whose top probability reaches the 75 % point of all row maxima."""
+    out = W.quantile_cut(X.probs_wide(spark, sf), ["p_A", "p_N", "p_R"], "75%")
+    return rounded(out.select("id", "label", "p_max"))
+
+
+@register("quantile_cut_mean", X.with_ctes(["pw"], """SELECT id, label, round(p_max, 6) AS p_max FROM pm
+WHERE p_max >= (SELECT avg(p_max) FROM pm)""", [_PMAX]))
+def q_quantile_cut_mean(spark, sf):
+    """W7 with the 'mean' statistic."""
+    out = W.quantile_cut(X.probs_wide(spark, sf), ["p_A", "p_N", "p_R"], "mean")
+    return rounded(out.select("id", "label", "p_max"))
+
+
+@register("in_band", X.with_ctes(["pw"], """SELECT id, label, round(p_max, 6) AS p_max FROM pm
+WHERE p_max BETWEEN (SELECT quantile_cont(p_max, 0.25) FROM pm) AND (SELECT quantile_cont(p_max, 0.75) FROM pm)""",
+          [_PMAX]))
+def q_in_band(spark, sf):
+    """Row maxima between their 25 % and 75 % points."""
+    pm = G.with_row_max(X.probs_wide(spark, sf), ["p_A", "p_N", "p_R"])
+    return rounded(W.in_band(pm, "p_max", 0.25, 0.75).select("id", "label", "p_max"))
+
+
+@register("append_rows", X.with_ctes(["ephys", "morph"],
+          "SELECT id, " + ", ".join(f"round({x}, 6) AS {x}" for x in EPH + MOR) +
+          " FROM (SELECT * FROM ephys UNION ALL BY NAME SELECT * FROM morph) t"))
+def q_append(spark, sf):
+    """The two modality tables stacked by name (missing columns NULL)."""
+    return rounded(U.append_rows(X.ephys(spark, sf), X.morph(spark, sf)))
+
+
+@register("union_keep", X.with_ctes(["emb"], "SELECT id, label, " + ", ".join(f"round(e{i}, 6) AS e{i}" for i in range(8)) +
+          " FROM (SELECT * FROM emb WHERE e0 > 0 UNION ALL SELECT * FROM emb WHERE label IN ('1', '2')) t"))
+def q_union_keep(spark, sf):
+    """Confident rows (e0 > 0) plus all rows of classes 1 and 2, duplicates kept."""
+    e = X.emb(spark, sf)
+    return rounded(U.union_keep(e.filter(F.col("e0") > 0), e, ["1", "2"]))
+
+
+@register("apply_changes", """
+WITH cu AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_acctbal, c_mktsegment, c_custkey FROM customer)
+SELECT id, c_name, round(CASE WHEN c_custkey % 50 = 1 THEN 0.0 ELSE c_acctbal END, 6) AS c_acctbal,
+       CASE WHEN c_custkey % 50 = 1 THEN 'EDITED' ELSE c_mktsegment END AS c_mktsegment
+FROM cu WHERE c_custkey % 50 <> 2
+UNION ALL
+SELECT 'S' || CAST(s_suppkey AS VARCHAR), s_name, round(CAST(CAST(s_acctbal AS VARCHAR) AS DOUBLE), 6), NULL FROM supplier""")
+def q_apply_changes(spark, sf):
+    """A change set (edits, deletes, additions) applied to the customer table."""
+    return rounded(U.apply_changes(X.cust_table(spark, sf), X.cust_changes(spark, sf)))
+
+
+@register("align_columns", X.with_ctes(["ephys", "morph"],
+          "SELECT coalesce(e.id, m.id) AS id, " + ", ".join(f"round(e.{x}, 6) AS {x}" for x in EPH) + ", " +
+          ", ".join(f"round(m.{x}, 6) AS {x}" for x in MOR) + " FROM ephys e FULL OUTER JOIN morph m ON e.id = m.id"))
+def q_align(spark, sf):
+    """Column-wise alignment of two keyed tables (full outer join)."""
+    return rounded(U.align_columns(X.ephys(spark, sf), X.morph(spark, sf)))
+
+
+@register("select_columns", X.with_ctes(["li"], "SELECT id, round(price, 6) AS price, round(tax, 6) AS tax, label FROM li"))
+def q_select_columns(spark, sf):
+    """Key, two chosen features, label."""
+    return rounded(U.select_columns(X.li(spark, sf), ["price", "tax"]))
