@@ -41,11 +41,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _id_col():
+    """Line key: order, part, supplier, line number and ship day (unique at every scale)."""
+    s = lambda x: F.col(x).cast("string")
+    return F.concat_ws("|", s("l_orderkey"), s("l_partkey"), s("l_suppkey"), s("l_linenumber"),
+                       F.date_format("l_shipdate", "yyyyMMdd")).alias("id")
+
+
 def li(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem")
-    s = lambda x: F.col(x).cast("string")
     return l.select(
-        F.concat_ws("|", s("l_orderkey"), s("l_partkey"), s("l_suppkey"), s("l_linenumber")).alias("id"),
+        _id_col(),
         F.when(F.col("l_partkey") % 7 == 3, None).otherwise(F.col("l_quantity")).alias("quantity"),
         F.when(F.col("l_suppkey") % 11 == 5, None).otherwise(F.col("l_extendedprice")).alias("price"),
         F.when(F.col("l_orderkey") % 13 == 4, None).otherwise(F.col("l_discount")).alias("discount"),
@@ -56,7 +62,7 @@ def li(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LI_SQL = """li AS (
   SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR),
-                   CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS id,
+                   CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), strftime(l_shipdate, '%Y%m%d')) AS id,
          CASE WHEN l_partkey % 7 = 3 THEN NULL ELSE l_quantity END AS quantity,
          CASE WHEN l_suppkey % 11 = 5 THEN NULL ELSE l_extendedprice END AS price,
          CASE WHEN l_orderkey % 13 = 4 THEN NULL ELSE l_discount END AS discount,
@@ -216,9 +222,7 @@ def _qexprs():
     return {"A": 1 + F.col("l_linenumber") % 4, "N": 1 + F.col("l_partkey") % 3, "R": 1 + F.col("l_suppkey") % 5}
 
 
-def _id_col():
-    s = lambda x: F.col(x).cast("string")
-    return F.concat_ws("|", s("l_orderkey"), s("l_partkey"), s("l_suppkey"), s("l_linenumber")).alias("id")
+
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +249,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_ID = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), "
-           "CAST(l_linenumber AS VARCHAR))")
+           "CAST(l_linenumber AS VARCHAR), strftime(l_shipdate, '%Y%m%d'))")
 _PA, _PN, _PR = "(1 + l_partkey % 5)", "(1 + l_suppkey % 7)", "(1 + l_orderkey % 3)"
 _QA, _QN, _QR = "(1 + l_linenumber % 4)", "(1 + l_partkey % 3)", "(1 + l_suppkey % 5)"
 PREDS_SQL = f"""preds AS (
