@@ -98,12 +98,20 @@ def _bounded_slice(df: DataFrame, names: list[str], bounds: list[tuple]) -> Colu
 def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                rank_col: str = "rn", count_col: str | None = None,
                partitions: int | None = None, hash_ordered: bool | None = None,
-               weight_col: str | None = None) -> DataFrame:
+               weight_col: str | None = None, extra_sums: Sequence[str] = (),
+               materialize: bool = False) -> DataFrame:
     """Add ``rank_col`` = 1-based row number within ``group_cols`` by ascending
     ``order_cols`` (column names forming a total order, e.g. ending in a unique id),
     and optionally ``count_col`` = group size.  With ``weight_col`` the rank is the
-    running sum of the weights (inclusive) and the size is the total weight."""
+    running sum of the weights (inclusive) and the size is the total weight.  Each column
+    ``w`` of ``extra_sums`` adds ``cum_<w>`` (inclusive running sum in the same order) and
+    ``tot_<w>`` (group total).  ``materialize`` checkpoints the input first, for inputs
+    that are expensive to recompute (the sample, the numbering and the slice counts
+    each read it)."""
     parts = partitions or default_partitions(df)
+    if materialize:
+        from tidewell.session import cut_lineage
+        df = cut_lineage(df)
     groups = list(group_cols)
     order = list(order_cols)
     if hash_ordered is None:
@@ -115,26 +123,36 @@ def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[st
         bounds = _sample_bounds(df, order, parts)
         tagged = df.withColumn(SLICE, _bounded_slice(df, order, bounds))
     w_local = Window.partitionBy(*groups, SLICE).orderBy(*order)
+    w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if weight_col:
-        w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         numbered = tagged.withColumn(LOCAL_RN, F.sum(F.col(weight_col)).over(w_run))
-        slices = tagged.groupBy(*groups, SLICE).agg(F.sum(F.col(weight_col)).alias("__tw_n"))
+        slice_aggs = [F.sum(F.col(weight_col)).alias("__tw_n")]
     else:
         numbered = tagged.withColumn(LOCAL_RN, F.row_number().over(w_local))
-        slices = tagged.groupBy(*groups, SLICE).agg(F.count(F.lit(1)).alias("__tw_n"))
+        slice_aggs = [F.count(F.lit(1)).alias("__tw_n")]
+    extra = list(extra_sums)
+    numbered = numbered.withColumns({f"__tw_l_{w}": F.sum(F.col(w)).over(w_run) for w in extra})
+    slice_aggs += [F.sum(F.col(w)).alias(f"__tw_s_{w}") for w in extra]
+    slices = tagged.groupBy(*groups, SLICE).agg(*slice_aggs)
     w_cum = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
     offsets = slices.withColumn(OFFSET, F.coalesce(F.sum("__tw_n").over(w_cum), F.lit(0)))
+    offsets = offsets.withColumns({f"__tw_o_{w}": F.coalesce(F.sum(f"__tw_s_{w}").over(w_cum), F.lit(0))
+                                   for w in extra})
+    offsets = offsets.withColumns({f"tot_{w}": F.sum(f"__tw_s_{w}").over(w_all) for w in extra})
     if count_col:
-        offsets = offsets.withColumn(count_col, F.sum("__tw_n").over(Window.partitionBy(*groups)))
-    offsets = offsets.drop("__tw_n")
+        offsets = offsets.withColumn(count_col, F.sum("__tw_n").over(w_all))
+    offsets = offsets.drop("__tw_n", *[f"__tw_s_{w}" for w in extra])
     # NULL groups are groups too: join null-safely on renamed copies
     ren = {g: f"__tw_g{i}" for i, g in enumerate(groups)}
     ren[SLICE] = SLICE + "_o"
     offsets = offsets.withColumnsRenamed(ren)
     cond = [F.col(SLICE) == F.col(SLICE + "_o")] + [F.col(g).eqNullSafe(F.col(ren[g])) for g in groups]
-    return (numbered.join(offsets, on=cond, how="inner")
-                    .withColumn(rank_col, (F.col(OFFSET) + F.col(LOCAL_RN)).cast("bigint"))
-                    .drop(SLICE, LOCAL_RN, OFFSET, *ren.values()))
+    out = (numbered.join(offsets, on=cond, how="inner")
+                   .withColumn(rank_col, (F.col(OFFSET) + F.col(LOCAL_RN)).cast("bigint")))
+    out = out.withColumns({f"cum_{w}": F.col(f"__tw_o_{w}") + F.col(f"__tw_l_{w}") for w in extra})
+    return out.drop(SLICE, LOCAL_RN, OFFSET, *ren.values(), *[f"__tw_o_{w}" for w in extra],
+                    *[f"__tw_l_{w}" for w in extra])
 
 
 def group_counts(df: DataFrame, group_cols: Sequence[str], count_col: str = "n") -> DataFrame:

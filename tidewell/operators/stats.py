@@ -126,7 +126,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     # aggregate, and (group, value) is a total order for the weighted rank
     dv = long.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("__c"))
     ranked = group_rank(dv, key, ["value"], rank_col="__cum", count_col="__n", weight_col="__c",
-                        hash_ordered=False)
+                        hash_ordered=False, materialize=True)
     # a distinct value covers ranks (__cum - __c, __cum]; position p needs ranks
     # floor(h)+1 and ceil(h)+1 with h = (n-1)·p
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
