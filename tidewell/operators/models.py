@@ -81,7 +81,7 @@ def _estimator(family: str, n_classes: int, n_features: int, seed: int, weight_c
     if family in ("NeuralNetTorch", "NeuralNetFastAI"):
         hidden = [64, 32] if family == "NeuralNetTorch" else [32]
         kw.pop("weightCol", None)
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=200,
+        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=100,
                                               featuresCol="features_s", labelCol="__y", seed=seed)
     if family == "LR":
         kw.pop("seed")
