@@ -28,6 +28,8 @@ from tidewell.spec import Spec
 FAMILIES = ("RandomForestGini", "RandomForestEntr", "ExtraTreesGini", "ExtraTreesEntr", "LightGBM",
             "LightGBMXT", "LightGBMLarge", "CatBoost", "XGBoost", "NeuralNetTorch", "NeuralNetFastAI",
             "LR", "KNeighborsUnif", "KNeighborsDist")
+# more tree nodes per pass over the data, node ids cached between levels
+TREE_KW = dict(maxMemoryInMB=1024, cacheNodeIds=True)
 WEIGHTED = {"RandomForestGini", "RandomForestEntr", "ExtraTreesGini", "ExtraTreesEntr", "LightGBM",
             "LightGBMXT", "LightGBMLarge", "CatBoost", "XGBoost", "LR"}
 
@@ -61,19 +63,19 @@ def _estimator(family: str, n_classes: int, n_features: int, seed: int, weight_c
         kw["weightCol"] = weight_col
     if family in ("RandomForestGini", "RandomForestEntr"):
         return RandomForestClassifier(impurity="gini" if family.endswith("Gini") else "entropy",
-                                      numTrees=100, maxDepth=12, **kw)
+                                      numTrees=100, maxDepth=12, **TREE_KW, **kw)
     if family in ("ExtraTreesGini", "ExtraTreesEntr"):
         # no random thresholds in Spark: whole-sample trees with sqrt feature subsets
         return RandomForestClassifier(impurity="gini" if family.endswith("Gini") else "entropy",
                                       numTrees=100, maxDepth=12, bootstrap=False,
-                                      featureSubsetStrategy="sqrt", **kw)
+                                      featureSubsetStrategy="sqrt", **TREE_KW, **kw)
     if family in ("LightGBM", "LightGBMXT", "LightGBMLarge", "CatBoost", "XGBoost"):
         depth = {"LightGBMLarge": 8, "LightGBMXT": 4, "CatBoost": 6}.get(family, 5)
         iters = {"LightGBMLarge": 60}.get(family, 40)
         gkw = dict(kw)
         gkw.pop("labelCol")
         gkw.pop("featuresCol")
-        base = GBTClassifier(maxDepth=depth, maxIter=iters, stepSize=0.1,
+        base = GBTClassifier(maxDepth=depth, maxIter=iters, stepSize=0.1, **TREE_KW,
                              subsamplingRate=0.8 if family == "LightGBMXT" else 1.0, **gkw)
         # the binary models of the classes are fit concurrently (one Spark job each)
         ovr = dict(classifier=base, featuresCol="features", labelCol="__y", parallelism=min(8, max(1, n_classes)))
