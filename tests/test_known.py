@@ -237,3 +237,16 @@ def test_auc_of_perfect_scores(spark):
 def test_distinct_sf_medium_available():
     import os
     assert os.path.exists(f"{MEDIUM}/lineitem.parquet")
+
+
+def test_smotenc_invariants(spark):
+    d = X.dcat(spark, SMALL)
+    out = O.smotenc(d, Spec("id", "label", ("n_chars", "n_words")), ["lang", "source"], 3)
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert len(set(counts.values())) == 1
+    syn = out.filter("synthetic")
+    box = d.groupBy("label").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    assert syn.join(box, "label").filter((F.col("n_chars") < F.col("lo") - 1e-9) |
+                                         (F.col("n_chars") > F.col("hi") + 1e-9)).count() == 0
+    langs = {r[0] for r in d.select("lang").distinct().collect()}
+    assert {r[0] for r in syn.select("lang").distinct().collect()} <= langs

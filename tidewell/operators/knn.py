@@ -47,7 +47,20 @@ def _pairwise(P: np.ndarray, B: np.ndarray) -> np.ndarray:
     return dist
 
 
-def _kernel(features: Sequence[str], k: int, exclude_self: bool, donors: bool, passthrough: Sequence[str]):
+def _pairwise_groups(P: np.ndarray, B: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """sqrt(Σ_g (Σ_{j∈g} |a_j − b_j|)²): an L1 distance inside each group of columns (one
+    categorical feature embedded as its class-probability vector), L2 across groups."""
+    out = np.zeros((P.shape[0], B.shape[0]))
+    for g in groups:
+        l1 = np.zeros_like(out)
+        for j in g:
+            l1 += np.abs(P[:, j][:, None] - B[:, j][None, :])
+        out += l1 * l1
+    return np.sqrt(out)
+
+
+def _kernel(features: Sequence[str], k: int, exclude_self: bool, donors: bool, passthrough: Sequence[str],
+            groups: list[list[int]] | None = None):
     feats = list(features)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +69,7 @@ def _kernel(features: Sequence[str], k: int, exclude_self: bool, donors: bool, p
         right = right.sort_values("__bid", kind="stable").reset_index(drop=True)
         P = left[feats].to_numpy(dtype=float, na_value=np.nan)
         B = right[feats].to_numpy(dtype=float, na_value=np.nan)
-        D = _pairwise(P, B)
+        D = _pairwise_groups(P, B, groups) if groups else _pairwise(P, B)
         pid = left["__pid"].to_numpy()
         bid = right["__bid"].to_numpy()
         if exclude_self:
@@ -116,9 +129,11 @@ def _blocks(n: int, block: int) -> int:
 def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str], *,
              id_col: str = "id", partition_cols: Sequence[str] = (), exclude_self: bool = False,
              donors: bool = False, base_passthrough: Sequence[str] = (),
-             probe_block: int = 2048, base_block: int = 4096) -> DataFrame:
+             probe_block: int = 2048, base_block: int = 4096,
+             groups: list[list[str]] | None = None) -> DataFrame:
     """k nearest base rows per probe row (per partition value).
 
+    ``groups`` switches to the grouped distance of :func:`_pairwise_groups`.
     Returns (probe_id, base_id, dist, nn_rank[, passthrough...]) — or with ``donors``,
     (probe_id, feature, base_id, dist, value, nn_rank): for each NULL feature of a
     probe, its k nearest base rows that have the feature.
@@ -145,7 +160,8 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str],
     else:
         pt = "".join(f", {p} {base.schema[p].dataType.simpleString()}" for p in base_passthrough)
         schema = "probe_id string, base_id string, dist double" + pt
-    kern = _kernel(feats, k, exclude_self, donors, base_passthrough)
+    gidx = [[feats.index(x) for x in g] for g in groups] if groups else None
+    kern = _kernel(feats, k, exclude_self, donors, base_passthrough, gidx)
     local = P.groupBy(*key).cogroup(B.groupBy(*key)).applyInPandas(kern, schema)
     per = ["probe_id", "feature"] if donors else ["probe_id"]
     w = Window.partitionBy(*per).orderBy("dist", "base_id")

@@ -24,7 +24,7 @@ from tidewell.operators.ranking import group_rank
 from tidewell.spec import Spec
 
 CHUNK = 4096
-METHODS = ("random", "smote", "borderline", "adasyn", "svmsmote", "kmeans")
+METHODS = ("random", "smote", "smoten", "smotenc", "borderline", "adasyn", "svmsmote", "kmeans")
 
 
 def explode_count(df: DataFrame, count_col: str, out_col: str = "copy", chunk: int = CHUNK) -> DataFrame:
@@ -217,4 +217,107 @@ def oversample(df: DataFrame, spec: Spec, method: str = "smote", **kw) -> DataFr
         return svm_smote(df, spec, kw.get("k_neighbors", 3), kw.get("m_neighbors", 5), kw.get("seed", 42))
     if method == "kmeans":
         return kmeans_smote(df, spec, kw.get("k_neighbors", 3), kw.get("n_clusters", 1), kw.get("seed", 42))
+    if method == "smoten":
+        return smoten(df, spec, kw["categorical"], kw.get("k_neighbors", 3), kw.get("seed", 42))
+    if method == "smotenc":
+        return smotenc(df, spec, kw["categorical"], kw.get("k_neighbors", 3), kw.get("seed", 42))
     raise ValueError(f"Invalid oversampling method {method!r}. Choose one of {METHODS}.")
+
+
+# ----------------------------------------------------------------- categorical variants
+
+
+def _neighbour_modes(copies: DataFrame, knn: DataFrame, base: DataFrame, spec: Spec, cat_cols) -> DataFrame:
+    """Per seed row: the most frequent value of each categorical column among its k
+    neighbours (ties → the smallest value)."""
+    nb = base.select(c(spec.id_col).cast("string").alias("__nid"),
+                     *[c(x).cast("string").alias(f"__c{i}") for i, x in enumerate(cat_cols)])
+    j = knn.select(F.col("probe_id").alias("__sid"), F.col("base_id").alias("__nid")).join(nb, "__nid")
+    modes = None
+    for i, x in enumerate(cat_cols):
+        cnt = j.groupBy("__sid", F.col(f"__c{i}").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        m = cnt.groupBy("__sid").agg(F.min_by("__v", F.struct((-F.col("__n")).alias("a"), F.col("__v").alias("b")))
+                                     .alias(f"__mode{i}"))
+        modes = m if modes is None else modes.join(m, "__sid")
+    out = copies.join(modes, copies[spec.id_col].cast("string") == modes["__sid"], "left")
+    return out.withColumns({x: F.coalesce(F.col(f"__mode{i}"), c(x).cast("string")) for i, x in enumerate(cat_cols)})
+
+
+def vdm_embedding(df: DataFrame, label_col: str, cat_cols) -> tuple[DataFrame, list[list[str]]]:
+    """Each categorical value becomes its vector of class frequencies P(class | value)
+    (value-difference metric with k = 1).  Returns the table with embedding columns
+    ``__e_<feature>_<class>`` and the column groups, one per feature."""
+    classes = sorted(r[0] for r in df.select(label_col).distinct().collect() if r[0] is not None)
+    out, groups = df, []
+    for i, x in enumerate(cat_cols):
+        cnt = df.groupBy(c(x).alias("__v")).pivot(label_col, classes).agg(F.count(F.lit(1)))
+        tot = sum((F.coalesce(F.col(f"`{cl}`"), F.lit(0)) for cl in classes), F.lit(0))
+        names = [f"__e{i}_{j}" for j in range(len(classes))]
+        emb = cnt.select(F.col("__v"), *[(F.coalesce(F.col(f"`{cl}`"), F.lit(0)) / tot).alias(n)
+                                          for cl, n in zip(classes, names)])
+        out = out.join(emb, out[f"`{x}`"].eqNullSafe(emb["__v"]), "left").drop("__v")
+        groups.append(names)
+    return out, groups
+
+
+def smoten(df: DataFrame, spec: Spec, cat_cols, k: int = 3, seed: int = 42, **knn_kw) -> DataFrame:
+    """O3 SMOTEN: categorical features only.  Neighbours of the same class under the
+    value-difference metric (L1 between class-frequency vectors per feature, L2 across
+    features); a synthetic row takes, per feature, the most frequent value among the
+    seed's k neighbours.  Output: id, categorical columns, label, synthetic."""
+    lab = spec.label_col
+    cat_cols = list(cat_cols)
+    emb, groups = vdm_embedding(df, lab, cat_cols)
+    flat = [x for g in groups for x in g]
+    needs = _class_needs(df, lab)
+    cls = emb.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
+    dealt = _deal(cls, spec, seed, "smoten")
+    knn = knn_join(cls, cls, k, flat, id_col=spec.id_col, partition_cols=[lab], exclude_self=True,
+                   groups=groups, **knn_kw)
+    copies = explode_count(dealt, "__cnt", "copy")
+    syn = _neighbour_modes(copies, knn, cls, spec, cat_cols).withColumn(spec.id_col, _copy_id(spec))
+    cols = [spec.id_col, *cat_cols, lab]
+    a = df.select(*[c(x) for x in cols]).withColumn("synthetic", F.lit(False))
+    b = syn.select(*[c(x) for x in cols]).withColumn("synthetic", F.lit(True))
+    return a.unionByName(b)
+
+
+def smotenc(df: DataFrame, spec: Spec, cat_cols, k: int = 3, seed: int = 42, **knn_kw) -> DataFrame:
+    """O4 SMOTENC: numeric features (``spec.feats``) and categorical ``cat_cols`` (the list is
+    required — the source's call omits it and cannot run).  Distance: Euclidean over the
+    numeric features plus one-hot categorical columns of value median(std of numeric)/2;
+    numeric values interpolate as in SMOTE, categorical values are the neighbours' mode."""
+    lab = spec.label_col
+    cat_cols = list(cat_cols)
+    nums = list(spec.feats)
+    stds = df.agg(*[F.stddev_pop(c(x)).alias(f"s{i}") for i, x in enumerate(nums)]).collect()[0]
+    svals = sorted(float(stds[f"s{i}"] or 0.0) for i in range(len(nums)))
+    med = (svals[(len(svals) - 1) // 2] + svals[len(svals) // 2]) / 2 if svals else 1.0
+    values = {x: sorted(r[0] for r in df.select(c(x).cast("string")).distinct().collect() if r[0] is not None)
+              for x in cat_cols}  # one row per category
+    ohe = {f"__o{i}_{j}": F.when(c(x).cast("string") == F.lit(v), F.lit(med / 2)).otherwise(F.lit(0.0))
+           for i, x in enumerate(cat_cols) for j, v in enumerate(values[x])}
+    enc = df.withColumns(ohe)
+    dist_cols = nums + list(ohe)
+    needs = _class_needs(df, lab)
+    cls = enc.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
+    dealt = _deal(cls, spec, seed, "smotenc")
+    knn = knn_join(cls, cls, k, dist_cols, id_col=spec.id_col, partition_cols=[lab], exclude_self=True, **knn_kw)
+    copies = explode_count(dealt.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy")
+    num_spec = Spec(spec.id_col, lab, tuple(nums))
+    inter = _interpolate(copies, knn, cls, num_spec, k, seed, "__avail")
+    # modes are taken per seed row: key the copies back by the seed id
+    inter = inter.withColumn("__seed", F.regexp_extract(c(spec.id_col), r"^(.*)#[0-9]+$", 1))
+    nb = cls.select(c(spec.id_col).cast("string").alias("__nid"),
+                    *[c(x).cast("string").alias(f"__c{i}") for i, x in enumerate(cat_cols)])
+    j = knn.select(F.col("probe_id").alias("__sid"), F.col("base_id").alias("__nid")).join(nb, "__nid")
+    for i, x in enumerate(cat_cols):
+        cnt = j.groupBy("__sid", F.col(f"__c{i}").alias("__v")).agg(F.count(F.lit(1)).alias("__k"))
+        m = cnt.groupBy("__sid").agg(F.min_by("__v", F.struct((-F.col("__k")).alias("a"), F.col("__v").alias("b")))
+                                     .alias(f"__mode{i}"))
+        inter = inter.join(m, inter["__seed"] == m["__sid"], "left").drop("__sid") \
+                     .withColumn(x, F.coalesce(F.col(f"__mode{i}"), c(x).cast("string"))).drop(f"__mode{i}")
+    cols = [spec.id_col, *nums, *cat_cols, lab]
+    a = df.select(*[c(x) for x in cols]).withColumn("synthetic", F.lit(False))
+    b = inter.select(*[c(x) for x in cols]).withColumn("synthetic", F.lit(True))
+    return a.unionByName(b)

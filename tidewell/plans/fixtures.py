@@ -313,3 +313,22 @@ def cust_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a1 = su.select(F.lit("add"), sid, F.lit("c_name"), F.col("s_name"))
     a2 = su.select(F.lit("add"), sid, F.lit("c_acctbal"), F.col("s_acctbal").cast("string"))
     return e1.union(e2).union(d).union(a1).union(a2)
+
+
+def dcat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with categorical (lang, source) and numeric (n_chars, n_words)
+    features; label = quality (imbalanced)."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    lb = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return d.join(lb, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"), "lang", "source",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(F.col("text"), " ")).cast("double").alias("n_words"),
+        F.col("quality").cast("string").alias("label"))
+
+
+DCAT_SQL = """dcat AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars,
+         CAST(len(string_split(d.text, ' ')) AS DOUBLE) AS n_words, CAST(l.quality AS VARCHAR) AS label
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+SQL["dcat"] = DCAT_SQL

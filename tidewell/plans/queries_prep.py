@@ -267,3 +267,55 @@ def q_kmeans_smote(spark, sf):
 def q_svm_smote(spark, sf):
     """Seeds from linear-SVM support vectors."""
     return _ov_out(O.svm_smote(X.emb(spark, sf), X.EMB_SPEC, 3, 5, 42))
+
+
+# ------------------------------------------------------------------ categorical oversampling
+
+_DNEED = """c0 AS (SELECT label, count(*) AS n FROM dcat GROUP BY label),
+need AS (SELECT label, n, max(n) OVER () - n AS need FROM c0),
+cls AS (SELECT x.*, need.n, need.need FROM dcat x JOIN need ON x.label = need.label WHERE need.need > 0)"""
+
+
+def _mode_sql(col: str) -> str:
+    return (f"m_{col} AS (SELECT pid, v FROM (SELECT k.pid, b.{col} AS v, row_number() OVER (PARTITION BY k.pid "
+            f"ORDER BY count(*) DESC, b.{col}) AS r FROM knn k JOIN cls b ON b.id = k.bid GROUP BY k.pid, b.{col}) t "
+            f"WHERE r = 1)")
+
+
+_VDM = """pl AS (SELECT 'lang' AS f, lang AS v, label, count(*) AS cnt FROM dcat GROUP BY lang, label
+           UNION ALL SELECT 'source', source, label, count(*) FROM dcat GROUP BY source, label),
+pv AS (SELECT f, v, sum(cnt) AS nv FROM pl GROUP BY f, v),
+labs AS (SELECT DISTINCT label FROM dcat),
+pe AS (SELECT pv.f, pv.v, labs.label, coalesce(pl.cnt, 0) / pv.nv AS prob
+       FROM pv CROSS JOIN labs LEFT JOIN pl ON pl.f = pv.f AND pl.v = pv.v AND pl.label = labs.label),
+dl AS (SELECT a.f, a.v AS va, b.v AS vb, sum(abs(a.prob - b.prob)) AS d FROM pe a JOIN pe b
+       ON a.f = b.f AND a.label = b.label GROUP BY a.f, a.v, b.v)"""
+
+_SMOTEN_SQL = X.with_ctes(["dcat"], """
+SELECT id, lang, source, label, false AS synthetic FROM dcat
+UNION ALL SELECT id, lang, source, label, true FROM syn""", [
+    _DNEED, _VDM, _copies_sql("cls", "smoten"),
+    """knn AS (SELECT pid, bid FROM (SELECT p.id AS pid, b.id AS bid, row_number() OVER (PARTITION BY p.id
+        ORDER BY sqrt(d1.d * d1.d + d2.d * d2.d), b.id) AS nr
+      FROM cls p JOIN cls b ON p.label = b.label AND p.id <> b.id
+      JOIN dl d1 ON d1.f = 'lang' AND d1.va = p.lang AND d1.vb = b.lang
+      JOIN dl d2 ON d2.f = 'source' AND d2.va = p.source AND d2.vb = b.source) t WHERE nr <= 3)""",
+    _mode_sql("lang"), _mode_sql("source"),
+    """syn AS (SELECT c.id || '#' || CAST(c.copy AS VARCHAR) AS id, coalesce(ml.v, c.lang) AS lang,
+        coalesce(ms.v, c.source) AS source, c.label
+      FROM copies c LEFT JOIN m_lang ml ON ml.pid = c.id LEFT JOIN m_source ms ON ms.pid = c.id)"""])
+
+
+@register("smoten", _SMOTEN_SQL)
+def q_smoten(spark, sf):
+    """O3: SMOTEN on the labelled documents' categorical features (lang, source)."""
+    out = O.smoten(X.dcat(spark, sf), X.Spec("id", "label", ()), ["lang", "source"], 3, 42)
+    return out.select("id", "lang", "source", "label", "synthetic")
+
+
+@register("smotenc")
+def q_smotenc(spark, sf):
+    """SMOTENC on documents — numeric n_chars, n_words interpolated; lang, source by
+    neighbour mode (checked by invariants in tests)."""
+    out = O.smotenc(X.dcat(spark, sf), X.Spec("id", "label", ("n_chars", "n_words")), ["lang", "source"], 3, 42)
+    return rounded(out.select("id", "n_chars", "n_words", "lang", "source", "label", "synthetic"))
