@@ -250,3 +250,13 @@ def test_smotenc_invariants(spark):
                                          (F.col("n_chars") > F.col("hi") + 1e-9)).count() == 0
     langs = {r[0] for r in d.select("lang").distinct().collect()}
     assert {r[0] for r in syn.select("lang").distinct().collect()} <= langs
+
+
+def test_preset_good_bags_stacks_and_refits(spark):
+    from tidewell.operators import ensemble as ENS
+    e = X.emb(spark, SMALL)
+    models, val = ENS.fit_preset(e, X.EMB_SPEC, "good", families=["LR"], ensemble_steps=3)
+    names = [m.name for m in models]
+    assert names == ["LR_BAG_L1", "LR_BAG_L2", "WeightedEnsemble_L2", "LR_FULL"]
+    board = M.leaderboard(models, X.EMB_SPEC, test=e, val=val).collect()
+    assert all(0.0 <= r["score_test"] <= 1.0 for r in board)

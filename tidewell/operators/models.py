@@ -17,7 +17,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import c
@@ -120,35 +120,66 @@ def _probs_from_vector(scored: DataFrame, id_col: str, classes: list, col: str =
                   .select(id_col, "class", "p"))
 
 
-def predict_proba(m: Trained, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """M9: (id, class, p) for every row and class."""
+_GBT = ("LightGBM", "LightGBMXT", "LightGBMLarge", "CatBoost", "XGBoost")
+_PIPE_COLS = ("features", "features_s", "rawPrediction", "probability", "prediction")
+
+
+def _combine(cols: list[str], weights: list[float], n: int):
+    """Σ_i w_i · array_i, element-wise (arrays of length n)."""
+    def at(j):
+        e = None
+        for col, w in zip(cols, weights):
+            t = F.lit(float(w)) * F.element_at(F.col(col), j + 1)
+            e = t if e is None else e + t
+        return e
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def proba_vector(m: Trained, df: DataFrame, id_col: str = "id", out: str = "__pv") -> DataFrame:
+    """``df`` plus ``out`` = class probabilities (array in ``m.classes`` order).
+
+    Pipeline models, bagged fold models, stackers and weighted ensembles are chained
+    transforms over the same rows — no shuffle; only the kNN family joins its votes back
+    by key."""
+    nc = len(m.classes)
     if isinstance(m.model, list):  # bagged: mean of the fold models
-        parts = [predict_proba(Trained(m.name, m.family, m.classes, m.features, sub), df, id_col)
-                 for sub in m.model]
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        return u.groupBy(id_col, "class").agg(F.avg("p").alias("p"))
+        cols = []
+        for i, sub in enumerate(m.model):
+            cols.append(f"{out}_f{i}")
+            df = proba_vector(Trained(m.name, m.family, m.classes, m.features, sub), df, id_col, cols[-1])
+        return df.withColumn(out, _combine(cols, [1.0 / len(cols)] * len(cols), nc)).drop(*cols)
     if m.family.startswith("KNeighbors"):
-        return _knn_proba(m, df, id_col)
+        return _knn_vector(m, df, id_col, out)
     if m.family == "WeightedEnsemble":
-        return _ensemble_proba(m, df, id_col)
+        cols, ws = [], []
+        for i, (sub, w) in enumerate(m.extra["members"]):
+            cols.append(f"{out}_m{i}")
+            ws.append(w)
+            df = proba_vector(sub, df, id_col, cols[-1])
+        return df.withColumn(out, _combine(cols, ws, nc)).drop(*cols)
     if m.family == "Stacker":
-        return m.extra["predict"](df, id_col)
-    scored = m.model.transform(df.select(c(id_col), *[c(x) for x in m.features]))
-    if m.family in ("LightGBM", "LightGBMXT", "LightGBMLarge", "CatBoost", "XGBoost"):
+        added = []
+        for b in m.extra["l1"]:
+            tmp = f"__l1_{b.family}"
+            df = proba_vector(b, df, id_col, tmp)
+            names = {f"{b.family}__{cl}": F.element_at(F.col(tmp), j + 1) for j, cl in enumerate(m.classes)}
+            df = df.withColumns(names).drop(tmp)
+            added += list(names)
+        return proba_vector(m.extra["top"], df, id_col, out).drop(*added)
+    keep = df.columns
+    scored = m.model.transform(df)
+    if m.family in _GBT:
         # one-vs-rest margins → logistic per class → renormalised
-        raw = vector_to_array("rawPrediction")
-        sig = F.transform(raw, lambda x: 1.0 / (1.0 + F.exp(-2.0 * x)))
-        scored = scored.withColumn("__s", sig)
-        tot = F.aggregate("__s", F.lit(0.0), lambda a, x: a + x)
-        scored = scored.withColumn("__pv", F.transform("__s", lambda x: x / tot))
+        sig = F.transform(vector_to_array("rawPrediction"), lambda x: 1.0 / (1.0 + F.exp(-2.0 * x)))
+        scored = scored.withColumn(out + "_s", sig)
+        tot = F.aggregate(out + "_s", F.lit(0.0), lambda a, x: a + x)
+        scored = scored.withColumn(out, F.transform(out + "_s", lambda x: x / tot)).drop(out + "_s")
     else:
-        scored = scored.withColumn("__pv", vector_to_array("probability"))
-    return _probs_from_vector(scored, id_col, m.classes)
+        scored = scored.withColumn(out, vector_to_array("probability"))
+    return scored.drop(*[x for x in _PIPE_COLS if x not in keep])
 
 
-def _knn_proba(m: Trained, df: DataFrame, id_col: str) -> DataFrame:
+def _knn_vector(m: Trained, df: DataFrame, id_col: str, out: str) -> DataFrame:
     base, k = m.model["base"], m.model["k"]
     nn = knn_join(df.select(c(id_col), *[c(x) for x in m.features]), base, k, m.features, id_col=id_col,
                   base_passthrough=["__lab"])
@@ -157,30 +188,29 @@ def _knn_proba(m: Trained, df: DataFrame, id_col: str) -> DataFrame:
     else:
         w = F.lit(1.0)
     votes = nn.groupBy("probe_id", "__lab").agg(F.sum(w).alias("__w"))
-    tot = votes.groupBy("probe_id").agg(F.sum("__w").alias("__t"))
-    p = votes.join(tot, "probe_id").select(F.col("probe_id").alias(id_col), F.col("__lab").alias("class"),
-                                           (F.col("__w") / F.col("__t")).alias("p"))
-    grid = df.select(c(id_col).cast("string").alias(id_col)).withColumn(
-        "class", F.explode(F.array(*[F.lit(x) for x in m.classes])))
-    return grid.join(p, [id_col, "class"], "left").select(id_col, "class", F.coalesce("p", F.lit(0.0)).alias("p"))
+    per = votes.groupBy("probe_id").agg(F.map_from_entries(F.collect_list(F.struct("__lab", "__w"))).alias("__m"),
+                                        F.sum("__w").alias("__t"))
+    vec = per.select(F.col("probe_id").alias("__kid"), F.array(*[
+        F.coalesce(F.col("__m")[F.lit(cl)], F.lit(0.0)) / F.col("__t") for cl in m.classes]).alias(out))
+    j = df.join(vec, c(id_col).cast("string") == F.col("__kid"), "left").drop("__kid")
+    return j.withColumn(out, F.coalesce(F.col(out), F.array(*[F.lit(0.0)] * len(m.classes))))
 
 
-def _ensemble_proba(m: Trained, df: DataFrame, id_col: str) -> DataFrame:
-    parts = []
-    for sub, w in m.extra["members"]:
-        parts.append(predict_proba(sub, df, id_col).withColumn("p", F.col("p") * F.lit(w)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy(id_col, "class").agg(F.sum("p").alias("p"))
+def predict_proba(m: Trained, df: DataFrame, id_col: str = "id") -> DataFrame:
+    """M9: (id, class, p) for every row and class."""
+    v = proba_vector(m, df, id_col, "__pv")
+    return _probs_from_vector(v, id_col, m.classes)
 
 
 def predict(m: Trained, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """M9: (id, predicted, p_max)."""
-    probs = predict_proba(m, df, id_col)
-    w = Window.partitionBy(id_col).orderBy(F.col("p").desc(), F.col("class"))
-    return (probs.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
-                 .select(id_col, F.col("class").alias("predicted"), F.col("p").alias("p_max")))
+    """M9: (id, predicted, p_max) — the argmax of the row's probability array (ties → the
+    first class in alphabetical order); a projection, no shuffle."""
+    v = proba_vector(m, df, id_col, "__pv")
+    top = F.array_max("__pv")
+    return v.select(c(id_col).cast("string").alias(id_col),
+                    F.element_at(F.array(*[F.lit(x) for x in m.classes]),
+                                 F.array_position("__pv", top).cast("int")).alias("predicted"),
+                    top.alias("p_max"))
 
 
 def accuracy(m: Trained, df: DataFrame, spec: Spec) -> float:
