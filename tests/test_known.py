@@ -260,3 +260,18 @@ def test_preset_good_bags_stacks_and_refits(spark):
     assert names == ["LR_BAG_L1", "LR_BAG_L2", "WeightedEnsemble_L2", "LR_FULL"]
     board = M.leaderboard(models, X.EMB_SPEC, test=e, val=val).collect()
     assert all(0.0 <= r["score_test"] <= 1.0 for r in board)
+
+
+def test_polynomial_imputation_recovers_square(spark):
+    rows = [(str(i), float(i) / 10, (float(i) / 10) ** 2 + 1.0 if i % 6 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, a double, b double")
+    out = I.impute_iterative(df, Spec("id", "label", ("a", "b")), "polynomial", max_iter=3)
+    for r in out.collect():
+        assert r["b"] == pytest.approx(r["a"] ** 2 + 1.0, rel=1e-3, abs=1e-3)
+
+
+def test_check_stacking_reports_both_scores(spark):
+    from tidewell.operators import ensemble as ENS
+    r = ENS.check_stacking(X.emb(spark, SMALL), X.EMB_SPEC, ["LR"], n_folds=2)
+    assert set(r) == {"use_stacking", "score_l1", "score_l2"}
+    assert 0.0 <= r["score_l1"] <= 1.0 and 0.0 <= r["score_l2"] <= 1.0

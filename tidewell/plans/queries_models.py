@@ -219,3 +219,27 @@ def q_read(spark, sf):
     """A Parquet table read with a named key turned into a STRING id."""
     df = S.read_table(spark, f"{sf}/customer.parquet", fmt="parquet", key="c_custkey")
     return rounded(df.select("id", "c_name", "c_acctbal"))
+
+
+@register("prepared_train")
+def q_prepared(spark, sf):
+    """Filter → split → kNN impute → standard scale → random oversample; the train table."""
+    lab, unl = assembled(spark, sf)
+    from tidewell.spec import Spec
+    p = prepare(lab, unl, Spec("id", "label"), PrepConfig(scaler="standard", oversample="random"))
+    return rounded(p["train"])
+
+
+@register("impute_tree")
+def q_impute_tree(spark, sf):
+    """I4: chained single-tree imputation (sqrt feature subsets, 2 rounds) of the embedding NULLs."""
+    from tidewell.operators.impute import impute_iterative
+    return rounded(impute_iterative(X.embn(spark, sf), X.EMB_SPEC, "decisiontree", max_iter=2).select("id", *EMBF))
+
+
+@register("student_baseline")
+def q_student_baseline(spark, sf):
+    """Students fit on the train table without a teacher; leaderboard."""
+    train, test = emb_split(spark, sf)
+    return M.leaderboard(D.student_baseline(train, X.EMB_SPEC, ["LR", "RandomForestEntr"]), X.EMB_SPEC,
+                         test=test).select("model", "score_test")
