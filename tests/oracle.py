@@ -13,6 +13,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -46,6 +49,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     scols = sorted(sdf.columns)
     if sql is None:
         return dict(name=name, ok=None, rows=len(spark_rows), spark_s=round(t1 - t0, 2))
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    if duck_types != spark_types:
+        diff = {k: (spark_types.get(k), duck_types.get(k)) for k in set(duck_types) | set(spark_types)
+                if spark_types.get(k) != duck_types.get(k)}
+        return dict(name=name, ok=False, why=f"types differ (spark, duck): {diff}")
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drecs = [dict(zip(dcols, r)) for r in res.fetchall()]

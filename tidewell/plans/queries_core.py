@@ -206,7 +206,7 @@ def q_medians(spark, sf):
 
 
 @register("describe_categorical", X.with_ctes(["meta"], """
-SELECT feature, sum(cnt) AS count, count(*) AS n_distinct,
+SELECT feature, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS n_distinct,
        min(CASE WHEN rk = 1 THEN value END) AS mode, max(cnt) AS freq
 FROM (SELECT feature, value, cnt, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, value) AS rk
       FROM (SELECT feature, value, count(*) AS cnt FROM (
@@ -230,7 +230,7 @@ LEFT JOIN (SELECT feature, count(value) AS count, round(avg(value), 6) AS mean,
                   round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75,
                   round(max(value), 6) AS max
            FROM ({_long_sql('meta', ['L23_depth_normalized'])}) t GROUP BY feature) n ON s.feature = n.feature
-LEFT JOIN (SELECT feature, sum(cnt) AS count_cat, count(*) AS n_distinct,
+LEFT JOIN (SELECT feature, CAST(sum(cnt) AS BIGINT) AS count_cat, count(*) AS n_distinct,
                   min(CASE WHEN rk = 1 THEN value END) AS mode, max(cnt) AS freq
            FROM (SELECT feature, value, cnt, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, value) AS rk
                  FROM (SELECT feature, value, count(*) AS cnt FROM (
