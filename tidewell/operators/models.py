@@ -228,17 +228,18 @@ def _timed(fn):
 
 
 def leaderboard(models: list[Trained], spec: Spec, test: DataFrame | None = None,
-                val: DataFrame | None = None, metric: str = "accuracy") -> DataFrame:
+                val: DataFrame | None = None, metric: str = "accuracy", parallelism: int = 4) -> DataFrame:
     """One row per model: model, score_test, score_val, eval_metric, prediction and fit
     times (marginal = own time; members' times are added for ensembles), stack_level,
     can_infer, fit_order."""
-    rows = []
-    for order, m in enumerate(models, start=1):
+    def score(item):
+        order, m = item
         st, tt = _timed(lambda: accuracy(m, test, spec)) if test is not None else (None, None)
         sv, tv = _timed(lambda: accuracy(m, val, spec)) if val is not None else (None, None)
         member_fit = sum(s.fit_time for s, _ in m.extra.get("members", []))
-        rows.append((m.name, _nan(st), _nan(sv), metric, tt, tv, m.fit_time + member_fit, tt, tv, m.fit_time,
-                     m.stack_level, True, order))
+        return (m.name, _nan(st), _nan(sv), metric, tt, tv, m.fit_time + member_fit, tt, tv, m.fit_time,
+                m.stack_level, True, order)
+    rows = parallel_map(score, list(enumerate(models, start=1)), parallelism)
     schema = ("model string, score_test double, score_val double, eval_metric string, pred_time_test double, "
               "pred_time_val double, fit_time double, pred_time_test_marginal double, "
               "pred_time_val_marginal double, fit_time_marginal double, stack_level int, can_infer boolean, "
@@ -251,11 +252,24 @@ def _nan(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
 
 
+def parallel_map(fn, items, parallelism: int = 4) -> list:
+    """Run independent Spark jobs from a small thread pool (as ``CrossValidator(parallelism=…)``
+    does): small fits leave most cores idle, so several of them share the cluster."""
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def fit_many(train: DataFrame, spec: Spec, families, seed: int = 42, weight_col: str | None = None,
-             suffix: str = "") -> list[Trained]:
-    """M2: fit every family (train should be persisted by the caller)."""
+             suffix: str = "", parallelism: int = 4) -> list[Trained]:
+    """M2: fit every family (train should be persisted by the caller); families are fit
+    concurrently."""
     classes = encode_labels(train, spec.label_col)
-    return [fit_model(train, spec, f, f + suffix, seed, weight_col, classes) for f in families]
+    return parallel_map(lambda f: fit_model(train, spec, f, f + suffix, seed, weight_col, classes),
+                        list(families), parallelism)
 
 
 def save_model(m: Trained, path: str) -> None:
