@@ -216,14 +216,26 @@ def apply_quantile(df: DataFrame, params: DataFrame, output: str = "uniform") ->
     return res
 
 
+def _count_le(x: Column, xp: list[float], lo: int, hi: int) -> Column:
+    """Number of points of the sorted ``xp`` that are ≤ x, known to lie in [lo, hi]: a balanced
+    comparison tree, so a value meets about log2(len(xp)) comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(x >= F.lit(xp[mid - 1]), _count_le(x, xp, mid, hi)).otherwise(_count_le(x, xp, lo, mid - 1))
+
+
 def _interp(x: Column, xp: list[float], fp: list[float]) -> Column:
-    """np.interp as a CASE chain (xp non-decreasing; last matching segment wins like numpy)."""
-    expr = F.when(x <= F.lit(xp[0]), F.lit(fp[0]))
-    for i in range(len(xp) - 1):
-        a, b, fa, fb = xp[i], xp[i + 1], fp[i], fp[i + 1]
-        if b > a:
-            expr = expr.when(x < F.lit(b), F.lit(fa) + (x - F.lit(a)) * F.lit((fb - fa) / (b - a)))
-    return expr.otherwise(F.lit(fp[-1]))
+    """np.interp (xp non-decreasing): k = #points ≤ x; below the first point fp[0], from the
+    last point on fp[-1], else linear on the segment (k-1, k)."""
+    m = len(xp)
+    k = _count_le(x, xp, 0, m)
+    q_arr = F.array(*[F.lit(float(v)) for v in xp])
+    f_arr = F.array(*[F.lit(float(v)) for v in fp])
+    qa, qb = F.element_at(q_arr, k), F.element_at(q_arr, k + 1)
+    fa, fb = F.element_at(f_arr, k), F.element_at(f_arr, k + 1)
+    inner = fa + (x - qa) * (fb - fa) / (qb - qa)
+    return F.when(k == 0, F.lit(fp[0])).when(k >= m, F.lit(fp[-1])).otherwise(inner)
 
 
 def _interp_sym(x: Column, q: list[float], r: list[float]) -> Column:
