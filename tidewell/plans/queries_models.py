@@ -187,7 +187,10 @@ def q_reduce_train(spark, sf):
                     ).select("model", "score_test", "method", "threshold")
 
 
-@register("augment_spunge")
+_SPUNGE_SQL = X.with_ctes(["emb"], "SELECT id || '#s' || CAST(copy AS VARCHAR) AS id, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e0') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e0 + (0.1 * st.s0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e0') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e0') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e0 END, 6) AS e0, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e1') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e1 + (0.1 * st.s1) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e1') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e1') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e1 END, 6) AS e1, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e2') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e2 + (0.1 * st.s2) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e2') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e2') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e2 END, 6) AS e2, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e3') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e3 + (0.1 * st.s3) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e3') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e3') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e3 END, 6) AS e3, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e4') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e4 + (0.1 * st.s4) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e4') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e4') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e4 END, 6) AS e4, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e5') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e5 + (0.1 * st.s5) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e5') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e5') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e5 END, 6) AS e5, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e6') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e6 + (0.1 * st.s6) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e6') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e6') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e6 END, 6) AS e6, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e7') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e7 + (0.1 * st.s7) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e7') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e7') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e7 END, 6) AS e7 FROM (SELECT emb.*, c.copy FROM emb, range(2) c(copy)) t, st", ["st AS (SELECT " + ", ".join(f"stddev_pop(e{i}) AS s{i}" for i in range(8)) + " FROM emb)"])
+
+
+@register("augment_spunge", _SPUNGE_SQL)
 def q_spunge(spark, sf):
     """Perturbed copies of the embedding rows."""
     return rounded(D.augment_spunge(X.emb(spark, sf), X.EMB_SPEC, 0.5, 0.1, 2))
@@ -243,3 +246,12 @@ def q_student_baseline(spark, sf):
     train, test = emb_split(spark, sf)
     return M.leaderboard(D.student_baseline(train, X.EMB_SPEC, ["LR", "RandomForestEntr"]), X.EMB_SPEC,
                          test=test).select("model", "score_test")
+
+
+_MUNGE_SQL = X.with_ctes(["emb"], "SELECT t.id || '#m0' AS id, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e0') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e0 IS NOT NULL THEN b.e0 + (abs(t.e0 - b.e0) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e0') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e0') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e0 END, 6) AS e0, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e1') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e1 IS NOT NULL THEN b.e1 + (abs(t.e1 - b.e1) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e1') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e1') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e1 END, 6) AS e1, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e2') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e2 IS NOT NULL THEN b.e2 + (abs(t.e2 - b.e2) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e2') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e2') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e2 END, 6) AS e2, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e3') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e3 IS NOT NULL THEN b.e3 + (abs(t.e3 - b.e3) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e3') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e3') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e3 END, 6) AS e3, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e4') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e4 IS NOT NULL THEN b.e4 + (abs(t.e4 - b.e4) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e4') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e4') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e4 END, 6) AS e4, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e5') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e5 IS NOT NULL THEN b.e5 + (abs(t.e5 - b.e5) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e5') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e5') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e5 END, 6) AS e5, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e6') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e6 IS NOT NULL THEN b.e6 + (abs(t.e6 - b.e6) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e6') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e6') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e6 END, 6) AS e6, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e7') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e7 IS NOT NULL THEN b.e7 + (abs(t.e7 - b.e7) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e7') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e7') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e7 END, 6) AS e7 FROM emb t LEFT JOIN nn ON nn.pid = t.id LEFT JOIN emb b ON b.id = nn.bid", ['nn AS (SELECT pid, bid FROM (SELECT p.id AS pid, q.id AS bid, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.e0 - q.e0) * (p.e0 - q.e0) + (p.e1 - q.e1) * (p.e1 - q.e1) + (p.e2 - q.e2) * (p.e2 - q.e2) + (p.e3 - q.e3) * (p.e3 - q.e3) + (p.e4 - q.e4) * (p.e4 - q.e4) + (p.e5 - q.e5) * (p.e5 - q.e5) + (p.e6 - q.e6) * (p.e6 - q.e6) + (p.e7 - q.e7) * (p.e7 - q.e7)), q.id) AS r FROM emb p JOIN emb q ON p.id <> q.id) x WHERE r = 1)'])
+
+
+@register("augment_munge", _MUNGE_SQL)
+def q_munge(spark, sf):
+    """MUNGE copies (p = 0.5, s = 1) of the embedding rows around their nearest neighbour."""
+    return rounded(D.augment_munge(X.emb(spark, sf), X.EMB_SPEC, 0.5, 1.0, 1))
