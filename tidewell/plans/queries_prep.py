@@ -313,9 +313,33 @@ def q_smoten(spark, sf):
     return out.select("id", "lang", "source", "label", "synthetic")
 
 
-@register("smotenc")
+_MIS = "(CASE WHEN p.{c} <> b.{c} THEN h.x ELSE 0 END)"
+_SMOTENC_ACC = ("(p.n_chars - b.n_chars) * (p.n_chars - b.n_chars) + (p.n_words - b.n_words) * (p.n_words - b.n_words) + "
+                + " + ".join([_MIS.format(c="lang")] * 2 + [_MIS.format(c="source")] * 2))
+_SMOTENC_SQL = X.with_ctes(["dcat"], f"""
+SELECT id, round(n_chars, 6) AS n_chars, round(n_words, 6) AS n_words, lang, source, label, false AS synthetic FROM dcat
+UNION ALL SELECT id, round(n_chars, 6), round(n_words, 6), lang, source, label, true FROM syn""", [
+    _DNEED,
+    """sd AS (SELECT stddev_pop(n_chars) AS s0, stddev_pop(n_words) AS s1 FROM dcat),
+h AS (SELECT ((least(s0, s1) + greatest(s0, s1)) / 2 / 2) * ((least(s0, s1) + greatest(s0, s1)) / 2 / 2) AS x FROM sd)""",
+    _copies_sql("cls", "smotenc"),
+    f"""knn AS (SELECT pid, bid, nr FROM (SELECT p.id AS pid, b.id AS bid, row_number() OVER (PARTITION BY p.id
+        ORDER BY sqrt({_SMOTENC_ACC}), b.id) AS nr FROM cls p JOIN cls b ON p.label = b.label AND p.id <> b.id, h) t
+      WHERE nr <= 3)""",
+    _mode_sql("lang"), _mode_sql("source"),
+    f"""picks AS (SELECT *, 1 + floor({sql_uniform("id || '|' || CAST(copy AS VARCHAR)", 'nn')} * least(3, n - 1)) AS pick,
+        {sql_uniform("id || '|' || CAST(copy AS VARCHAR)", 'gap')} AS gap FROM copies)""",
+    """syn AS (SELECT p.id || '#' || CAST(p.copy AS VARCHAR) AS id,
+        p.n_chars + p.gap * (coalesce(b.n_chars, p.n_chars) - p.n_chars) AS n_chars,
+        p.n_words + p.gap * (coalesce(b.n_words, p.n_words) - p.n_words) AS n_words,
+        coalesce(ml.v, p.lang) AS lang, coalesce(ms.v, p.source) AS source, p.label
+      FROM picks p LEFT JOIN knn ON knn.pid = p.id AND knn.nr = p.pick LEFT JOIN dcat b ON b.id = knn.bid
+      LEFT JOIN m_lang ml ON ml.pid = p.id LEFT JOIN m_source ms ON ms.pid = p.id)"""])
+
+
+@register("smotenc", _SMOTENC_SQL)
 def q_smotenc(spark, sf):
     """SMOTENC on documents — numeric n_chars, n_words interpolated; lang, source by
-    neighbour mode (checked by invariants in tests)."""
+    neighbour mode."""
     out = O.smotenc(X.dcat(spark, sf), X.Spec("id", "label", ("n_chars", "n_words")), ["lang", "source"], 3, 42)
     return rounded(out.select("id", "n_chars", "n_words", "lang", "source", "label", "synthetic"))
