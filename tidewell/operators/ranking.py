@@ -133,6 +133,8 @@ def group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[st
     extra = list(extra_sums)
     numbered = numbered.withColumns({f"__tw_l_{w}": F.sum(F.col(w)).over(w_run) for w in extra})
     slice_aggs += [F.sum(F.col(w)).alias(f"__tw_s_{w}") for w in extra]
+    # slice totals: a second, column-pruned read of the input (group and order columns
+    # only) with map-side partial aggregation, so only (group, slice) counts shuffle
     slices = tagged.groupBy(*groups, SLICE).agg(*slice_aggs)
     w_cum = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*groups)
