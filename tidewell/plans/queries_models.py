@@ -15,6 +15,7 @@ from tidewell.operators import importance as IMP
 from tidewell.operators import models as M
 from tidewell.operators import split as T
 from tidewell.plans import fixtures as X
+from tidewell.plans import queries_core as QC
 from tidewell.plans import teacher as TS
 from tidewell.plans.fixtures import sql_hash
 from tidewell.plans.flagship import assembled
@@ -224,7 +225,28 @@ def q_read(spark, sf):
     return rounded(df.select("id", "c_name", "c_acctbal"))
 
 
-@register("prepared_train")
+_PREP_SQL = X.with_ctes(["meta", "ephys", "morph"], """
+SELECT id, label, round(n_orders, 6) AS n_orders, round(total_price, 6) AS total_price, round(avg_price, 6) AS avg_price, round(max_price, 6) AS max_price, round(n_urgent, 6) AS n_urgent, round(n_lines, 6) AS n_lines, round(avg_qty, 6) AS avg_qty, round(avg_disc, 6) AS avg_disc, round(L23_depth_normalized, 6) AS L23_depth_normalized FROM (
+  SELECT id, label, n_orders, total_price, avg_price, max_price, n_urgent, n_lines, avg_qty, avg_disc, L23_depth_normalized FROM sc
+  UNION ALL SELECT id || '#' || CAST(copy AS VARCHAR), label, n_orders, total_price, avg_price, max_price, n_urgent, n_lines, avg_qty, avg_disc, L23_depth_normalized FROM copies) t""", [
+    QC._META_L, QC._MORPH_F, QC._BOTH,
+    "lab AS (SELECT * FROM both_l WHERE label IS DISTINCT FROM 'UNKNOWN')",
+    "mc AS (SELECT * FROM lab WHERE label IN (SELECT label FROM lab WHERE label IS NOT NULL GROUP BY label "
+    "HAVING count(*) >= 5))",
+    "ns AS (SELECT * FROM mc WHERE (CAST(n_orders IS NULL AS INT) + CAST(total_price IS NULL AS INT) + CAST(avg_price IS NULL AS INT) + CAST(max_price IS NULL AS INT) + CAST(n_urgent IS NULL AS INT) + CAST(n_lines IS NULL AS INT) + CAST(avg_qty IS NULL AS INT) + CAST(avg_disc IS NULL AS INT) + CAST(L23_depth_normalized IS NULL AS INT) + CAST(label IS NULL AS INT)) <= 0.2 * 10)",
+    f"sp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('id')}, id) AS rn, "
+    "count(*) OVER (PARTITION BY label) AS n FROM ns)",
+    "tr AS (SELECT * FROM sp WHERE rn > round_even(n * 0.2, 0))",
+    "st AS (SELECT avg(n_orders) AS m_n_orders, CASE WHEN stddev_pop(n_orders) = 0 THEN 1 ELSE stddev_pop(n_orders) END AS s_n_orders, avg(total_price) AS m_total_price, CASE WHEN stddev_pop(total_price) = 0 THEN 1 ELSE stddev_pop(total_price) END AS s_total_price, avg(avg_price) AS m_avg_price, CASE WHEN stddev_pop(avg_price) = 0 THEN 1 ELSE stddev_pop(avg_price) END AS s_avg_price, avg(max_price) AS m_max_price, CASE WHEN stddev_pop(max_price) = 0 THEN 1 ELSE stddev_pop(max_price) END AS s_max_price, avg(n_urgent) AS m_n_urgent, CASE WHEN stddev_pop(n_urgent) = 0 THEN 1 ELSE stddev_pop(n_urgent) END AS s_n_urgent, avg(n_lines) AS m_n_lines, CASE WHEN stddev_pop(n_lines) = 0 THEN 1 ELSE stddev_pop(n_lines) END AS s_n_lines, avg(avg_qty) AS m_avg_qty, CASE WHEN stddev_pop(avg_qty) = 0 THEN 1 ELSE stddev_pop(avg_qty) END AS s_avg_qty, avg(avg_disc) AS m_avg_disc, CASE WHEN stddev_pop(avg_disc) = 0 THEN 1 ELSE stddev_pop(avg_disc) END AS s_avg_disc, avg(L23_depth_normalized) AS m_L23_depth_normalized, CASE WHEN stddev_pop(L23_depth_normalized) = 0 THEN 1 ELSE stddev_pop(L23_depth_normalized) END AS s_L23_depth_normalized FROM tr)",
+    "sc AS (SELECT id, label, (n_orders - m_n_orders) / s_n_orders AS n_orders, (total_price - m_total_price) / s_total_price AS total_price, (avg_price - m_avg_price) / s_avg_price AS avg_price, (max_price - m_max_price) / s_max_price AS max_price, (n_urgent - m_n_urgent) / s_n_urgent AS n_urgent, (n_lines - m_n_lines) / s_n_lines AS n_lines, (avg_qty - m_avg_qty) / s_avg_qty AS avg_qty, (avg_disc - m_avg_disc) / s_avg_disc AS avg_disc, (L23_depth_normalized - m_L23_depth_normalized) / s_L23_depth_normalized AS L23_depth_normalized FROM tr, st)",
+    "need AS (SELECT label, count(*) AS c, max(count(*)) OVER () - count(*) AS need FROM sc GROUP BY label)",
+    f"dealt AS (SELECT sc.*, need.need, row_number() OVER (PARTITION BY sc.label ORDER BY {sql_hash('id', 'random')}, "
+    "id) AS rn, need.c AS ns FROM sc JOIN need ON sc.label = need.label WHERE need.need > 0)",
+    "copies AS (SELECT *, unnest(generate_series(0, CAST(floor(need / ns) + CASE WHEN rn <= need % ns THEN 1 ELSE 0 END "
+    "AS BIGINT) - 1)) AS copy FROM dealt)"])
+
+
+@register("prepared_train", _PREP_SQL)
 def q_prepared(spark, sf):
     """Filter → split → kNN impute → standard scale → random oversample; the train table."""
     lab, unl = assembled(spark, sf)
