@@ -21,18 +21,22 @@ from pyspark.sql import functions as F
 from tidewell.functions.columns import c, hash_text, hash_uniform
 from tidewell.operators.knn import knn_join
 from tidewell.operators.ranking import group_rank
+from tidewell.operators.small import small_side
 from tidewell.spec import Spec
 
 CHUNK = 4096
 METHODS = ("random", "smote", "smoten", "smotenc", "borderline", "adasyn", "svmsmote", "kmeans")
 
 
-def explode_count(df: DataFrame, count_col: str, out_col: str = "copy", chunk: int = CHUNK) -> DataFrame:
-    """One output row per copy 0..count-1 of each input row, in two levels."""
+def explode_count(df: DataFrame, count_col: str, out_col: str = "copy", chunk: int = CHUNK,
+                  key_col: str = "id") -> DataFrame:
+    """One output row per copy 0..count-1 of each input row, in two levels: first one row
+    per chunk of ≤ ``chunk`` copies, hash-spread on (row key, chunk) so the chunks of one
+    seed — and the seeds of one class — land in different tasks; then the copies."""
     n = F.col(count_col)
     chunks = df.filter(n > 0).withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0), ((n - 1) / F.lit(chunk)).cast("int"))))
-    spread = chunks.repartition("__chunk", *[F.col(x) for x in df.columns[:1]])
+    spread = chunks.repartition(F.col(key_col), F.col("__chunk"))
     start = F.col("__chunk") * F.lit(chunk)
     stop = F.least(start + F.lit(chunk), n) - 1
     return spread.withColumn(out_col, F.explode(F.sequence(start, stop))).drop("__chunk")
@@ -41,9 +45,10 @@ def explode_count(df: DataFrame, count_col: str, out_col: str = "copy", chunk: i
 def _class_needs(df: DataFrame, label_col: str) -> DataFrame:
     """(label, n, need) with need = n_max − n; the table has one row per class."""
     counts = df.groupBy(c(label_col).alias(label_col)).agg(F.count(F.lit(1)).alias("__n"))
-    # the window spans the per-class table only
-    return counts.select(label_col, "__n",
-                         (F.max("__n").over(Window.partitionBy()) - F.col("__n")).alias("__need"))
+    # the window spans the per-class table only; joined back to the rows by label (a hot
+    # key), so the table is broadcast behind its row count
+    return small_side(counts.select(label_col, "__n",
+                                    (F.max("__n").over(Window.partitionBy()) - F.col("__n")).alias("__need")))
 
 
 def _deal(seeds: DataFrame, spec: Spec, seed: int, salt: str) -> DataFrame:
@@ -74,7 +79,7 @@ def oversample_random(df: DataFrame, spec: Spec, seed: int = 42) -> DataFrame:
     needs = _class_needs(df, spec.label_col)
     seeds = df.join(needs.select(spec.label_col, "__need"), on=spec.label_col).filter(F.col("__need") > 0)
     dealt = _deal(seeds, spec, seed, "random")
-    copies = explode_count(dealt, "__cnt", "copy").withColumn(spec.id_col, _copy_id(spec))
+    copies = explode_count(dealt, "__cnt", "copy", key_col=spec.id_col).withColumn(spec.id_col, _copy_id(spec))
     return _finish(df, copies, spec)
 
 
@@ -113,7 +118,7 @@ def smote(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, partition_cols:
         avail = (F.col("__psz") - 1)
     else:
         avail = F.col("__n") - 1
-    copies = explode_count(dealt.withColumn("__avail", avail), "__cnt", "copy")
+    copies = explode_count(dealt.withColumn("__avail", avail), "__cnt", "copy", key_col=spec.id_col)
     syn = _interpolate(copies, knn, cls, spec, k, seed, "__avail")
     return _finish(df, syn, spec)
 
@@ -158,7 +163,7 @@ def adasyn(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, **knn_kw) -> D
         "__cnt", F.when(F.col("__rt") > 0, F.bround(F.col("__r") * F.col("__need") / F.col("__rt"))).otherwise(0)
         .cast("int"))
     knn = knn_join(cls, cls, k, spec.feats, id_col=spec.id_col, partition_cols=[lab], exclude_self=True, **knn_kw)
-    copies = explode_count(r.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy")
+    copies = explode_count(r.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy", key_col=spec.id_col)
     syn = _interpolate(copies, knn, cls, spec, k, seed, "__avail")
     return _finish(df, syn, spec)
 
@@ -175,12 +180,16 @@ def svm_smote(df: DataFrame, spec: Spec, k: int = 3, m: int = 5, seed: int = 42,
     minority = [r[lab] for r in needs.filter(F.col("__need") > 0).select(lab).collect()]  # one row per class
     va = VectorAssembler(inputCols=list(spec.feats), outputCol="__v", handleInvalid="keep")
     vec = va.transform(df)
-    svs = None
-    for cl in minority:
+    from tidewell.operators.models import parallel_map
+
+    def support_vectors(cl):
+        # one-vs-rest linear SVM per minority class; the class's rows within the margin
         data = vec.withColumn("__y", (c(lab) == F.lit(cl)).cast("double"))
         model = LinearSVC(featuresCol="__v", labelCol="__y", maxIter=50, regParam=0.01).fit(data)
         scored = model.transform(data.filter(c(lab) == F.lit(cl)))
-        s = scored.filter(F.abs(vector_to_array("rawPrediction")[1]) <= 1.0).select(c(spec.id_col))
+        return scored.filter(F.abs(vector_to_array("rawPrediction")[1]) <= 1.0).select(c(spec.id_col))
+    svs = None
+    for s in parallel_map(support_vectors, minority):
         svs = s if svs is None else svs.unionByName(s)
     if svs is None:
         return _finish(df, df.limit(0), spec)
@@ -274,7 +283,7 @@ def smoten(df: DataFrame, spec: Spec, cat_cols, k: int = 3, seed: int = 42, **kn
     dealt = _deal(cls, spec, seed, "smoten")
     knn = knn_join(cls, cls, k, flat, id_col=spec.id_col, partition_cols=[lab], exclude_self=True,
                    groups=groups, **knn_kw)
-    copies = explode_count(dealt, "__cnt", "copy")
+    copies = explode_count(dealt, "__cnt", "copy", key_col=spec.id_col)
     syn = _neighbour_modes(copies, knn, cls, spec, cat_cols).withColumn(spec.id_col, _copy_id(spec))
     cols = [spec.id_col, *cat_cols, lab]
     a = df.select(*[c(x) for x in cols]).withColumn("synthetic", F.lit(False))
@@ -303,7 +312,7 @@ def smotenc(df: DataFrame, spec: Spec, cat_cols, k: int = 3, seed: int = 42, **k
     cls = enc.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
     dealt = _deal(cls, spec, seed, "smotenc")
     knn = knn_join(cls, cls, k, dist_cols, id_col=spec.id_col, partition_cols=[lab], exclude_self=True, **knn_kw)
-    copies = explode_count(dealt.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy")
+    copies = explode_count(dealt.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy", key_col=spec.id_col)
     num_spec = Spec(spec.id_col, lab, tuple(nums))
     inter = _interpolate(copies, knn, cls, num_spec, k, seed, "__avail")
     # modes are taken per seed row: key the copies back by the seed id

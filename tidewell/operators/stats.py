@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions.columns import c, minkowski, null_count
 from tidewell.operators.ranking import group_rank
+from tidewell.operators.small import small_side
 from tidewell.spec import NUMERIC_TYPES, Spec, q
 
 # --------------------------------------------------------------------- classes
@@ -39,12 +40,12 @@ def filter_min_class(df: DataFrame, label_col: str = "label", min_rows: int = 5)
     """Drop classes with fewer than ``min_rows`` rows; NULL labels go too.
 
     Counts are a partial aggregate; the kept-class list (one row per class) is
-    semi-joined back, which AQE turns into a broadcast from its runtime size.
+    semi-joined back as a broadcast behind a row-count check (``small_side``).
     """
     keep = (df.filter(c(label_col).isNotNull())
               .groupBy(c(label_col).alias(label_col)).agg(F.count(F.lit(1)).alias("__n"))
               .filter(F.col("__n") >= min_rows).select(label_col))
-    return df.join(keep, on=label_col, how="left_semi")
+    return df.join(small_side(keep), on=label_col, how="left_semi")
 
 
 def filter_null_share(df: DataFrame, id_col: str = "id", share: float = 0.2) -> DataFrame:
@@ -276,7 +277,8 @@ def distance_to_centroid(df: DataFrame, spec: Spec, p: float = 2.0, out_col: str
     """Minkowski distance of each row to its class centroid (NULL terms skipped).
     The centroid table has one row per class."""
     cen = centroids(df, spec)
-    cen = cen.select(c(spec.label_col).alias("__lbl"), *[c(x).alias(f"__m{i}") for i, x in enumerate(spec.feats)])
+    cen = small_side(cen.select(c(spec.label_col).alias("__lbl"),
+                                *[c(x).alias(f"__m{i}") for i, x in enumerate(spec.feats)]))
     j = df.join(cen, df[q(spec.label_col)].eqNullSafe(cen["__lbl"]), "inner")
     dist = minkowski([c(x) for x in spec.feats], [F.col(f"__m{i}") for i in range(len(spec.feats))], p)
     return j.withColumn(out_col, dist).drop("__lbl", *[f"__m{i}" for i in range(len(spec.feats))])
