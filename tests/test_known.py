@@ -275,3 +275,14 @@ def test_check_stacking_reports_both_scores(spark):
     r = ENS.check_stacking(X.emb(spark, SMALL), X.EMB_SPEC, ["LR"], n_folds=2)
     assert set(r) == {"use_stacking", "score_l1", "score_l2"}
     assert 0.0 <= r["score_l1"] <= 1.0 and 0.0 <= r["score_l2"] <= 1.0
+
+
+def test_many_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    vals = list(np.round(rng.normal(size=700), 1))  # many ties
+    df = spark.createDataFrame([(str(i), float(v)) for i, v in enumerate(vals)], "id string, x double")
+    probs = [k / 100 for k in range(101)]
+    got = {round(r["p"], 6): r["value"] for r in G.quantiles(df, ["x"], probs).collect()}
+    assert len(got) == 101
+    for p in probs:
+        assert got[round(p, 6)] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
