@@ -140,7 +140,6 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str],
     """
     feats = list(features)
     parts = list(partition_cols)
-    spark = probe.sparkSession
     n_probe, n_base = probe.count(), base.count()
     npc, nb = _blocks(n_probe, probe_block), _blocks(n_base, base_block)
 
@@ -166,5 +165,5 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str],
     per = ["probe_id", "feature"] if donors else ["probe_id"]
     w = Window.partitionBy(*per).orderBy("dist", "base_id")
     merged = local.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-    del spark
+
     return merged.withColumn("nn_rank", F.col("nn_rank").cast("bigint"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidewell.operators import metrics as E
 from tidewell.plans import fixtures as X
 from tidewell.plans.registry import register, rounded
