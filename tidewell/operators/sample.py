@@ -22,6 +22,7 @@ from tidewell.functions.columns import c, hash_text, hash_uniform
 from tidewell.operators.knn import knn_join
 from tidewell.operators.ranking import group_rank
 from tidewell.operators.small import small_side
+from tidewell.session import cut_lineage
 from tidewell.spec import Spec
 
 CHUNK = 4096
@@ -106,7 +107,9 @@ def smote(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, partition_cols:
     rows of the same class (excluding itself)."""
     lab = spec.label_col
     needs = _class_needs(df, lab)
-    cls = df.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
+    # the minority rows are read by the dealing, both kNN sides and the neighbour lookup:
+    # materialise them once instead of re-reading the input each time
+    cls = cut_lineage(df.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0))
     seed_rows = cls if seeds is None else cls.join(seeds.select(c(spec.id_col)), on=spec.id_col, how="left_semi")
     dealt = _deal(seed_rows, spec, seed, salt)
     knn = knn_join(cls, cls, k, spec.feats, id_col=spec.id_col, partition_cols=[lab, *partition_cols],
@@ -153,7 +156,7 @@ def adasyn(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, **knn_kw) -> D
     of other-class rows among its k nearest (bround of its share of the class need)."""
     lab = spec.label_col
     needs = _class_needs(df, lab)
-    cls = df.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
+    cls = cut_lineage(df.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0))
     share = _other_class_share(df, cls, spec, k, **knn_kw)
     # share_i / Σ share = n_other_i / Σ n_other: integers keep the rounding exact
     r = cls.join(share, cls[spec.id_col].cast("string") == share["probe_id"], "left") \
@@ -279,7 +282,7 @@ def smoten(df: DataFrame, spec: Spec, cat_cols, k: int = 3, seed: int = 42, **kn
     emb, groups = vdm_embedding(df, lab, cat_cols)
     flat = [x for g in groups for x in g]
     needs = _class_needs(df, lab)
-    cls = emb.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
+    cls = cut_lineage(emb.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0))
     dealt = _deal(cls, spec, seed, "smoten")
     knn = knn_join(cls, cls, k, flat, id_col=spec.id_col, partition_cols=[lab], exclude_self=True,
                    groups=groups, **knn_kw)
@@ -309,7 +312,7 @@ def smotenc(df: DataFrame, spec: Spec, cat_cols, k: int = 3, seed: int = 42, **k
     enc = df.withColumns(ohe)
     dist_cols = nums + list(ohe)
     needs = _class_needs(df, lab)
-    cls = enc.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0)
+    cls = cut_lineage(enc.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0))
     dealt = _deal(cls, spec, seed, "smotenc")
     knn = knn_join(cls, cls, k, dist_cols, id_col=spec.id_col, partition_cols=[lab], exclude_self=True, **knn_kw)
     copies = explode_count(dealt.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy", key_col=spec.id_col)
