@@ -286,3 +286,11 @@ def test_many_quantiles_against_numpy(spark):
     assert len(got) == 101
     for p in probs:
         assert got[round(p, 6)] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+
+
+def test_select_rows_by_key(spark):
+    e = X.emb(spark, SMALL)
+    ids = [r["id"] for r in e.orderBy("id").limit(3).collect()]
+    got = U.select_rows(e, ids, ["e0", "label"])
+    assert sorted(r["id"] for r in got.collect()) == sorted(ids)
+    assert got.columns == ["id", "e0", "label"]

@@ -28,6 +28,8 @@ from tidewell.spec import Spec
 FAMILIES = ("RandomForestGini", "RandomForestEntr", "ExtraTreesGini", "ExtraTreesEntr", "LightGBM",
             "LightGBMXT", "LightGBMLarge", "CatBoost", "XGBoost", "NeuralNetTorch", "NeuralNetFastAI",
             "LR", "KNeighborsUnif", "KNeighborsDist")
+# neighbours of the kNN families (the estimator default the source's kNN models use)
+KNN_NEIGHBORS = 5
 # more tree nodes per pass over the data, node ids cached between levels
 TREE_KW = dict(maxMemoryInMB=1024, cacheNodeIds=True)
 WEIGHTED = {"RandomForestGini", "RandomForestEntr", "ExtraTreesGini", "ExtraTreesEntr", "LightGBM",
@@ -99,7 +101,7 @@ def fit_model(train: DataFrame, spec: Spec, family: str, name: str | None = None
     feats = list(spec.feats)
     t0 = time.time()
     if family.startswith("KNeighbors"):
-        k = 10 if family.endswith("Unif") else 10
+        k = KNN_NEIGHBORS
         base = train.select(c(spec.id_col).cast("string").alias(spec.id_col), *[c(x) for x in feats],
                             c(spec.label_col).alias("__lab"))
         return Trained(name or family, family, classes, feats, {"base": base, "k": k},

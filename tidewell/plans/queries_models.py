@@ -49,13 +49,13 @@ WHERE r = 1""", [
     "pairs AS (SELECT te.id, tr.id AS bid, tr.label, sqrt(" + " + ".join(
         f"(te.e{i} - tr.e{i}) * (te.e{i} - tr.e{i})" for i in range(8)) + ") AS dist FROM te, tr)",
     "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, bid) AS k FROM pairs) t "
-    "WHERE k <= 10)",
+    "WHERE k <= 5)",
     "v AS (SELECT id, label, sum(CASE WHEN dist = 0 THEN 1e12 ELSE 1.0 / dist END) AS w FROM nn GROUP BY id, label)"])
 
 
 @register("knn_classifier", _KNN_SQL, headline=True)
 def q_knn(spark, sf):
-    """M1 KNeighborsDist: exact 10-NN distance-weighted vote, test rows of a stratified split."""
+    """M1 KNeighborsDist: exact 5-NN distance-weighted vote, test rows of a stratified split."""
     train, test = emb_split(spark, sf)
     m = M.fit_model(train, X.EMB_SPEC, "KNeighborsDist")
     return rounded(M.predict(m, test))
