@@ -199,49 +199,70 @@ def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, ap
 def apply_quantile(df: DataFrame, params: DataFrame, output: str = "uniform") -> DataFrame:
     """x → the mean of the forward and backward linear interpolations of the reference
     grid over the quantile points (ties of quantiles are handled symmetrically);
-    'normal' maps through the standard normal quantile, clipped to ±5.2."""
-    rows = params.orderBy("feature", "ref").collect()
-    per = {}
+    'normal' maps through the standard normal quantile, clipped to ±5.2.
+
+    The segment of a value is found by ``Bucketizer`` (a binary search in the JVM over the
+    distinct quantile points); the interpolation reads literal arrays, so the expression
+    size does not grow with the number of points."""
+    from pyspark.ml.feature import Bucketizer
+    rows = params.orderBy("feature", "ref").collect()  # ≤ n_quantiles rows per feature
+    per: dict[str, list] = {}
     for r in rows:
-        per.setdefault(r["feature"], []).append((r["q"], r["ref"]))
+        per.setdefault(r["feature"], []).append((float(r["q"]), float(r["ref"])))
+    feats = list(per)
+    tmp = {x: f"__qb_in{i}" for i, x in enumerate(feats)}
+    bucket = {x: f"__qb{i}" for i, x in enumerate(feats)}
+    splits = []
+    for x in feats:
+        uniq = sorted({q for q, _ in per[x]})
+        splits.append([-float("inf")] + uniq + [float("inf")])
+    staged = df.withColumns({tmp[x]: F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in feats})
+    staged = Bucketizer(splitsArray=splits, inputCols=[tmp[x] for x in feats],
+                        outputCols=[bucket[x] for x in feats]).transform(staged)
     out = {}
-    for x, pts in per.items():
-        qv = [float(a) for a, _ in pts]
-        rv = [float(b) for _, b in pts]
-        out[x] = _interp_sym(c(x).cast("double"), qv, rv)
-    res = df.withColumns(out)
+    for x, sp in zip(feats, splits):
+        q = [a for a, _ in per[x]]
+        r = [b for _, b in per[x]]
+        uniq = sp[1:-1]
+        first = {}
+        last = {}
+        for j, v in enumerate(q):
+            first.setdefault(v, j)
+            last[v] = j
+        out[x] = _interp_sym_bucketed(c(x).cast("double"), F.col(bucket[x]).cast("int"), q, r, uniq,
+                                      [first[u] for u in uniq], [last[u] for u in uniq])
+    res = staged.withColumns(out).drop(*tmp.values(), *bucket.values())
     if output == "normal":
-        from tidewell.functions.columns import c as cc  # noqa: F401
-        res = res.withColumns({x: _norm_ppf(F.col(x)) for x in per})
+        res = res.withColumns({x: _norm_ppf(F.col(x)) for x in feats})
     return res
 
 
-def _count_le(x: Column, xp: list[float], lo: int, hi: int) -> Column:
-    """Number of points of the sorted ``xp`` that are ≤ x, known to lie in [lo, hi]: a balanced
-    comparison tree, so a value meets about log2(len(xp)) comparisons."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(x >= F.lit(xp[mid - 1]), _count_le(x, xp, mid, hi)).otherwise(_count_le(x, xp, lo, mid - 1))
-
-
-def _interp(x: Column, xp: list[float], fp: list[float]) -> Column:
-    """np.interp (xp non-decreasing): k = #points ≤ x; below the first point fp[0], from the
-    last point on fp[-1], else linear on the segment (k-1, k)."""
-    m = len(xp)
-    k = _count_le(x, xp, 0, m)
-    q_arr = F.array(*[F.lit(float(v)) for v in xp])
-    f_arr = F.array(*[F.lit(float(v)) for v in fp])
+def _interp_sym_bucketed(x: Column, b: Column, q: list[float], r: list[float], uniq: list[float],
+                         first: list[int], last: list[int]) -> Column:
+    """0.5·(forward + backward) np.interp of x over (q, r), given the bucket b of x among the
+    distinct points (b = 0: below the first; b = t+1: uniq[t] ≤ x < uniq[t+1])."""
+    m = len(q)
+    arr = lambda vals: F.array(*[F.lit(float(v)) for v in vals])
+    iarr = lambda vals: F.array(*[F.lit(int(v)) for v in vals])
+    q_arr, r_arr, u_arr = arr(q), arr(r), arr(uniq)
+    f_arr, l_arr = iarr(first), iarr(last)
+    # forward: k = #points ≤ x
+    k = F.when(b == 0, F.lit(0)).otherwise(F.element_at(l_arr, b) + 1)
     qa, qb = F.element_at(q_arr, k), F.element_at(q_arr, k + 1)
-    fa, fb = F.element_at(f_arr, k), F.element_at(f_arr, k + 1)
-    inner = fa + (x - qa) * (fb - fa) / (qb - qa)
-    return F.when(k == 0, F.lit(fp[0])).when(k >= m, F.lit(fp[-1])).otherwise(inner)
-
-
-def _interp_sym(x: Column, q: list[float], r: list[float]) -> Column:
-    fwd = _interp(x, q, r)
-    bwd = -_interp(-x, [-v for v in reversed(q)], [-v for v in reversed(r)])
-    return F.when(x.isNull(), None).otherwise(0.5 * (fwd + bwd))
+    ra, rb = F.element_at(r_arr, k), F.element_at(r_arr, k + 1)
+    fwd = (F.when(k == 0, F.lit(r[0])).when(k >= m, F.lit(r[-1]))
+            .otherwise(ra + (x - qa) * (rb - ra) / (qb - qa)))
+    # backward, on the negated reversed grid: k' = #points ≥ x = m - #points < x
+    eq = (b > 0) & (F.element_at(u_arr, F.greatest(b, F.lit(1))) == x)
+    less = F.when(b == 0, F.lit(0)).when(eq, F.element_at(f_arr, F.greatest(b, F.lit(1)))) \
+            .otherwise(F.element_at(l_arr, F.greatest(b, F.lit(1))) + 1)
+    kb = F.lit(m) - less
+    ia, ib = F.lit(m) - kb + 1, F.lit(m) - kb          # 1-based positions of q_{m-k'}, q_{m-k'-1}
+    na, nb = -F.element_at(q_arr, ia), -F.element_at(q_arr, ib)
+    fa, fb = -F.element_at(r_arr, ia), -F.element_at(r_arr, ib)
+    bval = (F.when(kb == 0, F.lit(-r[-1])).when(kb >= m, F.lit(-r[0]))
+             .otherwise(fa + ((-x) - na) * (fb - fa) / (nb - na)))
+    return F.when(x.isNull(), None).otherwise(0.5 * (fwd + (-bval)))
 
 
 def _norm_ppf(u: Column) -> Column:

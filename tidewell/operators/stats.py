@@ -130,16 +130,21 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                         hash_ordered=False, materialize=True)
     # a distinct value covers ranks (a, b] = (__cum - __c, __cum]; position p needs ranks
     # floor(h)+1 and ceil(h)+1 with h = (n-1)·p, and only p in ((a-1)/(n-1), b/(n-1)) can hit
-    # them.  The sorted probabilities are searched by a comparison tree, so each distinct
-    # value emits just the few positions it covers (about two rows per probability in all),
-    # never one row per probability.
-    ps = sorted(float(p) for p in probs)
+    # them.  The sorted probabilities are searched by a binary search, so each distinct value
+    # emits just the few positions it covers (about two rows per probability in all), never
+    # one row per probability.
+    ps = sorted({float(p) for p in probs})
     probs_arr = F.array(*[F.lit(p) for p in ps])
     den = F.greatest(F.col("__n") - 1, F.lit(1)).cast("double")
     a = F.col("__cum") - F.col("__c")
-    i0 = F.greatest(_count_le(((a - 1) / den), ps) - 1, F.lit(0))
-    i1 = F.least(_count_le(F.col("__cum") / den, ps) + 1, F.lit(len(ps)))
-    cand = (ranked.filter(i1 > i0)
+    # #probabilities ≤ bound, by Bucketizer's binary search (splits: -inf, p0, …, +inf)
+    from pyspark.ml.feature import Bucketizer
+    bounded = ranked.withColumns({"__blo": (a - 1) / den, "__bhi": F.col("__cum") / den})
+    bounded = Bucketizer(splitsArray=[[-float("inf")] + ps + [float("inf")]] * 2, inputCols=["__blo", "__bhi"],
+                         outputCols=["__klo", "__khi"]).transform(bounded)
+    i0 = F.greatest(F.col("__klo").cast("int") - 1, F.lit(0))
+    i1 = F.least(F.col("__khi").cast("int") + 1, F.lit(len(ps)))
+    cand = (bounded.filter(i1 > i0)
                   .withColumn("__i", F.explode(F.sequence(i0, i1 - 1)))
                   .withColumn("p", F.element_at(probs_arr, F.col("__i") + 1))
                   .withColumn("__h", (F.col("__n") - 1) * F.col("p"))
@@ -154,15 +159,6 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out.select(*key, "p", (F.col("__vlo") + frac * (F.col("__vhi") - F.col("__vlo"))).alias("value"))
 
 
-def _count_le(x, xs: list[float], lo: int = 0, hi: int | None = None):
-    """Number of the sorted ``xs`` that are ≤ x, as a balanced comparison tree."""
-    hi = len(xs) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(x >= F.lit(xs[mid - 1]), _count_le(x, xs, mid, hi)).otherwise(_count_le(x, xs, lo, mid - 1))
-
-
 def _wide_quantiles(qs: DataFrame, key: Sequence[str], names: dict[float, str]) -> DataFrame:
     aggs = [F.max(F.when(F.col("p") == F.lit(p), F.col("value"))).alias(n) for p, n in names.items()]
     return qs.groupBy(*key).agg(*aggs)
