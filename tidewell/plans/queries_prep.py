@@ -114,9 +114,44 @@ def q_normalize(spark, sf):
     return rounded(N.normalize_rows(X.emb(spark, sf), EMBF, "l2").select("id", "label", *EMBF))
 
 
-@register("scale_power")
+def _yj_sql(v: str, lam: str) -> str:
+    return (f"(CASE WHEN {v} >= 0 THEN (CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {v}) "
+            f"ELSE (pow({v} + 1, {lam}) - 1) / {lam} END) "
+            f"ELSE (CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {v}) "
+            f"ELSE -(pow(1 - {v}, 2 - {lam}) - 1) / (2 - {lam}) END) END)")
+
+
+def _power_sql(steps: int = 25) -> str:
+    vals = " UNION ALL ".join(f"SELECT '{x}' AS f, {x} AS v FROM ns WHERE {x} IS NOT NULL" for x in LIF)
+    ctes = [_MINCLASS, _NULLSHARE, f"vals AS ({vals})",
+            "base AS (SELECT f, count(v) AS n, sum(sign(v) * ln(1 + abs(v))) AS jac FROM vals GROUP BY f)",
+            "r0 AS (SELECT f, CAST(-3.0 AS DOUBLE) AS lo, CAST(3.0 AS DOUBLE) AS hi FROM base)"]
+    for i in (1, 2, 3):
+        ctes += [
+            f"g{i} AS (SELECT r.f, r.lo + (r.hi - r.lo) * t.k / {steps - 1} AS lam, r.lo, r.hi "
+            f"FROM r{i - 1} r, range({steps}) t(k))",
+            f"e{i} AS (SELECT g.f, g.lam, g.lo, g.hi, sum({_yj_sql('v.v', 'g.lam')}) AS s, "
+            f"sum({_yj_sql('v.v', 'g.lam')} * {_yj_sql('v.v', 'g.lam')}) AS sq FROM g{i} g JOIN vals v ON v.f = g.f "
+            "GROUP BY g.f, g.lam, g.lo, g.hi)",
+            f"l{i} AS (SELECT e.*, CASE WHEN e.sq / b.n - (e.s / b.n) * (e.s / b.n) > 0 THEN "
+            f"-b.n / 2 * ln(e.sq / b.n - (e.s / b.n) * (e.s / b.n)) + (e.lam - 1) * b.jac END AS ll, "
+            f"row_number() OVER (PARTITION BY e.f ORDER BY CASE WHEN e.sq / b.n - (e.s / b.n) * (e.s / b.n) > 0 THEN "
+            f"-b.n / 2 * ln(e.sq / b.n - (e.s / b.n) * (e.s / b.n)) + (e.lam - 1) * b.jac END DESC NULLS LAST, "
+            f"e.lam DESC) AS rk FROM e{i} e JOIN base b ON b.f = e.f)",
+            f"r{i} AS (SELECT f, lam - (hi - lo) / {steps - 1} AS lo, lam + (hi - lo) / {steps - 1} AS hi, lam "
+            f"FROM l{i} WHERE rk = 1)"]
+    ctes.append(f"mo AS (SELECT r.f, r.lam, avg({_yj_sql('v.v', 'r.lam')}) AS mean, "
+                f"CASE WHEN stddev_pop({_yj_sql('v.v', 'r.lam')}) = 0 THEN 1.0 ELSE stddev_pop({_yj_sql('v.v', 'r.lam')}) "
+                "END AS scale FROM r3 r JOIN vals v ON v.f = r.f GROUP BY r.f, r.lam)")
+    cols = ", ".join(
+        f"round(({_yj_sql(x, f'(SELECT lam FROM mo WHERE f = {chr(39)}{x}{chr(39)})')} - "
+        f"(SELECT mean FROM mo WHERE f = '{x}')) / (SELECT scale FROM mo WHERE f = '{x}'), 6) AS {x}" for x in LIF)
+    return X.with_ctes(["li"], f"SELECT id, label, {cols} FROM ns", ctes)
+
+
+@register("scale_power", _power_sql())
 def q_power(spark, sf):
-    """Yeo-Johnson λ per feature, then standardised (checked against numpy in tests)."""
+    """Yeo-Johnson λ per feature (three zooming grid passes), then standardised."""
     out, _ = N.scale(filtered(spark, sf), LIF, "power")
     return rounded(out.select("id", "label", *LIF))
 
