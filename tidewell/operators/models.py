@@ -204,22 +204,26 @@ def predict_proba(m: Trained, df: DataFrame, id_col: str = "id") -> DataFrame:
     return _probs_from_vector(v, id_col, m.classes)
 
 
-def predict(m: Trained, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """M9: (id, predicted, p_max) — the argmax of the row's probability array (ties → the
-    first class in alphabetical order); a projection, no shuffle."""
+def with_prediction(m: Trained, df: DataFrame, id_col: str = "id", pred_col: str = "predicted",
+                    pmax_col: str = "p_max") -> DataFrame:
+    """``df`` plus the predicted class (argmax of the row's probability array; ties → the
+    first class in alphabetical order) and its probability — a projection on the same rows."""
     v = proba_vector(m, df, id_col, "__pv")
     top = F.array_max("__pv")
-    return v.select(c(id_col).cast("string").alias(id_col),
-                    F.element_at(F.array(*[F.lit(x) for x in m.classes]),
-                                 F.array_position("__pv", top).cast("int")).alias("predicted"),
-                    top.alias("p_max"))
+    return v.withColumns({
+        pred_col: F.element_at(F.array(*[F.lit(x) for x in m.classes]), F.array_position("__pv", top).cast("int")),
+        pmax_col: top}).drop("__pv")
+
+
+def predict(m: Trained, df: DataFrame, id_col: str = "id") -> DataFrame:
+    """M9: (id, predicted, p_max); no shuffle for pipeline models and their ensembles."""
+    return with_prediction(m, df, id_col).select(c(id_col).cast("string").alias(id_col), "predicted", "p_max")
 
 
 def accuracy(m: Trained, df: DataFrame, spec: Spec) -> float:
-    pred = predict(m, df, spec.id_col)
-    j = pred.join(df.select(c(spec.id_col).cast("string").alias(spec.id_col), c(spec.label_col).alias("__y")),
-                  spec.id_col)
-    r = j.agg(F.avg((F.col("predicted") == F.col("__y")).cast("double")).alias("a")).collect()[0]["a"]
+    """Share of rows whose predicted class equals the label (scored on the rows themselves)."""
+    scored = with_prediction(m, df, spec.id_col, "__pred", "__pmax")
+    r = scored.agg(F.avg((F.col("__pred") == c(spec.label_col)).cast("double")).alias("a")).collect()[0]["a"]
     return float("nan") if r is None else float(r)
 
 
