@@ -115,11 +115,13 @@ def permuted_scores(m: M.Trained, df: DataFrame, spec: Spec, features: list[str]
     j = ex.join(donor, "__src")
     swapped = j.withColumns({f: F.when(F.col("feature") == F.lit(f), F.col("__vals")[F.lit(f)]).otherwise(c(f))
                              for f in feats})
-    swapped = swapped.withColumn("__pid", F.concat_ws("|", c(spec.id_col), F.col("feature"), F.col("shuffle").cast("string")))
-    pred = M.predict(m, swapped.select(F.col("__pid").alias(spec.id_col), *[c(x) for x in m.features]), spec.id_col)
-    scored = pred.join(swapped.select(F.col("__pid").alias(spec.id_col), "feature", "shuffle", "__y"), spec.id_col)
+    swapped = swapped.withColumn(spec.id_col, F.concat_ws("|", c(spec.id_col), F.col("feature"),
+                                                          F.col("shuffle").cast("string")))
+    # scored on the permuted rows themselves: the label travels with them, no join back
+    scored = M.with_prediction(m, swapped.select(c(spec.id_col), *[c(x) for x in m.features], "feature", "shuffle",
+                                                 "__y"), spec.id_col, "__pred", "__pmax")
     return scored.groupBy("feature", "shuffle").agg(
-        F.avg((F.col("predicted") == F.col("__y")).cast("double")).alias("score"))
+        F.avg((F.col("__pred") == F.col("__y")).cast("double")).alias("score"))
 
 
 def feature_importance(m: M.Trained, df: DataFrame, spec: Spec, shuffles: int = 5, seed: int = 42) -> DataFrame:
