@@ -294,3 +294,15 @@ def test_select_rows_by_key(spark):
     got = U.select_rows(e, ids, ["e0", "label"])
     assert sorted(r["id"] for r in got.collect()) == sorted(ids)
     assert got.columns == ["id", "e0", "label"]
+
+
+def test_value_ordered_rank_does_not_depend_on_partitions(spark):
+    e = X.emb(spark, SMALL)
+    base = {r["id"] for r in W.reduce_per_class(e, X.EMB_SPEC, 0.8, "proportion").collect()}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        other = {r["id"] for r in W.reduce_per_class(e, X.EMB_SPEC, 0.8, "proportion").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert base == other
