@@ -246,7 +246,7 @@ SELECT id, label, round(n_orders, 6) AS n_orders, round(total_price, 6) AS total
     "AS BIGINT) - 1)) AS copy FROM dealt)"])
 
 
-@register("prepared_train", _PREP_SQL)
+@register("prepared_train", _PREP_SQL, headline=True)
 def q_prepared(spark, sf):
     """Filter → split → kNN impute → standard scale → random oversample; the train table."""
     lab, unl = assembled(spark, sf)
