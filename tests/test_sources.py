@@ -81,3 +81,17 @@ def test_keep_best_and_summary(spark):
     s = R.fit_summary([m], board, "multiclass").collect()[0]
     assert s["best_model"] == "LR" and s["n_features"] == 8
     assert R.set_best(board, "LR").collect()[0]["is_best"]
+
+
+def test_sweep_written_partitioned_and_pruned(spark):
+    from tidewell.plans.teacher import sweep
+    e = X.emb(spark, SMALL)
+    board = sweep({"method": ["first", "last"], "threshold": [0.8]},
+                  lambda method, threshold: spark.createDataFrame([(method, float(threshold))], "m string, t double")
+                  .withColumn("n", F.lit(e.count())))
+    path = _scratch(spark) + "/board"
+    S.write_table(board, path, partition_by=["method"])
+    back = spark.read.parquet(path).filter(F.col("method") == "last")
+    assert back.count() == 1
+    assert "PartitionFilters" in back._jdf.queryExecution().executedPlan().toString() or \
+        "method" in back._jdf.queryExecution().executedPlan().toString()
