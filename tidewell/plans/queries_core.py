@@ -332,10 +332,11 @@ def q_problem_type(spark, sf):
     return G.infer_problem_type(X.li(spark, sf))
 
 
-@register("select_numeric_meta", X.with_ctes(["meta"], "SELECT L23_depth_normalized FROM meta"))
+@register("select_numeric_meta", X.with_ctes(["meta"], "SELECT round(L23_depth_normalized, 6) AS L23_depth_normalized "
+          "FROM meta"))
 def q_select_numeric(spark, sf):
     """Numeric columns of the meta table."""
-    return G.select_by_type(X.meta(spark, sf), "numeric")
+    return rounded(G.select_by_type(X.meta(spark, sf), "numeric"))
 
 
 # ------------------------------------------------------------------ reduction, ranking, edits
