@@ -2,7 +2,7 @@
 
 Plan: probe rows are hashed into ``npc`` chunks and base rows into ``nb`` blocks,
 both sized from counts so that one task holds at most ``probe_block`` probe rows
-and ``base_block`` base rows.  Each probe row is sent to every base block of its
+and ``base_block`` base rows (defaults keep a task's numpy temporaries near 70 MB).  Each probe row is sent to every base block of its
 partition (``partition_cols``, e.g. the class) and each base row to every probe
 chunk; ``cogroup`` meets them on (partition, chunk, block).  A task computes the
 exact distances of its block pair in numpy and emits only its local top-k, so the
@@ -129,7 +129,7 @@ def _blocks(n: int, block: int) -> int:
 def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str], *,
              id_col: str = "id", partition_cols: Sequence[str] = (), exclude_self: bool = False,
              donors: bool = False, base_passthrough: Sequence[str] = (),
-             probe_block: int = 2048, base_block: int = 4096,
+             probe_block: int = 1024, base_block: int = 2048,
              groups: list[list[str]] | None = None) -> DataFrame:
     """k nearest base rows per probe row (per partition value).
 
