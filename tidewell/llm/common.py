@@ -55,13 +55,19 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewell-{label}-{uuid.uuid4().hex}"
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """As ``shared_folder``, deleted with the tables of ``materialise``."""
+    path = shared_folder(spark, label)
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost
     executors cost nothing, and later readers prune columns.  Deleted when Python ends."""
     spark = df.sparkSession
-    path = shared_folder(spark, label)
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

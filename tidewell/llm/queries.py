@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact, simhash
-from tidewell.llm.common import read_table
+from tidewell.llm import exact, mixing, packing, quality, simhash, toxicity, training_order
+from tidewell.llm.common import crc32_mod, read_table, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,61 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _labelled_fold() -> tuple:
+    return F.col("doc_id"), (crc32_mod("doc_id", 5) == 0).alias("held_out")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select(
+        *_labelled_fold(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select(*_labelled_fold(), "score",
+                         (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
+
+
+@query
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_poisson_mixing"] = f"""
+WITH sized AS (
+  SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, CASE WHEN size > 0 THEN pow(size, {mixing.FLATTEN}) / (SELECT sum(pow(size, {mixing.FLATTEN})) FROM sized)
+                        * (SELECT sum(size) FROM sized) / size ELSE 1.0 END AS rate FROM sized),
+parted AS (SELECT source, rate, greatest(1, ceil(rate / {mixing.PART}))::INT AS parts FROM rates),
+cdf AS (
+  SELECT source, parts, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1.0)))
+           OVER (PARTITION BY source ORDER BY k) AS c
+  FROM parted, generate_series(0, 200) AS g(k)
+  WHERE k <= ceil(rate / parts + 12 * sqrt(rate / parts) + 24)),
+cdfs AS (SELECT source, max(parts) AS parts, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+drawn AS (
+  SELECT d.*, list_sum(list_transform(range(0, parts), lambda p: len(list_filter(cs, lambda c: c <
+           (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || p), 1, 13) AS BIGINT)
+            + 0.5) / 4503599627370496.0))))::INT AS n
+  FROM documents d JOIN cdfs s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+       md5('order:{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn)
+"""
+
+
+@query
+def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -43,3 +98,10 @@ w AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM w
 """
+
+
+@query
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark, "shards")
+    shape = training_order.write_training_order(read_table(spark, sf_dir, "documents"), path)
+    return training_order.slot_digests(spark, path, shape)
