@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact, mixing, packing, quality, simhash, toxicity, training_order
+from tidewell.llm import (
+    embeddings,
+    exact,
+    language_model,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+    training_order,
+)
 from tidewell.llm.common import crc32_mod, read_table, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +81,79 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn)
 """
 
 
+@query
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_model.score_documents(docs, crc32_mod("doc_id", 7) != 2).withColumn(
+        "held_out", crc32_mod("doc_id", 7) == 2)
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
+             for k, name in enumerate(secrets.KINDS[:3])]
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *count, F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
+def _secret_sql() -> str:
+    def matches(kind: str) -> str:
+        k, p = secrets.KINDS.index(kind), secrets.PATTERNS[kind].replace("'", "''")
+        ok = f"len(unnest(regexp_extract_all(t, '{p}', 2))) >= {secrets.ASSIGN_LEAST}" if kind == "assign" else "true"
+        return f"""SELECT doc_id, {k} AS kind, unnest(range(0, len(regexp_extract_all(t, '{p}')))) AS n,
+          len(unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))])) AS gap,
+          unnest(regexp_extract_all(t, '{p}')) AS s, {ok} AS ok FROM d WHERE regexp_matches(t, '{p}')"""
+    w = secrets.WINDOW
+    table = "[0, 0, " + ", ".join(str(round(c * math.log2(c) * secrets.UNIT)) for c in range(2, w + 1)) + "]"
+    limit = " ".join(f"WHEN {secrets.KINDS.index(n)} THEN {secrets.entropy_limit(b)}" for n, b in secrets.BOUNDS.items())
+    allow = " OR ".join(f"regexp_matches(s, '{p}')" for p in secrets.ALLOW)
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+
+    def text(where: str) -> str:
+        return f"""coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)
+            FILTER (WHERE {where}), '')"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(matches(k) for k in secrets.KINDS)}),
+placed AS (
+  SELECT *, CAST(sum(gap + len(s)) OVER (PARTITION BY doc_id, kind ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM m),
+at AS (SELECT *, stop - len(s) AS start FROM placed),
+chars AS (
+  SELECT doc_id, kind, start, unnest(range(0, len(s))) AS pos, unnest(string_split(s, '')) AS ch
+  FROM at WHERE kind > 2 AND NOT ({allow})),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, kind, start, ch ORDER BY pos RANGE BETWEEN {w - 1} PRECEDING AND 1 PRECEDING) AS k,
+         count(*) OVER (PARTITION BY doc_id, kind, start, ch ORDER BY pos RANGE BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS m
+  FROM chars),
+steps AS (
+  SELECT *, ({table})[k + 2] - ({table})[k + 1] AS enter, ({table})[m] - ({table})[m + 1] AS leave FROM counted),
+summed AS (
+  SELECT *, sum(enter) OVER (PARTITION BY doc_id, kind, start ORDER BY pos ROWS UNBOUNDED PRECEDING)
+       + coalesce(sum(leave) OVER (PARTITION BY doc_id, kind, start ORDER BY pos
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING), 0) AS total FROM steps),
+hits AS (SELECT * FROM summed WHERE pos >= {w - 1} AND total <= CASE kind {limit} END),
+marked AS (
+  SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, kind, start ORDER BY pos) <= {w} THEN 0 ELSE 1 END AS new
+  FROM hits),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kind, start ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+spans AS (
+  SELECT doc_id, kind, start, stop FROM at WHERE kind < 3 AND ok
+  UNION ALL
+  SELECT doc_id, kind, start + min(pos) - {w - 1}, start + max(pos) + 1 FROM islands GROUP BY doc_id, kind, start, island),
+agg AS (
+  SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+         count(*) FILTER (WHERE kind = 2) AS n_hex, {text("kind < 3")} AS base, {text("kind >= 0")} AS spans
+  FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, n_assign, n_access, n_hex, sha256(base) AS base_sha256, spans FROM agg
+"""
+
+
+ORACLE["op5_secret_scan"] = _secret_sql()
+
+
 @query
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
@@ -105,3 +190,8 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark, "shards")
     shape = training_order.write_training_order(read_table(spark, sf_dir, "documents"), path)
     return training_order.slot_digests(spark, path, shape)
+
+
+@query
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
