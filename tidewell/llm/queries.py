@@ -91,7 +91,8 @@ def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{name}")
              for k, name in enumerate(secrets.KINDS[:3])]
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", *count, F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
@@ -120,10 +121,10 @@ m AS ({" UNION ALL ".join(matches(k) for k in secrets.KINDS)}),
 placed AS (
   SELECT *, CAST(sum(gap + len(s)) OVER (PARTITION BY doc_id, kind ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM m),
-at AS (SELECT *, stop - len(s) AS start FROM placed),
+located AS (SELECT *, stop - len(s) AS start FROM placed),
 chars AS (
   SELECT doc_id, kind, start, unnest(range(0, len(s))) AS pos, unnest(string_split(s, '')) AS ch
-  FROM at WHERE kind > 2 AND NOT ({allow})),
+  FROM located WHERE kind > 2 AND NOT ({allow})),
 counted AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id, kind, start, ch ORDER BY pos RANGE BETWEEN {w - 1} PRECEDING AND 1 PRECEDING) AS k,
          count(*) OVER (PARTITION BY doc_id, kind, start, ch ORDER BY pos RANGE BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS m
@@ -140,7 +141,7 @@ marked AS (
   FROM hits),
 islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kind, start ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 spans AS (
-  SELECT doc_id, kind, start, stop FROM at WHERE kind < 3 AND ok
+  SELECT doc_id, kind, start, stop FROM located WHERE kind < 3 AND ok
   UNION ALL
   SELECT doc_id, kind, start + min(pos) - {w - 1}, start + max(pos) + 1 FROM islands GROUP BY doc_id, kind, start, island),
 agg AS (
