@@ -8,6 +8,7 @@ Latin range is encoded by the tokenizer as it is.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -17,7 +18,9 @@ from tokenizers import Tokenizer
 
 #: fixed value: the split pattern that the vocabulary file itself names
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CHUNKS, PIECES = 200_000, 300_000
+#: the same for lower-case ASCII
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+CHUNKS, PIECES = 300_000, 300_000
 
 
 def default_vocabulary() -> str:
@@ -50,16 +53,20 @@ class Encoder:
     def _new_chunks(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         out, split = {}, {}
         for c in chunks:
+            if c.isalpha():  # of ASCII letters
+                split[c] = [c.decode().lower()]
+                continue
             s = c.decode("utf-8", "surrogatepass")
-            if c.isascii():
-                split[c] = PIECE.findall(s.lower())
-            elif max(s) < "ɐ" and "İ" not in s and unicodedata.is_normalized("NFC", s) and not regex.search(r"\s", s):
+            if s.isascii():
+                split[c] = ASCII_PIECE.findall(s.lower())
+            elif (max(s) < "ɐ" and "İ" not in s and "\x85" not in s and "\xa0" not in s
+                  and unicodedata.is_normalized("NFC", s)):
                 split[c] = PIECE.findall(s.lower())
             else:
                 out[c] = self._raw(s)
-        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
-        got = self._new_pieces(new) if new else {}
         known = self.pieces
+        new = list(set().union(*split.values()).difference(known))
+        got = self._new_pieces(new) if new else {}
         for c, ps in split.items():
             out[c] = b"".join([got[p] if p in got else known[p] for p in ps])
         if len(known) < PIECES:
@@ -68,14 +75,18 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.chunks
-        new = {w for ws in words for w in ws if w not in known}
-        got = self._new_chunks(new) if new else {}
-        if len(known) < CHUNKS:
-            known.update(got)
-        if not got:
-            return [b"".join([known[w] for w in ws]) for ws in words]
-        return [b"".join([got[w] if w in got else known[w] for w in ws]) for ws in words]
+        known, distinct = self.chunks, set().union(*words)
+        new = distinct.difference(known)
+        if not new:
+            table = known
+        else:
+            table = self._new_chunks(new)
+            if len(known) < CHUNKS:
+                known.update(table)
+                table = known
+            else:
+                table.update((w, known[w]) for w in distinct.difference(new))
+        return [b"".join(map(table.__getitem__, ws)) for ws in words]
 
 
 _encoders: dict[int, Encoder] = {}
