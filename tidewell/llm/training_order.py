@@ -7,7 +7,7 @@ slot without sorting by a random key or a table of permuted numbers.  Slots are
 shard k holds the slots from k × ``per_shard`` on, in order, each as one record of the same
 size, so that slot s starts at byte (s mod per_shard) × stride of its shard's only file.
 
-Spark's own text writer writes the records (a binary value, then the one-byte separator), so
+Sequences are kept compressed until a record is written.  Spark's own text writer writes the records (a binary value, then the one-byte separator), so
 files appear through its commit protocol on any file system, and a retried task writes the
 same bytes again.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +83,8 @@ def id_width(vocabulary_size: int) -> int:
 
 def token_sequences(docs: DataFrame, text_col: str = "text", length: int = LENGTH, end_id: int = END_ID,
                     pad_id: int = PAD_ID, vocabulary: str | None = None) -> DataFrame:
-    """(part, at, n_tokens, ids): the sequences of every input partition, numbered from 0.
+    """(part, at, n_tokens, ids): the sequences of every input partition, numbered from 0;
+    ``ids`` are compressed (zstd).
 
     Every text is followed by ``end_id``; an empty or NULL text is that id alone.  Memory per
     task: one slice of texts and one open sequence."""
@@ -94,13 +96,13 @@ def token_sequences(docs: DataFrame, text_col: str = "text", length: int = LENGT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, open_ids, at, part = encoder(vocab.value), np.empty(0, kind), 0, None
-        end = np.array([end_id], "<u4").tobytes()
+        end, press = np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=3).compress
 
         def rows(block, tokens):
             n = len(block)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)),
-                 pa.array(tokens, pa.int32()), pa.array([r.tobytes() for r in block], pa.binary())],
+                 pa.array(tokens, pa.int32()), pa.array([press(r.tobytes()) for r in block], pa.binary())],
                 names=["part", "at", "n_tokens", "ids"])
 
         for batch in batches:
@@ -140,19 +142,24 @@ def write_training_order(docs: DataFrame, path: str, text_col: str = "text", len
              "stride": HEAD.itemsize + width * length + 1}
     starts = spark.sparkContext.broadcast(before)
 
-    @F.pandas_udf("slot long, record binary")
-    def record(part: pd.Series, at: pd.Series, tokens: pd.Series, ids: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("number long, slot long")
+    def place(part: pd.Series, at: pd.Series) -> pd.DataFrame:
         number = at.to_numpy() + part.map(starts.value).to_numpy()
+        return pd.DataFrame({"number": number, "slot": feistel_slots(number, count, key)})
+
+    @F.pandas_udf("binary")
+    def record(number: pd.Series, tokens: pd.Series, ids: pd.Series) -> pd.Series:
+        open_ids = zstandard.ZstdDecompressor().decompress
         head = np.zeros(len(number), HEAD)
-        head["sequence"], head["tokens"], head["magic"] = number, tokens.to_numpy(), MAGIC
-        return pd.DataFrame({"slot": feistel_slots(number, count, key),
-                             "record": [h.tobytes() + i for h, i in zip(head, ids)]})
+        head["sequence"], head["tokens"], head["magic"] = number.to_numpy(), tokens.to_numpy(), MAGIC
+        return pd.Series([h.tobytes() + open_ids(i) for h, i in zip(head, ids)])
 
-    slots = made.select(record("part", "at", "n_tokens", "ids").alias("r")).select("r.slot", "r.record")
+    placed = made.select("n_tokens", "ids", place("part", "at").alias("r")).select("n_tokens", "ids", "r.*")
     shards = max(1, -(-count // per_shard))
-    (slots.withColumn("shard", (F.col("slot") / per_shard).cast("long"))
-     .repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-     .select("shard", F.col("record").cast("string").alias("value"))
+    (placed.withColumn("shard", (F.col("slot") / per_shard).cast("long"))
+     .repartitionByRange(shards, "shard")
+     .select("shard", "slot", record("number", "n_tokens", "ids").cast("string").alias("value"))
+     .sortWithinPartitions("shard", "slot").select("shard", "value")
      .write.partitionBy("shard").option("lineSep", "\n").text(path))
     return shape
 
