@@ -20,7 +20,7 @@ def test_predict_and_scale_on_a_stream(spark):
     shutil.copy(f"{SMALL}/embeddings.parquet", f"{src}/part-0.parquet")
     stream = spark.readStream.schema(schema).parquet(src)
     feats = stream.select(F.col("vec_id").cast("string").alias("id"),
-                          *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+                          *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(X.N_EMB)])
     scored = M.predict(m, N.apply(feats, params, "standard"))
     name = "tw_stream_pred"
     q = (scored.writeStream.format("memory").queryName(name).outputMode("append")

@@ -1,9 +1,11 @@
 """Set operations and edits.
 
-A change set is a long table (op, id, col, value): ``op`` is 'edit', 'delete' or
-'add'; values are text and are cast to the target column's type.  Edits apply
-first, then deletes, then additions — one plan: a pivot of the edits joined by
-key, an anti join for the deletes, a union for the additions.
+A change set is a long table (op, id, col, value[, seq]): ``op`` is 'edit', 'delete' or
+'add'; values are text and are cast to the target column's type, and a NULL value blanks
+the cell.  Of several changes of one cell the last by ``seq`` counts (without ``seq``, the
+greatest value, so that reruns agree).  Edits apply first, then deletes, then additions —
+one plan: a pivot of the edits joined by key, an anti join for the deletes, a union for the
+additions.
 """
 
 from __future__ import annotations
@@ -33,24 +35,29 @@ def union_keep(confident: DataFrame, pool: DataFrame, classes: Sequence[str], la
     return out.dropDuplicates([id_col]) if dedupe else out
 
 
+def _last_change(changes: DataFrame):
+    """The winning change of a cell as a struct: present means changed, even to NULL."""
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    return F.max(F.struct(seq.alias("seq"), F.col("value").isNotNull().alias("set"), F.col("value").alias("value")))
+
+
 def apply_changes(df: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame:
     """Edits, then deletes, then additions from a long change table."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     cols = [x for x in df.columns if x != id_col]
     edits = changes.filter(F.col("op") == "edit")
     wide = (edits.groupBy(F.col("id").alias("__eid")).pivot("col", cols)
-                 .agg(F.last("value")))
+                 .agg(_last_change(changes)))
     wide = wide.select("__eid", *[F.col(q(x)).alias(f"__e_{i}") for i, x in enumerate(cols)])
     j = df.join(wide, df[q(id_col)].cast("string") == wide["__eid"], "left")
-    edited = j.select(c(id_col), *[F.when(F.col(f"__e_{i}").isNotNull(), F.col(f"__e_{i}").cast(types[x]))
+    edited = j.select(c(id_col), *[F.when(F.col(f"__e_{i}").isNotNull(), F.col(f"__e_{i}.value").cast(types[x]))
                                    .otherwise(c(x)).alias(x) for i, x in enumerate(cols)])
     dels = changes.filter(F.col("op") == "delete").select(F.col("id").alias("__did"))
     kept = edited.join(dels, edited[q(id_col)].cast("string") == dels["__did"], "left_anti")
     adds = changes.filter(F.col("op") == "add")
-    added = (adds.groupBy("id").pivot("col", cols).agg(F.last("value")))
+    added = (adds.groupBy("id").pivot("col", cols).agg(_last_change(changes)))
     added = added.select(F.col("id").cast(types[id_col]).alias(id_col),
-                         *[F.col(q(x)).cast(types[x]).alias(x) if x in added.columns
-                           else F.lit(None).cast(types[x]).alias(x) for x in cols])
+                         *[F.col(q(x))["value"].cast(types[x]).alias(x) for x in cols])
     return kept.unionByName(added)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -148,7 +149,7 @@ def proba_vector(m: Trained, df: DataFrame, id_col: str = "id", out: str = "__pv
         cols = []
         for i, sub in enumerate(m.model):
             cols.append(f"{out}_f{i}")
-            df = proba_vector(Trained(m.name, m.family, m.classes, m.features, sub), df, id_col, cols[-1])
+            df = proba_vector(Trained(m.name, m.family, m.classes, m.features, sub, extra=m.extra), df, id_col, cols[-1])
         return df.withColumn(out, _combine(cols, [1.0 / len(cols)] * len(cols), nc)).drop(*cols)
     if m.family.startswith("KNeighbors"):
         return _knn_vector(m, df, id_col, out)
@@ -172,12 +173,17 @@ def proba_vector(m: Trained, df: DataFrame, id_col: str = "id", out: str = "__pv
     scored = m.model.transform(df)
     if m.family in _GBT:
         # one-vs-rest margins → logistic per class → renormalised
-        sig = F.transform(vector_to_array("rawPrediction"), lambda x: 1.0 / (1.0 + F.exp(-2.0 * x)))
+        raw = vector_to_array("rawPrediction")
+        sig = F.transform(F.sequence(F.lit(0), F.lit(nc - 1)),
+                          lambda i: F.coalesce(1.0 / (1.0 + F.exp(-2.0 * F.get(raw, i))), F.lit(0.0)))
         scored = scored.withColumn(out + "_s", sig)
         tot = F.aggregate(out + "_s", F.lit(0.0), lambda a, x: a + x)
         scored = scored.withColumn(out, F.transform(out + "_s", lambda x: x / tot)).drop(out + "_s")
     else:
-        scored = scored.withColumn(out, vector_to_array("probability"))
+        # a class that the train rows lack scores 0
+        raw = vector_to_array("probability")
+        scored = scored.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(nc - 1)),
+                                                    lambda i: F.coalesce(F.get(raw, i), F.lit(0.0))))
     return scored.drop(*[x for x in _PIPE_COLS if x not in keep])
 
 
@@ -227,6 +233,48 @@ def accuracy(m: Trained, df: DataFrame, spec: Spec) -> float:
     return float("nan") if r is None else float(r)
 
 
+METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "mcc",
+           "log_loss")
+
+
+def score_metrics(m: Trained, df: DataFrame, spec: Spec, metrics: Sequence[str] = ("accuracy",)) -> dict[str, float]:
+    """Metrics of one model in one pass: counts per (label, predicted), at most classes², and
+    the summed log loss.  All are "higher is better" but ``log_loss``, which is negated."""
+    bad = [x for x in metrics if x not in METRICS]
+    if bad:
+        raise ValueError(f"no such metric: {', '.join(bad)}; there are {', '.join(METRICS)}")
+    scored = proba_vector(m, df, spec.id_col, "__pv")
+    top = F.element_at(F.array(*[F.lit(x) for x in m.classes]),
+                       F.array_position("__pv", F.array_max("__pv")).cast("int"))
+    own = F.element_at("__pv", F.array_position(F.array(*[F.lit(x) for x in m.classes]), c(spec.label_col)).cast("int"))
+    loss = -F.log(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(1e-15)))
+    known = F.array_contains(F.array(*[F.lit(x) for x in m.classes]), c(spec.label_col))
+    rows = (scored.select(c(spec.label_col).alias("y"), top.alias("p"), F.when(known, loss).otherwise(-F.log(F.lit(1e-15))).alias("l"))
+            .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("l")).collect())
+    total = sum(r["n"] for r in rows)
+    if not total:
+        return dict.fromkeys(metrics, float("nan"))
+    real, said, hit = {}, {}, {}
+    for r in rows:
+        real[r["y"]] = real.get(r["y"], 0) + r["n"]
+        said[r["p"]] = said.get(r["p"], 0) + r["n"]
+        if r["y"] == r["p"]:
+            hit[r["y"]] = r["n"]
+    both = sorted(set(real) | set(said), key=str)
+    recall = {x: hit.get(x, 0) / real[x] for x in real}
+    prec = {x: hit.get(x, 0) / said[x] if said.get(x) else 0.0 for x in both}
+    f1 = {x: 2 * hit.get(x, 0) / (real.get(x, 0) + said.get(x, 0)) for x in both}
+    right = sum(hit.values())
+    cov = right * total - sum(real.get(x, 0) * said.get(x, 0) for x in both)
+    spread = ((total ** 2 - sum(v * v for v in said.values())) * (total ** 2 - sum(v * v for v in real.values()))) ** 0.5
+    every = {"accuracy": right / total, "balanced_accuracy": sum(recall.values()) / len(recall),
+             "f1_macro": sum(f1.values()) / len(both), "f1_weighted": sum(f1[x] * n for x, n in real.items()) / total,
+             "precision_macro": sum(prec.values()) / len(both),
+             "recall_macro": sum(recall.get(x, 0.0) for x in both) / len(both),
+             "mcc": cov / spread if spread else 0.0, "log_loss": -sum(r["l"] for r in rows) / total}
+    return {x: every[x] for x in metrics}
+
+
 def _timed(fn):
     t0 = time.time()
     v = fn()
@@ -234,22 +282,38 @@ def _timed(fn):
 
 
 def leaderboard(models: list[Trained], spec: Spec, test: DataFrame | None = None,
-                val: DataFrame | None = None, metric: str = "accuracy", parallelism: int = 4) -> DataFrame:
-    """One row per model: model, score_test, score_val, eval_metric, prediction and fit
-    times (marginal = own time; members' times are added for ensembles), stack_level,
-    can_infer, fit_order."""
+                val: DataFrame | None = None, metric: str = "accuracy", parallelism: int = 4,
+                extra_metrics: Sequence[str] = ()) -> DataFrame:
+    """One row per model: model, score_test, score_val (both of ``metric``), eval_metric,
+    prediction and fit times (an ensemble's fit time adds its members'; a prediction runs the
+    members too, so its marginal time is its own less theirs), stack_level, can_infer,
+    fit_order, and one column per extra metric, scored on test (on val without a test)."""
+    names = [metric, *[x for x in extra_metrics if x != metric]]
+
     def score(item):
         order, m = item
-        st, tt = _timed(lambda: accuracy(m, test, spec)) if test is not None else (None, None)
-        sv, tv = _timed(lambda: accuracy(m, val, spec)) if val is not None else (None, None)
+        st, tt = _timed(lambda: score_metrics(m, test, spec, names)) if test is not None else ({}, None)
+        sv, tv = (_timed(lambda: score_metrics(m, val, spec, names if test is None else [metric]))
+                  if val is not None else ({}, None))
+        return m, order, st, tt, sv, tv
+
+    scored = parallel_map(score, list(enumerate(models, start=1)), parallelism)
+    times = {m.name: (tt, tv) for m, _, _, tt, _, tv in scored}
+
+    def own(m, i, t):
+        inner = [times[s.name][i] for s, _ in m.extra.get("members", []) if s.name in times]
+        return None if t is None else max(0.0, t - sum(x or 0.0 for x in inner))
+
+    rows = []
+    for m, order, st, tt, sv, tv in scored:
         member_fit = sum(s.fit_time for s, _ in m.extra.get("members", []))
-        return (m.name, _nan(st), _nan(sv), metric, tt, tv, m.fit_time + member_fit, tt, tv, m.fit_time,
-                m.stack_level, True, order)
-    rows = parallel_map(score, list(enumerate(models, start=1)), parallelism)
+        rows.append((m.name, _nan(st.get(metric)), _nan(sv.get(metric)), metric, tt, tv, m.fit_time + member_fit,
+                     own(m, 0, tt), own(m, 1, tv), m.fit_time, m.stack_level, True, order,
+                     *[_nan((st or sv).get(x)) for x in extra_metrics]))
     schema = ("model string, score_test double, score_val double, eval_metric string, pred_time_test double, "
               "pred_time_val double, fit_time double, pred_time_test_marginal double, "
               "pred_time_val_marginal double, fit_time_marginal double, stack_level int, can_infer boolean, "
-              "fit_order int")
+              "fit_order int") + "".join(f", {x} double" for x in extra_metrics)
     spark = (test if test is not None else val).sparkSession
     return spark.createDataFrame(rows, schema)
 

@@ -40,7 +40,7 @@ def reduce_per_class(df: DataFrame, spec: Spec, threshold: float = 0.8, method:
         step = F.bround(F.col("n") / (F.col("n") - m))
         keep = F.when(F.col("n") == m, True).otherwise(((F.col("rn") - 1) % step) != 0)
     else:
-        raise ValueError(f"Invalid method {method!r}. Choose one of {METHODS}.")
+        raise ValueError(f"unknown method {method!r}; known are {', '.join(METHODS)}")
     return r.filter(keep).drop("distance", "rn", "n")
 
 

@@ -233,7 +233,7 @@ def oversample(df: DataFrame, spec: Spec, method: str = "smote", **kw) -> DataFr
         return smoten(df, spec, kw["categorical"], kw.get("k_neighbors", 3), kw.get("seed", 42))
     if method == "smotenc":
         return smotenc(df, spec, kw["categorical"], kw.get("k_neighbors", 3), kw.get("seed", 42))
-    raise ValueError(f"Invalid oversampling method {method!r}. Choose one of {METHODS}.")
+    raise ValueError(f"unknown oversampling method {method!r}; known are {', '.join(METHODS)}")
 
 
 # ----------------------------------------------------------------- categorical variants

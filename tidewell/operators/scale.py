@@ -126,18 +126,27 @@ def _bc(x: Column, lam: float) -> Column:
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
+#: bracket moves at most (each doubles the bracket: λ beyond any double transform)
+MOVES = 20
+
+
 def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson",
               grid=(-3.0, 3.0), steps: int = 25, passes: int = 3) -> DataFrame:
     """N5 fit: per-feature λ maximising the profile log-likelihood, then the mean and
     population std of the transformed column (standardise).
 
-    Each pass evaluates ``steps`` λ values for every feature in one aggregate
-    (Σt, Σt², n, and Σ sign(x)·log1p|x| or Σ log x); the next pass zooms in on the best λ.
+    Each pass evaluates ``steps`` λ values for every feature in one aggregate (the central
+    second moment of each transform, n, and Σ sign(x)·log1p|x| or Σ log x).  While the best λ
+    of a feature is at an end of its bracket the bracket moves there and doubles; otherwise
+    the next pass zooms in.  ``passes`` counts the zooming passes of the slowest feature.
     """
     tf = _yj if method == "yeo-johnson" else _bc
     lo_hi = {x: grid for x in cols}
     best = {}
-    for _ in range(passes):
+    left = dict.fromkeys(cols, passes)
+    for _ in range(passes + MOVES):
+        if not any(left.values()):
+            break
         aggs = []
         lams = {}
         for i, x in enumerate(cols):
@@ -146,7 +155,7 @@ def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson",
             v = c(x).cast("double")
             for k, lam in enumerate(lams[x]):
                 t = tf(v, lam)
-                aggs += [F.sum(t).alias(f"s{i}_{k}"), F.sum(t * t).alias(f"q{i}_{k}")]
+                aggs.append(F.var_pop(t).alias(f"v{i}_{k}"))
             if method == "yeo-johnson":
                 aggs.append(F.sum(F.signum(v) * F.log1p(F.abs(v))).alias(f"j{i}"))
             else:
@@ -155,20 +164,26 @@ def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson",
         row = df.agg(*aggs).collect()[0]
         for i, x in enumerate(cols):
             n = row[f"n{i}"] or 0
-            if n == 0:
-                best[x] = 1.0
+            if n == 0 or not left[x]:
+                best.setdefault(x, 1.0)
+                left[x] = 0
                 continue
             jac = row[f"j{i}"]
             scores = []
             for k, lam in enumerate(lams[x]):
-                s, sq = row[f"s{i}_{k}"], row[f"q{i}_{k}"]
-                var = sq / n - (s / n) ** 2
-                ll = -math.inf if var is None or var <= 0 else -n / 2 * math.log(var) + (lam - 1) * jac
-                scores.append((ll, lam))
+                var = row[f"v{i}_{k}"]
+                fine = var is not None and 0 < var < math.inf
+                scores.append((-n / 2 * math.log(var) + (lam - 1) * jac if fine else -math.inf, lam))
             ll, lam = max(scores)
             best[x] = lam
-            step = (lo_hi[x][1] - lo_hi[x][0]) / (steps - 1)
-            lo_hi[x] = (lam - step, lam + step)
+            lo, hi = lo_hi[x]
+            if lam in (lams[x][0], lams[x][-1]) and ll > -math.inf:
+                side = -1 if lam == lams[x][0] else 1
+                lo_hi[x] = tuple(sorted((lam - side * (hi - lo) / 4, lam + side * (hi - lo) * 2)))
+            else:
+                step = (hi - lo) / (steps - 1)
+                lo_hi[x] = (lam - step, lam + step)
+                left[x] -= 1
     moments = df.agg(*[F.avg(tf(c(x).cast("double"), best[x])).alias(f"m{i}") for i, x in enumerate(cols)],
                      *[F.stddev_pop(tf(c(x).cast("double"), best[x])).alias(f"s{i}") for i, x in enumerate(cols)]
                      ).collect()[0]
@@ -312,7 +327,7 @@ def fit(df: DataFrame, cols: Sequence[str], method: str = "standard", **kw) -> D
         return fit_quantile(df, cols, kw.get("n_quantiles", 1000), kw.get("approx", False))
     if method == "normalizer":
         return df.sparkSession.createDataFrame([(x, kw.get("norm", "l2")) for x in cols], "feature string, norm string")
-    raise ValueError(f"Invalid scaling method {method!r}. Choose one of {METHODS}.")
+    raise ValueError(f"unknown scaling method {method!r}; known are {', '.join(METHODS)}")
 
 
 def apply(df: DataFrame, params: DataFrame, method: str = "standard", **kw) -> DataFrame:
@@ -331,7 +346,7 @@ def apply(df: DataFrame, params: DataFrame, method: str = "standard", **kw) -> D
     if method == "normalizer":
         rows = params.collect()
         return normalize_rows(df, [r["feature"] for r in rows], rows[0]["norm"] if rows else "l2")
-    raise ValueError(f"Invalid scaling method {method!r}. Choose one of {METHODS}.")
+    raise ValueError(f"unknown scaling method {method!r}; known are {', '.join(METHODS)}")
 
 
 def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", fit_on: DataFrame | None = None, **kw):

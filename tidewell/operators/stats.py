@@ -268,18 +268,42 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair (col_a, col_b, corr); pairwise
-    complete rows; all pairs in one aggregate pass."""
-    pairs = [(a, b) for a in cols for b in cols]
-    idx = {x: i for i, x in enumerate(cols)}
-    aggs = []
-    for a, b in pairs:
-        if idx[a] <= idx[b]:
-            aggs.append(F.corr(c(a).cast("double"), c(b).cast("double")).alias(f"r{idx[a]}_{idx[b]}"))
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        F.col(f"r{min(idx[a], idx[b])}_{max(idx[a], idx[b])}").alias("corr"))
-               for a, b in pairs]
-    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    complete rows.  Tasks add block products of the centred columns and their masks; one row
+    of sums per column leaves a task, and the sums are added by column."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    cols = list(cols)
+    d = len(cols)
+    row = df.agg(*[F.avg(c(x).cast("double")).alias(f"m{i}") for i, x in enumerate(cols)]).first()
+    mean = np.array([row[i] if row[i] is not None else 0.0 for i in range(d)], float)
+
+    def run(batches):
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]).astype(float) - mean
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            m = there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()),
+                                          pa.array([total[:, a].tobytes() for a in range(d)], pa.binary())], names=["a", "v"])
+
+    def add(key, pdf):
+        return pd.DataFrame({"a": [key[0]], "v": [np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()]})
+
+    sums = (df.select(*[c(x).cast("double").alias(f"x{i}") for i, x in enumerate(cols)]).mapInArrow(run, "a int, v binary")
+            .groupBy("a").applyInPandas(add, "a int, v binary").collect())  # one row per column
+    held = np.zeros((4, d, d))
+    for r in sums:
+        held[:, r["a"]] = np.frombuffer(r["v"]).reshape(4, d)
+    n, sx, sxx, sxy = held
+    with np.errstate(all="ignore"):
+        cov = sxy - sx * sx.T / n
+        var = sxx - sx * sx / n
+        corr = cov / np.sqrt(var * var.T)
+    rows = [(cols[a], cols[b], None if np.isnan(corr[a, b]) else float(corr[a, b])) for a in range(d) for b in range(d)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def centroids(df: DataFrame, spec: Spec) -> DataFrame:

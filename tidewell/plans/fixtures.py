@@ -24,7 +24,9 @@ from tidewell.spec import Spec
 LI_FEATURES = ("quantity", "price", "discount", "tax")
 EPHYS_FEATURES = ("n_orders", "total_price", "avg_price", "max_price", "n_urgent")
 MORPH_FEATURES = ("n_lines", "avg_qty", "avg_disc", "L23_depth_normalized")
-EMB_FEATURES = tuple(f"e{i}" for i in range(8))
+#: components of an embedding
+N_EMB = 64
+EMB_FEATURES = tuple(f"e{i}" for i in range(N_EMB))
 DOC_FEATURES = ("n_chars", "n_words")
 
 # class vocabulary of the customer mapping (ambiguous class split by the flag)
@@ -142,12 +144,12 @@ MORPH_SQL = """morph AS (
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("id"),
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)],
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(N_EMB)],
                     F.col("label").cast("string").alias("label"))
 
 
 EMB_SQL = "emb AS (\n  SELECT CAST(vec_id AS VARCHAR) AS id, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + \
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(N_EMB)) + \
     ", CAST(label AS VARCHAR) AS label\n  FROM embeddings)"
 
 

@@ -278,22 +278,22 @@ def q_histogram(spark, sf):
 
 @register("corr_matrix", X.with_ctes(["emb"], " UNION ALL ".join(
     f"SELECT 'e{a}' AS col_a, 'e{b}' AS col_b, round(corr(e{a}, e{b}), 6) AS corr FROM emb"
-    for a in range(4) for b in range(4))))
+    for a in range(X.N_EMB) for b in range(X.N_EMB))))
 def q_corr(spark, sf):
-    """G13 over the first 4 embedding components."""
-    return rounded(G.corr_matrix(X.emb(spark, sf), [f"e{i}" for i in range(4)]))
+    """G13 over all embedding components."""
+    return rounded(G.corr_matrix(X.emb(spark, sf), list(X.EMB_FEATURES)))
 
 
 @register("centroids", X.with_ctes(["emb"], "SELECT label, " + ", ".join(
-    f"round(avg(e{i}), 6) AS e{i}" for i in range(8)) + " FROM emb GROUP BY label"))
+    f"round(avg(e{i}), 6) AS e{i}" for i in range(X.N_EMB)) + " FROM emb GROUP BY label"))
 def q_centroids(spark, sf):
-    """G14 per class over 8 embedding components."""
+    """G14 per class over all embedding components."""
     return rounded(G.centroids(X.emb(spark, sf), X.EMB_SPEC))
 
 
 _DIST_SQL = X.with_ctes(["emb"], "SELECT e.id, e.label, round(sqrt(" + " + ".join(
-    f"coalesce(pow(abs(e.e{i} - c.e{i}), 2), 0)" for i in range(8)) + "), 6) AS distance "
-    "FROM emb e JOIN (SELECT label, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(8)) +
+    f"coalesce(pow(abs(e.e{i} - c.e{i}), 2), 0)" for i in range(X.N_EMB)) + "), 6) AS distance "
+    "FROM emb e JOIN (SELECT label, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(X.N_EMB)) +
     " FROM emb GROUP BY label) c ON e.label = c.label")
 
 
@@ -344,11 +344,11 @@ def q_select_numeric(spark, sf):
 
 _EMBF = list(X.EMB_FEATURES)
 _RANKED = ("ranked AS (SELECT e.*, row_number() OVER (PARTITION BY e.label ORDER BY sqrt(" + " + ".join(
-    f"coalesce(pow(abs(e.e{i} - c.e{i}), 2), 0)" for i in range(8)) + "), e.id) AS rn, "
+    f"coalesce(pow(abs(e.e{i} - c.e{i}), 2), 0)" for i in range(X.N_EMB)) + "), e.id) AS rn, "
     "count(*) OVER (PARTITION BY e.label) AS n, round_even(count(*) OVER (PARTITION BY e.label) * 0.8, 0) AS m "
-    "FROM emb e JOIN (SELECT label, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(8)) +
+    "FROM emb e JOIN (SELECT label, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(X.N_EMB)) +
     " FROM emb GROUP BY label) c ON e.label = c.label)")
-_EMB_OUT = "SELECT id, label, " + ", ".join(f"round(e{i}, 6) AS e{i}" for i in range(8)) + " FROM ranked WHERE "
+_EMB_OUT = "SELECT id, label, " + ", ".join(f"round(e{i}, 6) AS e{i}" for i in range(X.N_EMB)) + " FROM ranked WHERE "
 
 
 def _reduced(method):
@@ -398,7 +398,7 @@ def q_append(spark, sf):
     return rounded(U.append_rows(X.ephys(spark, sf), X.morph(spark, sf)))
 
 
-@register("union_keep", X.with_ctes(["emb"], "SELECT id, label, " + ", ".join(f"round(e{i}, 6) AS e{i}" for i in range(8)) +
+@register("union_keep", X.with_ctes(["emb"], "SELECT id, label, " + ", ".join(f"round(e{i}, 6) AS e{i}" for i in range(X.N_EMB)) +
           " FROM (SELECT * FROM emb WHERE e0 > 0 UNION ALL SELECT * FROM emb WHERE label IN ('1', '2')) t"))
 def q_union_keep(spark, sf):
     """Confident rows (e0 > 0) plus all rows of classes 1 and 2, duplicates kept."""

@@ -47,7 +47,7 @@ WHERE r = 1""", [
     "te AS (SELECT * FROM sp WHERE rn <= round_even(n * 0.2, 0))",
     "tr AS (SELECT * FROM sp WHERE rn > round_even(n * 0.2, 0))",
     "pairs AS (SELECT te.id, tr.id AS bid, tr.label, sqrt(" + " + ".join(
-        f"(te.e{i} - tr.e{i}) * (te.e{i} - tr.e{i})" for i in range(8)) + ") AS dist FROM te, tr)",
+        f"(te.e{i} - tr.e{i}) * (te.e{i} - tr.e{i})" for i in range(X.N_EMB)) + ") AS dist FROM te, tr)",
     "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, bid) AS k FROM pairs) t "
     "WHERE k <= 5)",
     "v AS (SELECT id, label, sum(CASE WHEN dist = 0 THEN 1e12 ELSE 1.0 / dist END) AS w FROM nn GROUP BY id, label)"])
@@ -188,7 +188,23 @@ def q_reduce_train(spark, sf):
                     ).select("model", "score_test", "method", "threshold")
 
 
-_SPUNGE_SQL = X.with_ctes(["emb"], "SELECT id || '#s' || CAST(copy AS VARCHAR) AS id, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e0') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e0 + (0.1 * st.s0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e0') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e0') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e0 END, 6) AS e0, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e1') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e1 + (0.1 * st.s1) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e1') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e1') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e1 END, 6) AS e1, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e2') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e2 + (0.1 * st.s2) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e2') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e2') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e2 END, 6) AS e2, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e3') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e3 + (0.1 * st.s3) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e3') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e3') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e3 END, 6) AS e3, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e4') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e4 + (0.1 * st.s4) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e4') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e4') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e4 END, 6) AS e4, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e5') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e5 + (0.1 * st.s5) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e5') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e5') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e5 END, 6) AS e5, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e6') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e6 + (0.1 * st.s6) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e6') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e6') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e6 END, 6) AS e6, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e7') || '|spunge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 THEN e7 + (0.1 * st.s7) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e7') || '|spa'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), 'e7') || '|spb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE e7 END, 6) AS e7 FROM (SELECT emb.*, c.copy FROM emb, range(2) c(copy)) t, st", ["st AS (SELECT " + ", ".join(f"stddev_pop(e{i}) AS s{i}" for i in range(8)) + " FROM emb)"])
+def _spunge_sql() -> str:
+    def draw(f: str, salt: str) -> str:
+        return (f"(CAST(('0x' || substr(md5('42|' || concat_ws('|', id, CAST(copy AS VARCHAR), '{f}') || '|{salt}'), 1, 13)) "
+                "AS BIGINT) / CAST(4503599627370496 AS DOUBLE))")
+
+    def moved(i: int) -> str:
+        f = f"e{i}"
+        normal = f"sqrt(-2.0 * ln(greatest({draw(f, 'spa')}, 1e-300))) * cos(6.283185307179586 * {draw(f, 'spb')})"
+        return (f"round(CASE WHEN {draw(f, 'spunge')} < 0.5 THEN {f} + (0.1 * st.s{i}) * ({normal}) ELSE {f} END, 6) AS {f}")
+
+    return X.with_ctes(["emb"], "SELECT id || '#s' || CAST(copy AS VARCHAR) AS id, "
+                       + ", ".join(moved(i) for i in range(X.N_EMB))
+                       + " FROM (SELECT emb.*, c.copy FROM emb, range(2) c(copy)) t, st",
+                       ["st AS (SELECT " + ", ".join(f"stddev_pop(e{i}) AS s{i}" for i in range(X.N_EMB)) + " FROM emb)"])
+
+
+_SPUNGE_SQL = _spunge_sql()
 
 
 @register("augment_spunge", _SPUNGE_SQL)

@@ -102,10 +102,10 @@ register("scale_robust", _scale_sql(
 
 
 def _norm_sql():
-    sq = " + ".join(f"coalesce(e{i}, 0) * coalesce(e{i}, 0)" for i in range(8))
+    sq = " + ".join(f"coalesce(e{i}, 0) * coalesce(e{i}, 0)" for i in range(X.N_EMB))
     nrm = f"CASE WHEN sqrt({sq}) = 0 THEN 1 ELSE sqrt({sq}) END"
     return X.with_ctes(["emb"], "SELECT id, label, " + ", ".join(
-        f"round(e{i} / ({nrm}), 6) AS e{i}" for i in range(8)) + " FROM emb")
+        f"round(e{i} / ({nrm}), 6) AS e{i}" for i in range(X.N_EMB)) + " FROM emb")
 
 
 @register("normalize_rows_l2", _norm_sql())
@@ -224,7 +224,7 @@ def q_drop_useless(spark, sf):
 _NEED = """cnt AS (SELECT label, count(*) AS n FROM emb GROUP BY label),
 need AS (SELECT label, n, max(n) OVER () - n AS need FROM cnt),
 cls AS (SELECT e.*, need.n, need.need FROM emb e JOIN need ON e.label = need.label WHERE need.need > 0)"""
-_ACC = " + ".join(f"(p.e{i} - b.e{i}) * (p.e{i} - b.e{i})" for i in range(8))
+_ACC = " + ".join(f"(p.e{i} - b.e{i}) * (p.e{i} - b.e{i})" for i in range(X.N_EMB))
 
 
 def _copies_sql(src: str, salt: str) -> str:
@@ -241,7 +241,7 @@ def _interp_sql(k: int = 3) -> str:
             f"picks AS (SELECT *, 1 + floor({sql_uniform(key, 'nn')} * least({k}, n - 1)) AS pick, "
             f"{sql_uniform(key, 'gap')} AS gap FROM copies),\n"
             "syn AS (SELECT p.id || '#' || CAST(p.copy AS VARCHAR) AS id, p.label, " +
-            ", ".join(f"p.e{i} + p.gap * (coalesce(b.e{i}, p.e{i}) - p.e{i}) AS e{i}" for i in range(8)) +
+            ", ".join(f"p.e{i} + p.gap * (coalesce(b.e{i}, p.e{i}) - p.e{i}) AS e{i}" for i in range(X.N_EMB)) +
             " FROM picks p LEFT JOIN knn ON knn.pid = p.id AND knn.nr = p.pick LEFT JOIN emb b ON b.id = knn.bid)")
 
 

@@ -52,10 +52,4 @@ def rsel(doubles, others=(), source="t", places: int = 6) -> str:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from tidewell.plans import queries_core  # noqa: F401
-    for mod in ("queries_prep", "queries_eval", "queries_models"):
-        try:
-            __import__(f"tidewell.plans.{mod}")
-        except ModuleNotFoundError as exc:  # registered modules arrive as they are built
-            if exc.name != f"tidewell.plans.{mod}":
-                raise
+    from tidewell.plans import queries_core, queries_eval, queries_models, queries_prep  # noqa: F401

@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
 
     The key becomes a STRING column ``key_name``; a UTF-8 byte-order mark on the
     first header is stripped; ``overrides`` casts named columns (e.g. an id-like
-    number kept as text).  An explicit ``schema`` avoids inference on big inputs."""
+    number kept as text); NaN cells are read as NULL.  An explicit ``schema`` avoids inference on big inputs."""
     if fmt == "csv":
         r = spark.read.option("header", True).option("encoding", "UTF-8")
         if schema is not None:
@@ -40,7 +40,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
         df = df.withColumnRenamed(key, key_name)
     for col, typ in (overrides or {}).items():
         df = df.withColumn(col, F.col(f"`{col}`").cast(typ))
-    return df
+    return nan_to_null(df)
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN cells of floating columns become NULL: every operator knows one kind of missing value."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({x: F.when(~F.isnan(F.col(f"`{x}`")), F.col(f"`{x}`")) for x in floats}) if floats else df
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
