@@ -26,7 +26,7 @@ from tidewell.llm.components import components
 from tidewell.llm.simhash import _join_labels
 
 COSINE = 0.95
-TABLES, HASHES, PROBES = 10, 2, 3
+TABLES, HASHES, PROBES = 8, 2, 2
 BLOCK = 1024
 
 

@@ -31,7 +31,7 @@ from tidewell.llm.common import materialise, text_of
 from tidewell.llm.tokenizing import default_vocabulary, encoder, slices
 
 LENGTH, END_ID, PAD_ID = 2048, 1, 0
-PER_SHARD = 4096
+PER_SHARD = 2048
 KEY = 0x5EED
 ROUNDS = 8
 MAGIC = 0x54574431
