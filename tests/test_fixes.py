@@ -125,3 +125,25 @@ def test_correlations_with_gaps(spark):
     import pandas as pd
     want = pd.DataFrame(rows, columns=list("abc"), dtype=float).corr()
     assert all(got[(a, b)] == pytest.approx(want.loc[a, b], abs=1e-9) for a in "abc" for b in "abc")
+
+
+def test_bagged_neighbours_keep_their_weights_and_ensembles_reload(spark, tmp_path):
+    from tidewell.operators import ensemble
+    from tidewell.sources import runs
+    rng = np.random.default_rng(5)
+    rows = [(str(i), *map(float, rng.normal(size=2) + (i % 2)), "AB"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, label string")
+    spec = Spec("id", "label", ("x", "y"))
+    near, _ = ensemble.bag(df, spec, "KNeighborsDist", 2)
+    assert near.extra["weights"] == "distance"
+    tree, lr = models.fit_model(df, spec, "RandomForestGini"), models.fit_model(df, spec, "LR")
+    both = models.Trained("W", "WeightedEnsemble", ["A", "B"], ["x", "y"],
+                          extra={"members": [(near, 0.5), (lr, 0.5)], "weights": {near.name: 0.5, "LR": 0.5}})
+    runs.save_run(str(tmp_path / "run"), {"preset": "medium"}, [near, tree, both], df, df)
+    again = runs.load_run(spark, str(tmp_path / "run"))["models"]
+    assert set(again) == {near.name, tree.name, "W"}
+    probe = df.limit(7)
+    for m in (near, tree, both):
+        was = {(r.id, r["class"]): r.p for r in models.predict_proba(m, probe).collect()}
+        now = {(r.id, r["class"]): r.p for r in models.predict_proba(again[m.name], probe).collect()}
+        assert was.keys() == now.keys() and all(was[k] == pytest.approx(now[k]) for k in was)

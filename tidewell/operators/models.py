@@ -8,6 +8,7 @@ Classes are indexed alphabetically (M20).  Fitting runs on executors through
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from collections.abc import Sequence
@@ -18,7 +19,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import c
@@ -342,6 +343,54 @@ def fit_many(train: DataFrame, spec: Spec, families, seed: int = 42, weight_col:
                         list(families), parallelism)
 
 
-def save_model(m: Trained, path: str) -> None:
+def _parts(m: Trained) -> dict[str, Trained]:
+    """The models that ``m`` is made of, by the folder each is saved in."""
+    if isinstance(m.model, list):
+        return {f"fold_{i}": Trained(f"{m.name}_F{i}", m.family, m.classes, m.features, sub, extra=m.extra)
+                for i, sub in enumerate(m.model)}
+    if m.family == "WeightedEnsemble":
+        return {f"member_{i}": sub for i, (sub, _) in enumerate(m.extra["members"])}
+    if m.family == "Stacker":
+        return {"top": m.extra["top"], **{f"l1_{i}": b for i, b in enumerate(m.extra["l1"])}}
+    return {}
+
+
+def save_model(m: Trained, path: str, spark: SparkSession) -> None:
+    """Save any model below ``path``, its parts in folders of their own: pipelines by
+    ``pyspark.ml``, neighbours as their table, ensembles by their members and weights."""
+    parts = _parts(m)
+    meta = {"name": m.name, "family": m.family, "classes": m.classes, "features": list(m.features),
+            "fit_time": m.fit_time, "stack_level": m.stack_level, "parts": list(parts),
+            "bagged": isinstance(m.model, list),
+            "extra": {k: v for k, v in m.extra.items() if isinstance(v, (str, int, float))},
+            "weights": [w for _, w in m.extra.get("members", [])]}
     if isinstance(m.model, PipelineModel):
-        m.model.write().overwrite().save(path)
+        meta["kind"] = "pipeline"
+        m.model.write().overwrite().save(f"{path}/pipeline")
+    elif isinstance(m.model, dict):
+        meta |= {"kind": "neighbours", "k": m.model["k"]}
+        m.model["base"].write.mode("overwrite").parquet(f"{path}/base")
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    for folder, part in parts.items():
+        save_model(part, f"{path}/{folder}", spark)
+
+
+def load_model(spark: SparkSession, path: str) -> Trained:
+    """A model saved by ``save_model``; it predicts what the saved one did."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    m = Trained(meta["name"], meta["family"], meta["classes"], meta["features"], None, meta["fit_time"],
+                meta["stack_level"], dict(meta["extra"]))
+    if meta.get("kind") == "pipeline":
+        m.model = PipelineModel.load(f"{path}/pipeline")
+    elif meta.get("kind") == "neighbours":
+        m.model = {"base": spark.read.parquet(f"{path}/base"), "k": meta["k"]}
+    parts = {x: load_model(spark, f"{path}/{x}") for x in meta["parts"]}
+    if meta["bagged"]:
+        m.model = [p.model for p in parts.values()]
+    elif m.family == "WeightedEnsemble":
+        m.extra["members"] = list(zip(parts.values(), meta["weights"]))
+        m.extra["weights"] = {p.name: w for p, w in m.extra["members"]}
+    elif m.family == "Stacker":
+        m.extra |= {"top": parts["top"], "l1": [p for x, p in parts.items() if x != "top"]}
+        m.model = parts["top"].model
+    return m

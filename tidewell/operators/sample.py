@@ -33,11 +33,13 @@ def explode_count(df: DataFrame, count_col: str, out_col: str = "copy", chunk: i
                   key_col: str = "id") -> DataFrame:
     """One output row per copy 0..count-1 of each input row, in two levels: first one row
     per chunk of ≤ ``chunk`` copies, hash-spread on (row key, chunk) so the chunks of one
-    seed — and the seeds of one class — land in different tasks; then the copies."""
+    seed — and the seeds of one class — land in different tasks; then the copies.  Rows of
+    one chunk at most stay where they are."""
     n = F.col(count_col)
-    chunks = df.filter(n > 0).withColumn(
+    few = df.filter((n > 0) & (n <= chunk)).withColumn("__chunk", F.lit(0))
+    many = df.filter(n > chunk).withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0), ((n - 1) / F.lit(chunk)).cast("int"))))
-    spread = chunks.repartition(F.col(key_col), F.col("__chunk"))
+    spread = few.unionByName(many.repartition(F.col(key_col), F.col("__chunk")))
     start = F.col("__chunk") * F.lit(chunk)
     stop = F.least(start + F.lit(chunk), n) - 1
     return spread.withColumn(out_col, F.explode(F.sequence(start, stop))).drop("__chunk")
@@ -153,7 +155,9 @@ def borderline_smote(df: DataFrame, spec: Spec, k: int = 3, m: int = 10, seed: i
 
 def adasyn(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, **knn_kw) -> DataFrame:
     """Each minority row makes a number of synthetic rows proportional to the share
-    of other-class rows among its k nearest (bround of its share of the class need)."""
+    of other-class rows among its k nearest.  Counts are whole parts plus the largest
+    remainders (then the smallest key), so that a class gets exactly what it needs; rounding
+    each row's share alone may make none.  A class without other-class neighbours gets none."""
     lab = spec.label_col
     needs = _class_needs(df, lab)
     cls = cut_lineage(df.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0))
@@ -162,9 +166,13 @@ def adasyn(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, **knn_kw) -> D
     r = cls.join(share, cls[spec.id_col].cast("string") == share["probe_id"], "left") \
            .withColumn("__r", F.coalesce(F.col("n_other"), F.lit(0)).cast("bigint"))
     tot = r.groupBy(lab).agg(F.sum("__r").alias("__rt"))
-    r = r.join(tot, on=lab).withColumn(
-        "__cnt", F.when(F.col("__rt") > 0, F.bround(F.col("__r") * F.col("__need") / F.col("__rt"))).otherwise(0)
-        .cast("int"))
+    share = F.col("__r") * F.col("__need")
+    r = (r.join(small_side(tot), on=lab).filter(F.col("__rt") > 0)
+         .withColumn("__rem", -(share % F.col("__rt")))  # negative: the largest comes first
+         .withColumn("__whole", ((share + F.col("__rem")) / F.col("__rt")).cast("bigint")))
+    r = group_rank(r, [lab], ["__rem", spec.id_col], rank_col="__rk", extra_sums=["__whole"], hash_ordered=False)
+    left = F.col("__need") - F.col("tot___whole")
+    r = r.withColumn("__cnt", (F.col("__whole") + F.when(F.col("__rk") <= left, 1).otherwise(0)).cast("int"))
     knn = knn_join(cls, cls, k, spec.feats, id_col=spec.id_col, partition_cols=[lab], exclude_self=True, **knn_kw)
     copies = explode_count(r.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy", key_col=spec.id_col)
     syn = _interpolate(copies, knn, cls, spec, k, seed, "__avail")
@@ -267,7 +275,7 @@ def vdm_embedding(df: DataFrame, label_col: str, cat_cols) -> tuple[DataFrame, l
         names = [f"__e{i}_{j}" for j in range(len(classes))]
         emb = cnt.select(F.col("__v"), *[(F.coalesce(F.col(f"`{cl}`"), F.lit(0)) / tot).alias(n)
                                           for cl, n in zip(classes, names)])
-        out = out.join(emb, out[f"`{x}`"].eqNullSafe(emb["__v"]), "left").drop("__v")
+        out = out.join(small_side(emb), out[f"`{x}`"].eqNullSafe(emb["__v"]), "left").drop("__v")
         groups.append(names)
     return out, groups
 

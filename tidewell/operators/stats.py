@@ -235,7 +235,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> D
     qs = _wide_quantiles(quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx), ["feature"],
                          {0.25: "q1", 0.5: "median", 0.75: "q3"})
     long = to_long(df, cols)
-    joined = long.join(qs, on="feature")  # qs: one row per column
+    joined = long.join(small_side(qs), on="feature")  # qs: one row per column; each is a hot key
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("value")

@@ -286,7 +286,24 @@ def q_student_baseline(spark, sf):
                          test=test).select("model", "score_test")
 
 
-_MUNGE_SQL = X.with_ctes(["emb"], "SELECT t.id || '#m0' AS id, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e0') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e0 IS NOT NULL THEN b.e0 + (abs(t.e0 - b.e0) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e0') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e0') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e0 END, 6) AS e0, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e1') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e1 IS NOT NULL THEN b.e1 + (abs(t.e1 - b.e1) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e1') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e1') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e1 END, 6) AS e1, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e2') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e2 IS NOT NULL THEN b.e2 + (abs(t.e2 - b.e2) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e2') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e2') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e2 END, 6) AS e2, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e3') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e3 IS NOT NULL THEN b.e3 + (abs(t.e3 - b.e3) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e3') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e3') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e3 END, 6) AS e3, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e4') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e4 IS NOT NULL THEN b.e4 + (abs(t.e4 - b.e4) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e4') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e4') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e4 END, 6) AS e4, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e5') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e5 IS NOT NULL THEN b.e5 + (abs(t.e5 - b.e5) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e5') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e5') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e5 END, 6) AS e5, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e6') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e6 IS NOT NULL THEN b.e6 + (abs(t.e6 - b.e6) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e6') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e6') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e6 END, 6) AS e6, round(CASE WHEN (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e7') || '|munge'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) < 0.5 AND b.e7 IS NOT NULL THEN b.e7 + (abs(t.e7 - b.e7) / 1.0) * (sqrt(-2.0 * ln(greatest((CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e7') || '|mna'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)), 1e-300))) * cos(6.283185307179586 * (CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), 'e7') || '|mnb'), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)))) ELSE t.e7 END, 6) AS e7 FROM emb t LEFT JOIN nn ON nn.pid = t.id LEFT JOIN emb b ON b.id = nn.bid", ['nn AS (SELECT pid, bid FROM (SELECT p.id AS pid, q.id AS bid, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.e0 - q.e0) * (p.e0 - q.e0) + (p.e1 - q.e1) * (p.e1 - q.e1) + (p.e2 - q.e2) * (p.e2 - q.e2) + (p.e3 - q.e3) * (p.e3 - q.e3) + (p.e4 - q.e4) * (p.e4 - q.e4) + (p.e5 - q.e5) * (p.e5 - q.e5) + (p.e6 - q.e6) * (p.e6 - q.e6) + (p.e7 - q.e7) * (p.e7 - q.e7)), q.id) AS r FROM emb p JOIN emb q ON p.id <> q.id) x WHERE r = 1)'])
+def _munge_sql() -> str:
+    def draw(f: str, salt: str) -> str:
+        return (f"(CAST(('0x' || substr(md5('42|' || concat_ws('|', t.id, CAST(0 AS VARCHAR), '{f}') || '|{salt}'), 1, 13)) "
+                "AS BIGINT) / CAST(4503599627370496 AS DOUBLE))")
+
+    def moved(f: str) -> str:
+        normal = f"sqrt(-2.0 * ln(greatest({draw(f, 'mna')}, 1e-300))) * cos(6.283185307179586 * {draw(f, 'mnb')})"
+        return (f"round(CASE WHEN {draw(f, 'munge')} < 0.5 AND b.{f} IS NOT NULL "
+                f"THEN b.{f} + (abs(t.{f} - b.{f}) / 1.0) * ({normal}) ELSE t.{f} END, 6) AS {f}")
+
+    square = " + ".join(f"(p.{f} - q.{f}) * (p.{f} - q.{f})" for f in X.EMB_FEATURES)
+    return X.with_ctes(["emb"], "SELECT t.id || '#m0' AS id, " + ", ".join(moved(f) for f in X.EMB_FEATURES)
+                       + " FROM emb t LEFT JOIN nn ON nn.pid = t.id LEFT JOIN emb b ON b.id = nn.bid",
+                       ["nn AS (SELECT pid, bid FROM (SELECT p.id AS pid, q.id AS bid, row_number() OVER (PARTITION BY p.id "
+                        f"ORDER BY sqrt({square}), q.id) AS r FROM emb p JOIN emb q ON p.id <> q.id) x WHERE r = 1)"])
+
+
+_MUNGE_SQL = _munge_sql()
 
 
 @register("augment_munge", _MUNGE_SQL)

@@ -286,9 +286,13 @@ def q_borderline(spark, sf):
     _NEED, _share_sql(3),
     "tot AS (SELECT c.label, sum(coalesce(s.n_other, 0)) AS t FROM cls c LEFT JOIN share s ON c.id = s.pid "
     "GROUP BY c.label)",
-    "copies AS (SELECT c.*, unnest(generate_series(0, CAST(CASE WHEN tot.t > 0 THEN round_even(coalesce(s.n_other, 0) "
-    "* c.need / tot.t, 0) ELSE 0 END AS BIGINT) - 1)) AS copy FROM cls c LEFT JOIN share s ON c.id = s.pid "
-    "JOIN tot ON c.label = tot.label)",
+    "cut AS (SELECT c.*, CAST(coalesce(s.n_other, 0) * c.need AS BIGINT) // CAST(tot.t AS BIGINT) AS whole, "
+    "CAST(coalesce(s.n_other, 0) * c.need AS BIGINT) % CAST(tot.t AS BIGINT) AS rem "
+    "FROM cls c LEFT JOIN share s ON c.id = s.pid JOIN tot ON c.label = tot.label WHERE tot.t > 0)",
+    "dealt AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rem DESC, id) AS rk, "
+    "need - sum(whole) OVER (PARTITION BY label) AS lft FROM cut)",
+    "copies AS (SELECT * EXCLUDE (whole, rem, rk, lft), unnest(generate_series(0, CAST(whole + CASE WHEN rk <= lft THEN 1 "
+    "ELSE 0 END AS BIGINT) - 1)) AS copy FROM dealt)",
     _interp_sql(3)]))
 def q_adasyn(spark, sf):
     """ADASYN (k = 3): counts proportional to other-class neighbours."""

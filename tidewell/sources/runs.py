@@ -42,7 +42,7 @@ def run_info(spark: SparkSession, subset: str, modality: str, taxonomy: str, pre
 
 def save_run(run_dir: str, config: dict, models: list[M.Trained], train: DataFrame, test: DataFrame,
              board: DataFrame | None = None) -> None:
-    """Config (JSON), fitted pipelines, train and test tables and the leaderboard under one path.
+    """Config (JSON), fitted models of every kind, train and test tables and the leaderboard under one path.
     Everything is written by Spark, so the path can be any shared file system."""
     spark = train.sparkSession
     meta = dict(config)
@@ -51,7 +51,7 @@ def save_run(run_dir: str, config: dict, models: list[M.Trained], train: DataFra
     spark.createDataFrame([(json.dumps(meta),)], "config string").coalesce(1).write.mode("overwrite").text(
         f"{run_dir}/config")
     for m in models:
-        M.save_model(m, f"{run_dir}/models/{m.name}")
+        M.save_model(m, f"{run_dir}/models/{m.name}", spark)
     write_table(train, f"{run_dir}/train")
     write_table(test, f"{run_dir}/test")
     if board is not None:
@@ -59,8 +59,7 @@ def save_run(run_dir: str, config: dict, models: list[M.Trained], train: DataFra
 
 
 def load_run(spark: SparkSession, run_dir: str) -> dict:
-    """Config, train, test, leaderboard and the saved pipelines (by name)."""
-    from pyspark.ml import PipelineModel
+    """Config, train, test, leaderboard and the saved models (by name)."""
     from tidewell.sources.tables import exists
     cfg = json.loads(spark.read.text(f"{run_dir}/config").collect()[0][0])
     out = {"config": cfg, "train": spark.read.parquet(f"{run_dir}/train"),
@@ -70,8 +69,7 @@ def load_run(spark: SparkSession, run_dir: str) -> dict:
     for m in cfg.get("models", []):
         p = f"{run_dir}/models/{m['name']}"
         if exists(spark, p):
-            out["models"][m["name"]] = M.Trained(m["name"], m["family"], m["classes"], m["features"],
-                                                 PipelineModel.load(p), m["fit_time"], m["stack_level"])
+            out["models"][m["name"]] = M.load_model(spark, p)
     return out
 
 
