@@ -79,7 +79,7 @@ def test_keep_best_and_summary(spark):
     assert R.model_names([m]) == ["LR"]
     assert R.keep_best([m], "LR") == [m]
     s = R.fit_summary([m], board, "multiclass").collect()[0]
-    assert s["best_model"] == "LR" and s["n_features"] == 8
+    assert s["best_model"] == "LR" and s["n_features"] == len(X.EMB_FEATURES)
     assert R.set_best(board, "LR").collect()[0]["is_best"]
 
 
