@@ -12,7 +12,8 @@ are averaged by an aggregation over parameter rows, weighted by tokens.  Scores
 explicitly: the distinct contexts of a slice go through batched matrix products.
 
 Word counts cover all training tokens.  The most frequent ``KNOWN`` words are sent to every
-task (a fixed size); counts of rarer words are joined by a shuffle on the word.
+task (a fixed size); counts of rarer words are joined by a shuffle on the word.  The driver sees how many words have each
+count (fewer rows than the square root of twice the corpus) and the known words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +48,24 @@ def _ending(word: bytes) -> int:
 
 
 class _Classes(dict):
-    """Token → class; words outside the head by their last byte (not stored)."""
+    """Token → class; words outside the head by their last byte (stored for known words only)."""
 
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head))
+    def __init__(self, head: list[bytes], known=()):
         self.first = len(head)
+        super().__init__((w, self.first + _ending(w)) for w in known)
+        self.update((w, i) for i, w in enumerate(head))
 
     def __missing__(self, word: bytes) -> int:
         return self.first + (word[-1] % ENDINGS if word else 0)
 
 
+class _Numbers(dict):
+    """Known token → its number from 0; any other → -1 - its ending class (not stored)."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - (word[-1] % ENDINGS if word else 0)
+
+
 # ---- counts ---------------------------------------------------------------------------
 
 def word_counts(docs: DataFrame, text: Column) -> DataFrame:
@@ -123,7 +131,7 @@ def examples(streams: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndar
 
 def _add_rows(to: np.ndarray, scale: np.ndarray, ids: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Adagrad step with one accumulator per row; rows that occur more than once are summed first."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # radix sort: classes are few
     ids = ids[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     total = np.add.reduceat(grad[order], first, axis=0)
@@ -144,15 +152,15 @@ def nce_pass(p: Parameters, targets: np.ndarray, contexts: np.ndarray, share: np
         part = order[at:at + BATCH]
         w, h, noise = targets[part], contexts[part], noise_all[i]
         near = p.q[h]  # batch x CONTEXT x DIM
-        v = (near * p.c).sum(axis=1)
-        true = 1.0 - 1.0 / (1.0 + np.exp(-((v * p.r[w]).sum(axis=1) + p.b[w] - logs[w])))
+        v = np.einsum("bcd,cd->bd", near, p.c)
+        true = 1.0 - 1.0 / (1.0 + np.exp(-(np.einsum("bd,bd->b", v, p.r[w]) + p.b[w] - logs[w])))
         false = 1.0 / (1.0 + np.exp(-(v @ p.r[noise].T + p.b[noise] - logs[noise])))
         dv = true[:, None] * p.r[w] - false @ p.r[noise]
         dr = np.concatenate([true[:, None] * v, -(false.T @ v)])
         db = np.concatenate([true, -false.sum(axis=0)])
         both = np.concatenate([w, noise])
         dq = dv[:, None, :] * p.c
-        dc = (near * dv[:, None, :]).sum(axis=0)
+        dc = np.einsum("bcd,bd->cd", near, dv)
         _add_rows(p.r, scales[1], both, dr, rate)
         _add_rows(p.b, scales[2], both, db, rate)
         _add_rows(p.q, scales[0], h.reshape(-1), dq.reshape(-1, DIM), rate)
@@ -172,15 +180,21 @@ def log_probabilities(p: Parameters, targets: np.ndarray, contexts: np.ndarray)
     for i in range(1, CONTEXT):
         code = code * base + contexts[:, i]
     _, first, back = np.unique(code, return_index=True, return_inverse=True)
-    v = (p.q[contexts[first]] * p.c).sum(axis=1)
+    h = contexts[first]
+    v = sum((p.q * p.c[i])[h[:, i]] for i in range(CONTEXT))
     norm = np.empty(len(v), np.float32)
-    for at in range(0, len(v), 8192):
-        s = v[at:at + 8192] @ p.r.T + p.b
-        top = s.max(axis=1)
-        np.subtract(s, top[:, None], out=s)
-        np.exp(s, out=s)
-        norm[at:at + 8192] = np.log(s.sum(axis=1)) + top
-    return ((v[back] * p.r[targets]).sum(axis=1) + p.b[targets] - norm[back]).astype(np.float64)
+    wide = np.c_[v, np.ones(len(v), np.float32)]  # the bias is one more dimension
+    table = np.ascontiguousarray(np.c_[p.r, p.b].T)
+    # no score is beyond this bound, so below 80 sums of exponentials stay in single precision
+    safe = np.sqrt((wide * wide).sum(axis=1).max(initial=0)) * np.sqrt((table * table).sum(axis=0).max()) < 80
+    for at in range(0, len(v), 2048):
+        s = wide[at:at + 2048] @ table
+        if safe:
+            norm[at:at + 2048] = np.log(np.exp(s, out=s).sum(axis=1))
+        else:
+            top = s.max(axis=1)
+            norm[at:at + 2048] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+    return (np.einsum("ij,ij->i", v[back], p.r[targets]) + p.b[targets] - norm[back]).astype(np.float64)
 
 
 @dataclass
@@ -194,9 +208,9 @@ class Model:
     ending_words: np.ndarray
 
 
-def _train(docs: DataFrame, text: Column, head: list[bytes], share: np.ndarray) -> Parameters:
+def _train(docs: DataFrame, text: Column, head: list[bytes], known: list[bytes], share: np.ndarray) -> Parameters:
     """Warm start on the driver, then every training token once, in averaged partitions."""
-    classes = _Classes(head)
+    classes = _Classes(head, known)
     n = len(head) + ENDINGS
     rng = np.random.default_rng(17)
     p, scales = start_parameters(share), new_scales(n)
@@ -215,12 +229,12 @@ def _train(docs: DataFrame, text: Column, head: list[bytes], share: np.ndarray)
     targets, contexts = examples(streams, n)
     for _ in range(WARM_PASSES):
         nce_pass(p, targets, contexts, share, rng, 0.3, scales)
-    sent = docs.sparkSession.sparkContext.broadcast((head, p, scales, share))
+    sent = docs.sparkSession.sparkContext.broadcast((head, known, p, scales, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, p0, scales0, share = sent.value
+        head, known, p0, scales0, share = sent.value
         own = Parameters(p0.q.copy(), p0.r.copy(), p0.b.copy(), p0.c.copy())
-        scale, classes, seen, rng = [s.copy() for s in scales0], _Classes(head), 0, np.random.default_rng(29)
+        scale, classes, seen, rng = [s.copy() for s in scales0], _Classes(head, known), 0, np.random.default_rng(29)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, z in slices(texts):
@@ -244,7 +258,14 @@ def _train(docs: DataFrame, text: Column, head: list[bytes], share: np.ndarray)
 def fit(docs: DataFrame, counts: DataFrame, text: Column) -> Model:
     """The model of the training rows ``docs`` with their ``word_counts``."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    # how many words have each count: sums of different counts are the corpus, so there are few
+    left, least = KNOWN, None
+    for r in sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    top = sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"]))) if least else []
     known = {bytes(r["word"]): r["c"] for r in top}
     head = [bytes(r["word"]) for r in top[:HEAD]]
     last = F.when(F.length("word") == 0, F.lit(0)).otherwise(
@@ -257,7 +278,7 @@ def fit(docs: DataFrame, counts: DataFrame, text: Column) -> Model:
         words[_ending(w)] -= 1
     share = np.array([known[w] for w in head] + (tokens + 1).tolist(), float)
     share /= share.sum()
-    return Model(head, _train(docs, text, head, share), known, total["n"] or 0, total["v"], tokens, words)
+    return Model(head, _train(docs, text, head, list(known), share), known, total["n"] or 0, total["v"], tokens, words)
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,36 +296,36 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        classes, n_head = _Classes(m.head), len(m.head)
-        log_known = {w: (i, np.log10(c + 1.0)) for i, (w, c) in enumerate(m.known.items())}
-        value = np.array([0.0, *[x for _, x in log_known.values()]])
-        number = {w: i + 1 for w, (i, _) in log_known.items()}
+        n_head = len(m.head)  # the head are the first known words
+        number = _Numbers((w, i) for i, w in enumerate(m.known))
+        value = np.log10(np.array([*m.known.values(), 0]) + 1.0)
+        class_of = np.array([*[i if i < n_head else n_head + _ending(w) for w, i in number.items()], 0])
         size = np.log10(m.ending_tokens + m.ending_words + 1.0)
         whole = np.log10(m.tokens + m.distinct + 1.0)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             rid = batch.column(2).to_pylist()
-            for a, z in slices(texts):
+            for a, z in slices(texts, 1 << 22):  # longer slices share more contexts
                 split = [words_of(t) for t in texts[a:z]]
-                streams = [np.fromiter(map(classes.__getitem__, ws), np.int64, len(ws)) for ws in split]
+                codes = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split]
+                streams = [np.where(k >= 0, class_of[np.maximum(k, -1)], n_head - 1 - k) for k in codes]
                 targets, contexts = examples(streams, n_head + ENDINGS)
                 logp = log_probabilities(m.parameters, targets, contexts) / np.log(10.0)
                 at, word, tf, n_tok, n_known, base, score = [], [], [], [], [], [], []
                 done = 0
-                for i, (ws, cls) in enumerate(zip(split, streams)):
+                for i, (ws, cls, nums) in enumerate(zip(split, streams, codes)):
                     n = len(ws)
-                    nums = np.fromiter(map(number.get, ws, repeat(0)), np.int64, n)
                     rare = cls >= n_head
-                    x = value[nums]
+                    x = value[np.maximum(nums, -1)]  # unknown: the zero at the end
                     at.append(a + i)
                     word.append(b" %d" % rid[a + i])  # no word has a space: a row of its own key
                     tf.append(0)
                     n_tok.append(n)
-                    n_known.append(int((nums > 0).sum()))
+                    n_known.append(int((nums >= 0).sum()))
                     base.append(float(x.sum() - n * whole))
                     score.append(float(logp[done:done + n].sum() + x[rare].sum() - size[cls[rare] - n_head].sum()))
                     done += n
-                    tail = Counter(w for w, k in zip(ws, nums.tolist()) if not k)
+                    tail = Counter([ws[k] for k in np.flatnonzero(nums < 0).tolist()])
                     at += [a + i] * len(tail)
                     word += tail.keys()
                     tf += tail.values()
