@@ -180,3 +180,25 @@ def test_secrets_brute_force(spark, odd, none):
     assert Counter((g.doc_id, tuple((s.start, s.kind, s.end) for s in g.spans)) for g in got) == want
     assert sum(s.kind > 2 for g in got for s in g.spans) >= 5
     assert secrets.find_secrets(none).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+                                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+                                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+                                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_planted_keys_of_each_class_are_found(spark, letters):
+    rng = np.random.default_rng(len(letters))
+    texts = ["a key: " + "".join(rng.choice(list(letters), size)) + " ." for size in (20, 24, 32) for _ in range(300)]
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    missed = Counter(len(texts[g.doc_id]) for g in found if not any(s.kind > 2 for s in g.spans))
+    assert max(missed.values(), default=0) <= 18  # 6 % of 300; bounds are set for about 2 %
+
+
+def test_words_and_hex_runs_are_no_one_case_keys(spark):
+    texts = ["internationalisierungsprozess", "INTERNATIONALISIERUNGSPROZESS", "getElementsByClassNameAndTag",
+             "0123456789abcdef" * 4000, "0123456789abcdef" * 3 + "k1j2h3g4z5"]
+    spans = {g.doc_id: [(s.start, s.kind, s.end) for s in g.spans] for g in secrets.find_secrets(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not spans[0] and not spans[1] and not spans[2]
+    assert all(kind < 5 for _, kind, _ in spans[3])
+    assert (48 - 19, 5, 58) in spans[4]  # every window with the first letter behind the hex digits

@@ -5,7 +5,8 @@ over each; its Shannon entropy per character class comes from incremental counts
 a character with count k adds f(k+1) - f(k) to the sum of f(count), leaving with count m it
 adds f(m-1) - f(m), where f(c) = c log2 c in whole millionths, so sums are exact integers.
 Windows whose entropy reaches the class's bound are merged into spans, unless the candidate is
-on the allow-list.
+on the allow-list.  The classes are hex digits, one case with digits (lower or upper), and mixed
+case with or without the signs of base64, whose random windows have the same low quantile.
 
 Positions come from the lengths of the pieces between matches.  Everything after the scan
 works on hits, not texts: hits of a text are one hash key, at most one document's hits.
@@ -23,24 +24,39 @@ from tidewell.llm.common import text_of
 
 WINDOW = 20
 UNIT = 1_000_000
-#: least entropy of a window in bits, by class (at most log2(20) = 4.32 and log2(16) = 4)
-BOUNDS = {"entropy_key": 3.9, "entropy_hex": 3.0}
+#: least entropy of a window in bits, by class: about the 2 % quantile over random windows of the
+#: class's alphabet (3.684 for both 62 and 64 symbols, 3.446 for 36; for 16 symbols 3.0 is 3 %)
+BOUNDS = {"entropy_key": 3.684, "entropy_hex": 3.0, "entropy_lower": 3.446, "entropy_upper": 3.446}
 #: kinds in their order; the first three are the base kinds
-KINDS = ("assign", "access", "hex", "entropy_key", "entropy_hex")
+KINDS = ("assign", "access", "hex", "entropy_key", "entropy_hex", "entropy_lower", "entropy_upper")
 
 
 def _either(word: str) -> str:
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in word)
 
 
+def _one_case(more: str, hexes: str, either: str) -> str:
+    """Runs of ``either`` with a character of ``more`` within their first ``WINDOW``, so that
+    runs of hex digits alone are left to the hex class.  A run starts at most WINDOW - 1 hex
+    digits before that character: every window with it is kept, and any text scans in linear
+    time."""
+    out = f"{more}{either}*"
+    for left in range(1, WINDOW):
+        out = f"{more}{either}{{{left},}}|{hexes}(?:{out})"
+    return f"(?:{out})"
+
+
 ASSIGN = ("(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
           + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_LEAST = 12
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}",
-            "entropy_key": f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", "entropy_hex": f"[0-9A-Fa-f]{{{WINDOW},}}"}
-#: candidates that are no secrets: one script of letters, numbers, words joined by one kind of
-#: joiner, identifiers in the usual eight-four-four-four-twelve form, documentation keys
-ALLOW = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Z]?[a-z]+([_/=+-][A-Z]?[a-z]+)*$",
+            "entropy_key": f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", "entropy_hex": f"[0-9A-Fa-f]{{{WINDOW},}}",
+            "entropy_lower": _one_case("[g-z]", "[0-9a-f]", "[a-z0-9]"),
+            "entropy_upper": _one_case("[G-Z]", "[0-9A-F]", "[A-Z0-9]")}
+#: candidates that are no secrets: letters in the case pattern of a word or of words run together,
+#: numbers, words joined by one kind of joiner, identifiers in the usual eight-four-four-four-twelve
+#: form, documentation keys
+ALLOW = (r"^[A-Z]?[a-z]+([A-Z][a-z]+)*$", r"^[A-Z]+$", r"^[0-9]+$", r"^[A-Z]?[a-z]+([_/=+-][A-Z]?[a-z]+)*$",
          r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"EXAMPLE$")
 KEY = ["__tw_id", "__tw_hash", "__tw_len"]
 
