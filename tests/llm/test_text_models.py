@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -73,6 +74,22 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert {r.score for r in toxicity.score_toxicity(odd, flat).collect()} == {flat.values[0]}
 
 
+def test_lexicon_counts_all_labelled_rows(spark):
+    words = ["".join(chr(97 + int(ch, 16)) for ch in hashlib.md5(str(k).encode()).hexdigest()[:9]) for k in range(50)]
+    texts = [(i, f"a calm line about tea {i}" + (f" {words[i // 4 % 50]}" if i % 4 == 0 else "")) for i in range(4000)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), label_rows(spark, 4000), fit_rows=400)
+    assert set(words) <= set(model.lexicon)  # about 16 texts each, one or two of them in the sample
+
+
+def test_lexicon_of_a_fold_leaves_it_out(spark):
+    rows = [("nasty" if i % 2 else "calm", i % 2, i // 2 % toxicity.FOLDS) for i in range(40)] + [("vile", 1, 2)] * 9
+    rows = spark.createDataFrame(rows, "text string, label int, fold int")
+    counts = {r.entry: r for r in toxicity.entry_counts(rows).collect()}
+    assert (counts[""].t, counts[""].c, counts["vile"].t, counts["vile"].t2, counts["nasty"].t, counts["nasty"].t1) == (29, 20, 9, 9, 20, 4)
+    whole, others = toxicity.learn_lexicons(rows)
+    assert "vile" in whole and ["vile" in x for x in others] == [True, True, False, True, True]
+
+
 def test_obfuscated_words_and_distance():
     words = toxicity._Words({"wretch": 5.0})
     x = dict(zip(toxicity.NAMES, words.rows(["you are a wr3tch, WRETCH w.r.e.t.c.h", ""])[0]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,13 @@ from pyspark.sql import types as T
 from tidewell.llm.common import ROW, crc32_mod, materialise, packed, text_of, unpacked
 from tidewell.llm.tokenizing import slices
 
-#: labelled rows used to fit, at most (chosen by a hash of the id); the largest entries kept
+#: labelled rows used to fit trees and calibration, at most (chosen by a hash of the id); the
+#: largest entries kept; parts of the labelled rows, each read with the lexicon of the others
 FIT_ROWS = 16_000
 LEXICON = 20_000
+FOLDS = 5
+#: entries that a task counts before it hands them on
+ENTRIES = 400_000
 #: lengths of word beginnings that may be lexicon entries
 STEMS = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 4
@@ -54,30 +59,74 @@ def _entries(core: str) -> list[str]:
     return [core, *[core[:k] + "*" for k in STEMS if len(core) > k]] if core else []
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """{entry: log-odds} from (text, label) rows.  Texts are split into entries in tasks; the
-    count of texts per entry is combined map-side, and only the strongest ``LEXICON`` entries
-    that pass both limits reach the driver."""
+class _Entries(dict):
+    """Word → numbers of its entries, in ``ids``; number 0 (the empty entry) is in every text."""
+
+    def __init__(self):
+        self.ids = {"": 0}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.ids
+        out = self[word] = tuple([ids.setdefault(e, len(ids)) for e in _entries(_core(word))])
+        return out
+
+
+def entry_counts(rows: DataFrame) -> DataFrame:
+    """(entry, t, c, t0, c0, ...): how many toxic and other texts of (text, label, fold) hold an
+    entry, and how many of them are in each fold; the empty entry counts all texts.  Tasks
+    combine before they shuffle, in tables of about ``ENTRIES`` entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = _Entries(), np.zeros(0, np.int64)
+
+        def flush():
+            cells = total[:len(words.ids) * FOLDS * 2].reshape(-1, 2)
+            at = np.flatnonzero(cells.any(axis=1))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(words.ids), pa.string()).take(pa.array(at // FOLDS)), pa.array((at % FOLDS).astype(np.int32)),
+                 pa.array(cells[at, 0]), pa.array(cells[at, 1])], names=["entry", "fold", "t", "c"])
+
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, labels, folds = [batch.column(i).to_pylist() for i in range(3)]
             for a, z in slices(texts, 1 << 19):
-                out, toxic = [], []
-                for t, y in zip(texts[a:z], labels[a:z]):
-                    found = {e for w in set(t.split()) for e in _entries(_core(w))}
-                    out += found
-                    toxic += [y] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32())],
-                                                 names=["entry", "label"])
-
-    n = {int(r["label"]): r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
-    counts = (rows.select("text", F.col("label").cast("int")).mapInArrow(run, "entry string, label int")
-              .groupBy("entry").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")))
-    odds = F.log((F.col("t") + 0.25) / (bad + 0.5)) - F.log((F.col("c") + 0.25) / (good + 0.5))
-    top = (counts.where(F.col("t") >= LEAST_TEXTS).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS)
-           .orderBy(F.desc(F.col("w") * F.sqrt("t")), "entry").limit(LEXICON))
-    return {r["entry"]: round(r["w"], 6) for r in top.collect()}
+                found = []
+                for t, y, k in zip(texts[a:z], labels[a:z], folds[a:z]):
+                    ids = {0}.union(*map(words.__getitem__, set(t.split())))
+                    found.append(np.fromiter(ids, np.int64, len(ids)) * (FOLDS * 2) + (k * 2 + 1 - y))
+                at, n = np.unique(np.concatenate(found), return_counts=True)
+                if len(words.ids) * FOLDS * 2 > len(total):
+                    total = np.r_[total, np.zeros(len(words.ids) * FOLDS * 4 - len(total), np.int64)]
+                total[at] += n
+                if len(words.ids) > ENTRIES:
+                    yield flush()
+                    words, total = _Entries(), np.zeros(0, np.int64)
+        if total.any():
+            yield flush()
+
+    sums = [F.sum(F.when(F.col("fold") == k, F.col(x)).otherwise(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in "tc"]
+    return (rows.select("text", F.col("label").cast("int"), F.col("fold").cast("int"))
+            .mapInArrow(run, "entry string, fold int, t long, c long")
+            .groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), *sums))
+
+
+def learn_lexicons(rows: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """{entry: log-odds} from all (text, label, fold) rows, and for each fold the same from the
+    rows outside it.  Only the strongest ``LEXICON`` entries that pass both limits reach the
+    driver."""
+    counts = materialise(entry_counts(rows).where((F.col("t") >= LEAST_TEXTS) | (F.col("entry") == "")), "toxic-entries")
+    every = counts.where("entry = ''").first()
+    if every is None:
+        return {}, [{}] * FOLDS
+
+    def learn(t, c, bad: int, good: int) -> dict[str, float]:
+        odds = F.log((t + 0.25) / (bad + 0.5)) - F.log((c + 0.25) / (good + 0.5))
+        top = (counts.where(F.col("entry") != "").select("entry", t.alias("n"), odds.alias("w"))
+               .where((F.col("n") >= LEAST_TEXTS) & (F.col("w") >= LEAST_ODDS))
+               .orderBy(F.desc(F.col("w") * F.sqrt("n")), "entry").limit(LEXICON))
+        return {r["entry"]: round(r["w"], 6) for r in top.collect()}
+
+    return learn(F.col("t"), F.col("c"), every["t"], every["c"]), [
+        learn(F.col("t") - F.col(f"t{k}"), F.col("c") - F.col(f"c{k}"), every["t"] - every[f"t{k}"], every["c"] - every[f"c{k}"])
+        for k in range(FOLDS)]
 
 
 class _Words(dict):
@@ -193,29 +242,37 @@ def _margin(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
                  text_col: str = "text", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from the labelled rows outside the held-out fifth (crc32 of the id as text, modulo
-    5, is 0).  The lexicon is counted on one part of them, so that its entries look as
-    surprising to the trees as on new texts; trees learn on a second and calibration on a third.
+    5, is 0).  The lexicon is counted on all of them.  Trees and calibration learn on two parts
+    of a sample, whose texts are read with a lexicon counted on all rows outside the text's fold,
+    so that its entries look as surprising as on new texts.
 
     One class only, or too few rows: the score is that class's smoothed share."""
     own = (labels.where(F.col(label).isNotNull() & (crc32_mod(id_col, 5) != 0))
            .groupBy(F.col(id_col).alias("__tw_l")).agg(F.max(label).cast("int").alias("label")))
     share = min(1.0, fit_rows / max(1, own.count()))
-    own = own.where(F.pmod(F.xxhash64("__tw_l", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = docs.select(F.col(f"`{id_col}`").alias("__tw_id"), text_of(f"`{text_col}`").alias("text"))
-    rows = materialise(picked.join(own, F.col("__tw_id") == F.col("__tw_l"))
-                       .select("text", "label", F.pmod(F.xxhash64("__tw_id", F.lit("part")), F.lit(10)).alias("part")), "toxic-fit")
+    sample = own.where(F.pmod(F.xxhash64("__tw_l", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = (docs.where(crc32_mod(f"`{id_col}`", 5) != 0)
+              .select(F.col(f"`{id_col}`").alias("__tw_id"), text_of(f"`{text_col}`").alias("text")))
+    part = F.pmod(F.xxhash64("__tw_id", F.lit("part")), F.lit(10))
+
+    def labelled(chosen: DataFrame) -> DataFrame:
+        return (picked.join(chosen, F.col("__tw_id") == F.col("__tw_l"))
+                .select("text", "label", part.alias("part"), (part % FOLDS).alias("fold")))
+
+    rows = materialise(labelled(sample), "toxic-fit")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2 or sum(n.values()) < 20:
         rate = (n.get(1, 0) + 1.0) / (sum(n.values()) + 2.0)
         return ToxicityModel({}, None, (0.0,), (rate,))
-    lexicon = learn_lexicon(rows.where("part < 5"))
-    made = materialise(features(rows, lexicon, "text", ("label", "part")), "toxic-features")
-    fit = made.where("part >= 5 AND part < 8").withColumn("features", array_to_vector("x"))
+    lexicon, others = learn_lexicons(labelled(own))
+    made = materialise(reduce(DataFrame.unionByName, [
+        features(rows.where(F.col("fold") == k), words, "text", ("label", "part")) for k, words in enumerate(others)]), "toxic-features")
+    fit = made.where("part < 6").withColumn("features", array_to_vector("x"))
     if fit.select("label").distinct().count() < 2:
         fit = made.withColumn("features", array_to_vector("x"))
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.15, subsamplingRate=0.8,
                           minInstancesPerNode=5, maxBins=64, seed=11).fit(fit)
-    held = _margin(trees, made.where("part >= 8"))
+    held = _margin(trees, made.where("part >= 6"))
     if held.select("label").distinct().count() < 2:
         held = _margin(trees, made)
     iso = IsotonicRegression(featuresCol="margin", labelCol="label").fit(held.select("margin", F.col("label").cast("double")))
