@@ -34,7 +34,7 @@ ENTRIES = 400_000
 #: lengths of word beginnings that may be lexicon entries
 STEMS = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 4
-LEAST_ODDS = 2.5
+LEAST_ODDS = 1.5
 TREES, DEPTH = 40, 4
 #: fixed values: second-person words of four languages
 SECOND_PERSON = frozenset(
