@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import (
+    collocations,
     embeddings,
     exact,
     language_model,
     mixing,
     packing,
     quality,
+    repeats,
     secrets,
     simhash,
+    spelling,
     toxicity,
     training_order,
 )
@@ -196,3 +199,90 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def _collocation_sql() -> str:
+    c = collocations
+    upper = "".join(map(chr, range(65, 91)))
+    lengths = range(1, c.LONGEST + 1)
+    grams = " UNION ALL ".join(f"""
+  SELECT lang, {k} AS length, unnest(list_transform(range(1, len(ws) - {k} + 2),
+         lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS phrase FROM pieces WHERE len(ws) >= {k}""" for k in lengths)
+
+    def part(a, z):
+        return f"array_to_string(string_split(b.phrase, ' ')[{a}:{z}], ' ')"
+    cuts = " UNION ALL ".join(f"""
+  SELECT b.lang, b.phrase, b.n AS a, {k} AS k, x.n AS l, y.n AS r,
+         CAST(b.n AS HUGEINT) * b.n * {c.UNIT} // (CAST(x.n AS HUGEINT) * y.n) AS score
+  FROM f b JOIN f x ON x.lang = b.lang AND x.phrase = {part(1, k)}
+           JOIN f y ON y.lang = b.lang AND y.phrase = {part(k + 1, m)}
+  WHERE b.length = {m} AND b.n >= {c.LEAST}""" for m in lengths for k in range(1, m))
+    inner = " UNION ALL ".join(f"""
+  SELECT b.lang, {part(i, i + m - 1)} AS phrase, b.n FROM f b WHERE b.length = {q} AND b.n >= {c.LEAST}"""
+                               for q in range(3, c.LONGEST + 1) for m in range(2, q) for i in range(1, q - m + 2))
+    return f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+grams AS ({grams}),
+f AS (SELECT lang, length, phrase, count(*) AS n FROM grams GROUP BY ALL),
+words AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length = 1 GROUP BY lang),
+cuts AS ({cuts}),
+scored AS (
+  SELECT lang, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score
+  FROM cuts GROUP BY lang, phrase, a),
+held AS (SELECT lang, phrase, max(n) AS longer FROM ({inner}) GROUP BY lang, phrase),
+free AS (
+  SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.longer IS NULL OR 100 * h.longer < {c.COVER} * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, w.n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN words w ON w.lang = r.lang WHERE r.rank <= {c.TOP}
+"""
+
+
+ORACLE["op12_phrase_collocations"] = _collocation_sql()
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op13_suffix_dedup"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x,
+         octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+windows AS (SELECT row, doc_id, x, unnest(range(0, n_bytes - {repeats.THRESHOLD - 1})) AS p FROM d),
+lowest AS (
+  SELECT row, p, doc_id, min(doc_id) OVER (PARTITION BY substr(x, 2 * p + 1, {2 * repeats.THRESHOLD})) AS low FROM windows),
+hits AS (
+  SELECT row, p, CASE WHEN p - lag(p) OVER (PARTITION BY row ORDER BY p) <= {repeats.THRESHOLD} THEN 0 ELSE 1 END AS new
+  FROM lowest WHERE low < doc_id),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY p ROWS UNBOUNDED PRECEDING) AS island FROM hits),
+spans AS (SELECT row, min(p) AS start, max(p) + {repeats.THRESHOLD} AS stop FROM islands GROUP BY row, island),
+gaps AS (
+  SELECT row, lag(stop, 1, 0) OVER (PARTITION BY row ORDER BY start) AS start, start AS stop FROM spans
+  UNION ALL SELECT row, max(stop), 1 << 40 FROM spans GROUP BY row),
+pieces AS (
+  SELECT g.row, string_agg(substr(d.x, 2 * g.start + 1, 2 * (least(g.stop, d.n_bytes) - g.start)), '' ORDER BY g.start) AS kept
+  FROM gaps g JOIN d USING (row) GROUP BY g.row),
+cut AS (SELECT row, count(*) AS n_spans, CAST(sum(stop - start) AS BIGINT) AS n_removed FROM spans GROUP BY row)
+SELECT d.doc_id, d.n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(p.kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN cut c USING (row) LEFT JOIN pieces p USING (row)
+"""
