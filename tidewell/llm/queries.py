@@ -221,31 +221,32 @@ def _collocation_sql() -> str:
          lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS phrase FROM pieces WHERE len(ws) >= {k}""" for k in lengths)
 
     def part(a, z):
-        return f"array_to_string(string_split(b.phrase, ' ')[{a}:{z}], ' ')"
+        return f"b.lang || chr(10) || array_to_string(b.w[{a}:{z}], ' ')"
     cuts = " UNION ALL ".join(f"""
   SELECT b.lang, b.phrase, b.n AS a, {k} AS k, x.n AS l, y.n AS r,
          CAST(b.n AS HUGEINT) * b.n * {c.UNIT} // (CAST(x.n AS HUGEINT) * y.n) AS score
-  FROM f b JOIN f x ON x.lang = b.lang AND x.phrase = {part(1, k)}
-           JOIN f y ON y.lang = b.lang AND y.phrase = {part(k + 1, m)}
-  WHERE b.length = {m} AND b.n >= {c.LEAST}""" for m in lengths for k in range(1, m))
+  FROM often b JOIN often x ON x.key = {part(1, k)} JOIN often y ON y.key = {part(k + 1, m)}
+  WHERE b.length = {m}""" for m in lengths for k in range(1, m))
     inner = " UNION ALL ".join(f"""
-  SELECT b.lang, {part(i, i + m - 1)} AS phrase, b.n FROM f b WHERE b.length = {q} AND b.n >= {c.LEAST}"""
+  SELECT {part(i, i + m - 1)} AS key, b.n FROM often b WHERE b.length = {q}"""
                                for q in range(3, c.LONGEST + 1) for m in range(2, q) for i in range(1, q - m + 2))
     return f"""
-WITH pieces AS (
+WITH pieces AS MATERIALIZED (
   SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
           translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
 grams AS ({grams}),
-f AS (SELECT lang, length, phrase, count(*) AS n FROM grams GROUP BY ALL),
-words AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, length, phrase, count(*) AS n FROM grams GROUP BY ALL),
+words AS MATERIALIZED (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length = 1 GROUP BY lang),
+often AS MATERIALIZED (
+  SELECT lang, length, phrase, n, lang || chr(10) || phrase AS key, string_split(phrase, ' ') AS w FROM f WHERE n >= {c.LEAST}),
 cuts AS ({cuts}),
 scored AS (
   SELECT lang, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score
   FROM cuts GROUP BY lang, phrase, a),
-held AS (SELECT lang, phrase, max(n) AS longer FROM ({inner}) GROUP BY lang, phrase),
+held AS (SELECT key, max(n) AS longer FROM ({inner}) GROUP BY key),
 free AS (
-  SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  SELECT s.* FROM scored s LEFT JOIN held h ON h.key = s.lang || chr(10) || s.phrase
   WHERE h.longer IS NULL OR 100 * h.longer < {c.COVER} * s.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, w.n, CAST(r.score AS BIGINT) AS score
@@ -267,9 +268,14 @@ ORACLE["op13_suffix_dedup"] = f"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x,
          octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
-windows AS (SELECT row, doc_id, x, unnest(range(0, n_bytes - {repeats.THRESHOLD - 1})) AS p FROM d),
-lowest AS (
-  SELECT row, p, doc_id, min(doc_id) OVER (PARTITION BY substr(x, 2 * p + 1, {2 * repeats.THRESHOLD})) AS low FROM windows),
+blocks AS (
+  SELECT row, doc_id, b, least(1000, n_bytes - {repeats.THRESHOLD - 1} - b) AS n, substr(x, 2 * b + 1, {2 * (1000 + repeats.THRESHOLD)}) AS x
+  FROM (SELECT row, doc_id, n_bytes, x, unnest(range(0, n_bytes - {repeats.THRESHOLD - 1}, 1000)) AS b FROM d)),
+windows AS MATERIALIZED (
+  SELECT row, doc_id, b + unnest(range(0, n)) AS p,
+         unnest(list_transform(range(0, n), lambda p: substr(x, 2 * p + 1, {2 * repeats.THRESHOLD}))) AS w FROM blocks),
+first AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+lowest AS (SELECT w.row, w.p, w.doc_id, f.low FROM windows w JOIN first f ON f.w = w.w),
 hits AS (
   SELECT row, p, CASE WHEN p - lag(p) OVER (PARTITION BY row ORDER BY p) <= {repeats.THRESHOLD} THEN 0 ELSE 1 END AS new
   FROM lowest WHERE low < doc_id),
@@ -277,7 +283,7 @@ islands AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY p ROWS UNBOUNDED
 spans AS (SELECT row, min(p) AS start, max(p) + {repeats.THRESHOLD} AS stop FROM islands GROUP BY row, island),
 gaps AS (
   SELECT row, lag(stop, 1, 0) OVER (PARTITION BY row ORDER BY start) AS start, start AS stop FROM spans
-  UNION ALL SELECT row, max(stop), 1 << 40 FROM spans GROUP BY row),
+  UNION ALL SELECT row, max(stop), 1099511627776 FROM spans GROUP BY row),
 pieces AS (
   SELECT g.row, string_agg(substr(d.x, 2 * g.start + 1, 2 * (least(g.stop, d.n_bytes) - g.start)), '' ORDER BY g.start) AS kept
   FROM gaps g JOIN d USING (row) GROUP BY g.row),
