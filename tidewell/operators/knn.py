@@ -1,18 +1,17 @@
 """Exact k-nearest-neighbour join (the kernel of I1, O2–O8, M12 and the kNN model).
 
-Plan: probe rows are hashed into ``npc`` chunks and base rows into ``nb`` blocks,
-both sized from counts so that one task holds at most ``probe_block`` probe rows
-and ``base_block`` base rows (defaults keep a task's numpy temporaries near 70 MB).  Each probe row is sent to every base block of its
-partition (``partition_cols``, e.g. the class) and each base row to every probe
-chunk; ``cogroup`` meets them on (partition, chunk, block).  A task computes the
-exact distances of its block pair in numpy and emits only its local top-k, so the
-merge per probe (a window over ≤ nb·k rows) never sees all pairs.
+Small bases (up to ``PRUNE_FROM`` blocks): probe rows are hashed into chunks and base rows
+into blocks, both sized from counts, and every chunk meets every block of its partition
+(``partition_cols``, e.g. the class).  Larger bases go through ``cells``: a probe visits only
+the blocks that a triangle-inequality bound cannot rule out, with the same result.  Either
+way ``cogroup`` meets a chunk and a block in one task, which computes exact distances in
+numpy and emits only its local top-k, so the merge per probe (a window over at most blocks·k
+rows) never sees all pairs; a task's numpy temporaries stay near 70 MB.
 
 Distance: NaN-aware Euclidean — over coordinates present on both sides,
 sqrt(d / present · Σ (a-b)²); no common coordinate → no distance (the pair is
-skipped).  Ties are broken by base id.  Exact kNN is quadratic in the
-partition size; callers keep the probe side small (rows with NULLs, minority
-classes).
+skipped).  Ties are broken by base id.  A base whose rows lack every feature somewhere
+leaves no coordinate to bound by, and is compared as a whole.
 """
 
 from __future__ import annotations
@@ -26,7 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import c
+from tidewell.operators.cells import pruned_join
 
+#: blocks of the base from which pruning pays for its extra passes
+PRUNE_FROM = 4
 PC, BB = "__pc", "__bb"
 
 
@@ -140,7 +142,24 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str],
     """
     feats = list(features)
     parts = list(partition_cols)
-    n_probe, n_base = probe.count(), base.count()
+    if donors:
+        schema = "probe_id string, feature string, base_id string, dist double, value double"
+    else:
+        pt = "".join(f", {p} {base.schema[p].dataType.simpleString()}" for p in base_passthrough)
+        schema = "probe_id string, base_id string, dist double" + pt
+    gidx = [[feats.index(x) for x in g] for g in groups] if groups else None
+    kern = _kernel(feats, k, exclude_self, donors, base_passthrough, gidx)
+    n_base, have = _present(base, feats)
+    if n_base > PRUNE_FROM * base_block:
+        n_probe, also = _present(probe, feats)
+        always = [x for x in feats if have[x] == n_base and also[x] == n_probe]
+        if always:
+            made, _ = pruned_join(probe, base, k, feats, always, have, kern, schema, id_col=id_col, partition_cols=parts,
+                                  exclude_self=exclude_self, donors=donors, passthrough=base_passthrough,
+                                  probe_block=probe_block, base_block=base_block, n_base=n_base)
+            return _nearest(made, k, donors)
+    else:
+        n_probe = probe.count()
     npc, nb = _blocks(n_probe, probe_block), _blocks(n_base, base_block)
 
     def prep(df, own, other_n, tag):
@@ -148,22 +167,26 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int, features: Sequence[str],
         x = df.select(*[c(p).alias(p) for p in parts], c(id_col).cast("string").alias(tag),
                       *[c(f).cast("double").alias(f) for f in feats],
                       *([c(p).alias(p) for p in base_passthrough] if tag == "__bid" else []))
-        x = x.withColumn(own[0], F.pmod(F.xxhash64(F.col(tag)), F.lit(own[1])))
+        # both sides' numbers are INT: cogroup hashes a BIGINT differently and would lose pairs
+        x = x.withColumn(own[0], F.pmod(F.xxhash64(F.col(tag)), F.lit(own[1])).cast("int"))
         return x.withColumn(other_n[0], F.explode(F.sequence(F.lit(0), F.lit(other_n[1] - 1))))
 
     P = prep(probe, (PC, npc), (BB, nb), "__pid")
     B = prep(base, (BB, nb), (PC, npc), "__bid")
     key = [*parts, PC, BB]
-    if donors:
-        schema = "probe_id string, feature string, base_id string, dist double, value double"
-    else:
-        pt = "".join(f", {p} {base.schema[p].dataType.simpleString()}" for p in base_passthrough)
-        schema = "probe_id string, base_id string, dist double" + pt
-    gidx = [[feats.index(x) for x in g] for g in groups] if groups else None
-    kern = _kernel(feats, k, exclude_self, donors, base_passthrough, gidx)
-    local = P.groupBy(*key).cogroup(B.groupBy(*key)).applyInPandas(kern, schema)
+    return _nearest(P.groupBy(*key).cogroup(B.groupBy(*key)).applyInPandas(kern, schema), k, donors)
+
+
+def _present(df: DataFrame, feats: Sequence[str]) -> tuple[int, dict[str, int]]:
+    """Rows, and rows that have each feature."""
+    got = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(~F.isnan(c(x).cast("double")), 1)).alias(f"f{i}")
+                                                for i, x in enumerate(feats)]).first()
+    return got["n"], {x: got[f"f{i}"] for i, x in enumerate(feats)}
+
+
+def _nearest(local: DataFrame, k: int, donors: bool) -> DataFrame:
+    """The k nearest of what the tasks found, per probe (and missing feature)."""
     per = ["probe_id", "feature"] if donors else ["probe_id"]
     w = Window.partitionBy(*per).orderBy("dist", "base_id")
     merged = local.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-
     return merged.withColumn("nn_rank", F.col("nn_rank").cast("bigint"))

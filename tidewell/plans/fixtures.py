@@ -10,7 +10,7 @@ the source so summation order cannot leak into later steps.
 | ``meta`` | customer | c_mktsegment, 'UNKNOWN' for every 5th key | flag, alternative label, depth |
 | ``ephys`` | orders per customer | – | five order aggregates |
 | ``morph`` | lineitem ⋈ orders per customer, 9 of 10 customers | – | four line aggregates incl. depth with NULLs |
-| ``emb`` | embeddings | label as text | e0..e7 (first 8 components) |
+| ``emb`` | embeddings | label as text | e0..e63 (all components) |
 | ``docs`` | documents ⟕ labels | quality as text or 'UNKNOWN' | n_chars, n_words |
 """
 
@@ -185,19 +185,14 @@ def embn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``emb`` with NULLs injected in three components (for imputation)."""
     e = emb(spark, sf_dir)
     k = F.col("id").cast("bigint")
-    return e.withColumns({
-        "e0": F.when(k % 7 == 3, None).otherwise(F.col("e0")),
-        "e1": F.when(k % 11 == 5, None).otherwise(F.col("e1")),
-        "e2": F.when(k % 13 == 4, None).otherwise(F.col("e2")),
-    })
-
-
-EMBN_SQL = """embn AS (
-  SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 3 THEN NULL ELSE e0 END AS e0,
-         CASE WHEN CAST(id AS BIGINT) % 11 = 5 THEN NULL ELSE e1 END AS e1,
-         CASE WHEN CAST(id AS BIGINT) % 13 = 4 THEN NULL ELSE e2 END AS e2,
-         e3, e4, e5, e6, e7, label
-  FROM emb)"""
+    return e.withColumns({x: F.when(k % m == r, None).otherwise(F.col(x)) for x, m, r in EMBN_HOLES})
+
+
+#: components of ``embn`` with NULLs: name, modulus and remainder of the key
+EMBN_HOLES = (("e0", 7, 3), ("e1", 11, 5), ("e2", 13, 4))
+EMBN_SQL = "embn AS (\n  SELECT id, " + ", ".join(
+    [f"CASE WHEN CAST(id AS BIGINT) % {m} = {r} THEN NULL ELSE {x} END AS {x}" for x, m, r in EMBN_HOLES]
+    + [x for x in EMB_FEATURES if x not in {h for h, _, _ in EMBN_HOLES}]) + ", label\n  FROM emb)"
 SQL["embn"] = EMBN_SQL
 
 

@@ -303,10 +303,10 @@ def q_distance(spark, sf):
     return rounded(G.distance_to_centroid(X.emb(spark, sf), X.EMB_SPEC, 2.0).select("id", "label", "distance"))
 
 
-@register("row_max", X.with_ctes(["emb"], "SELECT id, round(greatest(e0, e1, e2, e3), 6) AS p_max FROM emb"))
+@register("row_max", X.with_ctes(["emb"], f"SELECT id, round(greatest({', '.join(X.EMB_FEATURES)}), 6) AS p_max FROM emb"))
 def q_row_max(spark, sf):
-    """G16."""
-    return rounded(G.with_row_max(X.emb(spark, sf), ["e0", "e1", "e2", "e3"]).select("id", "p_max"))
+    """The largest of all components."""
+    return rounded(G.with_row_max(X.emb(spark, sf), list(X.EMB_FEATURES)).select("id", "p_max"))
 
 
 @register("extremes_li", X.with_ctes(_LI, """

@@ -170,21 +170,21 @@ def q_quantile(spark, sf):
 
 
 def _knn_impute_sql(k: int = 5) -> str:
-    d = len(EMBF)
-    acc = " + ".join(f"CASE WHEN p.e{i} IS NOT NULL AND b.e{i} IS NOT NULL THEN (p.e{i} - b.e{i}) * (p.e{i} - b.e{i}) "
-                     f"ELSE 0 END" for i in range(d))
-    cnt = " + ".join(f"CAST(p.e{i} IS NOT NULL AND b.e{i} IS NOT NULL AS INT)" for i in range(d))
-    anynull = " OR ".join(f"e{i} IS NULL" for i in range(d))
-    ctes = [f"probes AS (SELECT * FROM embn WHERE {anynull})",
-            "pairs AS (SELECT p.id AS pid, b.id AS bid, " + ", ".join(f"b.e{i} AS b{i}" for i in range(d)) +
-            f", ({acc}) AS acc, ({cnt}) AS cnt FROM probes p, embn b)",
-            f"dd AS (SELECT *, sqrt((CAST({d} AS DOUBLE) / cnt) * acc) AS dist FROM pairs WHERE cnt > 0)"]
-    for i in range(d):
-        ctes.append(f"f{i} AS (SELECT pid, avg(b{i}) AS f FROM (SELECT pid, b{i}, row_number() OVER "
-                    f"(PARTITION BY pid ORDER BY dist, bid) AS rn FROM dd WHERE b{i} IS NOT NULL) t "
+    d, holes = len(EMBF), [x for x, _, _ in X.EMBN_HOLES]  # only these can be NULL
+    term = {x: f"(p.{x} - b.{x}) * (p.{x} - b.{x})" for x in EMBF}
+    acc = " + ".join(f"coalesce({t}, 0)" if x in holes else t for x, t in term.items())
+    cnt = f"{d - len(holes)} + " + " + ".join(f"CAST(p.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INT)" for x in holes)
+    anynull = " OR ".join(f"{x} IS NULL" for x in holes)
+    ctes = [f"probes AS MATERIALIZED (SELECT * FROM embn WHERE {anynull})",
+            "dd AS MATERIALIZED (SELECT p.id AS pid, b.id AS bid, " + ", ".join(f"b.{x} AS {x}" for x in holes) +
+            f", sqrt((CAST({d} AS DOUBLE) / ({cnt})) * ({acc})) AS dist FROM probes p, embn b)"]
+    for x in holes:
+        ctes.append(f"f_{x} AS (SELECT pid, avg({x}) AS f FROM (SELECT pid, {x}, row_number() OVER "
+                    f"(PARTITION BY pid ORDER BY dist, bid) AS rn FROM dd WHERE {x} IS NOT NULL) t "
                     f"WHERE rn <= {k} GROUP BY pid)")
-    cols = ", ".join(f"round(coalesce(p.e{i}, f{i}.f, (SELECT avg(e{i}) FROM embn)), 6) AS e{i}" for i in range(d))
-    joins = " ".join(f"LEFT JOIN f{i} ON p.id = f{i}.pid" for i in range(d))
+    cols = ", ".join(f"round(coalesce(p.{x}, f_{x}.f, (SELECT avg({x}) FROM embn)), 6) AS {x}" if x in holes
+                     else f"round(p.{x}, 6) AS {x}" for x in EMBF)
+    joins = " ".join(f"LEFT JOIN f_{x} ON p.id = f_{x}.pid" for x in holes)
     body = (f"SELECT p.id, p.label, {cols} FROM probes p {joins}\nUNION ALL\n"
             f"SELECT id, label, {_r(EMBF)} FROM embn WHERE NOT ({anynull})")
     return X.with_ctes(["emb", "embn"], body, ctes)
