@@ -33,9 +33,9 @@ from tidewell.llm.common import materialise, text_of
 
 THRESHOLD = 50
 #: bytes of text in a chunk, and of text behind one bucket of digits
-CHUNK = 8 << 20
+CHUNK, BUCKET = 4 << 20, 8 << 20
 #: positions that one step of the digit computation holds
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
 _DIGIT_BITS = 48
 _PLACE = np.uint64((1 << 31) - 1)
@@ -370,7 +370,7 @@ def _cut(chunk: pa.Table, hits: pa.Table, threshold: int, names: list[str]) -> p
             each = hi - lo
             pick = runs[by[np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())]]
             mark(c.start[pick] + np.repeat(off[known], each), np.repeat(n[known], each))
-    gone = np.cumsum(cover[:-1]) > 0
+    gone = np.cumsum(cover, out=cover) > 0
     spans, kept, low = [], [], 0
     raw = np.frombuffer(c.buf, np.uint8)
     for high in c.ends.tolist():
@@ -402,7 +402,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("threshold must be 2 bytes or more")
     chunks = materialise(_chunks(docs, id_col, text_col), "repeat-chunks")
     row = chunks.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    buckets = max(1, -(-(row["b"] or 0) // CHUNK))
+    buckets = max(1, -(-(row["b"] or 0) // BUCKET))
     parts = min(max(1, row["n"]), _MOST_PARTITIONS)
     # partitions by number: a few chunks or buckets each, sized by bytes and not by a setting
     by_chunk = chunks.repartition(parts, "chunk").groupBy("chunk")
