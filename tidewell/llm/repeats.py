@@ -98,7 +98,9 @@ def suffix_runs(buf: bytes, ends: np.ndarray, threshold: int) -> tuple[np.ndarra
         edges = np.flatnonzero(change)
         keep = inside[edges[:-1]]
         start, count = edges[:-1][keep], np.diff(edges)[keep]
-        out.append((start + at, count, anchor[start] + at, hashes[anchor[start]] >> np.uint64(64 - _DIGIT_BITS)))
+        # the least of many hashes is small: mixed again, digits spread evenly over the buckets
+        digit = hashes[anchor[start]] * np.uint64(0x9FB21C651E98DF25)
+        out.append((start + at, count, anchor[start] + at, (digit ^ (digit >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _DIGIT_BITS)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out))
