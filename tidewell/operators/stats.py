@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.columns import c, minkowski, null_count
+from tidewell.operators.brackets import MOST_POSITIONS, bracketed_quantiles
 from tidewell.operators.ranking import group_rank
 from tidewell.operators.small import small_side
 from tidewell.spec import NUMERIC_TYPES, Spec, q
@@ -108,12 +109,17 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles per (group..., column): columns group..., column, p, value.
 
-    Exact: values are ranked per (group, column) with a range-partitioned rank;
-    only the two order statistics around each position survive a filter, so no
-    task holds a whole column.  ``approx`` uses ``percentile_approx`` (no
+    Exact: without groups, up to ``MOST_POSITIONS`` positions are found by bracketing
+    (:mod:`tidewell.operators.brackets`).  Otherwise values are ranked per (group, column)
+    with a range-partitioned rank; only the two order statistics around each position
+    survive a filter, so no task holds a whole column.  ``approx`` uses ``percentile_approx`` (no
     interpolation, bounded memory, single pass).
     """
     groups = list(group_cols)
+    if not groups and not approx and cols and len(set(probs)) <= MOST_POSITIONS:
+        found = bracketed_quantiles(df, list(cols), probs)
+        if found is not None:
+            return found
     long = to_long(df, cols, groups)
     key = [*groups, "feature"]
     if approx:
@@ -167,11 +173,12 @@ def _wide_quantiles(qs: DataFrame, key: Sequence[str], names: dict[float, str])
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column count, mean, std (sample), min, p25, p50, p75, max."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    long = to_long(df, cols)
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    v = {i: c(x).cast("double") for i, x in enumerate(cols)}
+    made = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[fn(e).alias(f"{k}{i}") for i, e in v.items() for k, fn in made.items()]).first()  # one aggregate for all columns
+    moments = df.sparkSession.createDataFrame(
+        [(x, *[row[f"{k}{i}"] for k in made]) for i, x in enumerate(cols) if row[f"count{i}"]],
+        "feature string, count long, mean double, std double, min double, max double")
     qs = _wide_quantiles(quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx), ["feature"],
                          {0.25: "p25", 0.5: "p50", 0.75: "p75"})
     return moments.join(qs, on="feature", how="left").select(
@@ -234,16 +241,18 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> D
     """q1, median, q3, iqr, whiskers (furthest values within 1.5·IQR), outlier count."""
     qs = _wide_quantiles(quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx), ["feature"],
                          {0.25: "q1", 0.5: "median", 0.75: "q3"})
-    long = to_long(df, cols)
-    joined = long.join(small_side(qs), on="feature")  # qs: one row per column; each is a hot key
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col("value")
-    return joined.groupBy("feature", "q1", "median", "q3").agg(
-        F.min(F.when(v >= lo, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.sum(F.when((v < lo) | (v > hi), 1).otherwise(0)).cast("bigint").alias("n_outliers"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
+    # one row per column: its fences become literals of one aggregate over all columns
+    box = {r["feature"]: r for r in qs.collect()}
+    aggs = []
+    for i, x in enumerate(x for x in cols if x in box):
+        r, v = box[x], c(x).cast("double")
+        lo, hi = (F.lit(e) for e in (r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])))
+        aggs += [F.min(F.when(v >= lo, v)).alias(f"l{i}"), F.max(F.when(v <= hi, v)).alias(f"h{i}"), F.count(F.when((v < lo) | (v > hi), 1)).alias(f"n{i}")]
+    got = df.agg(*aggs).first() if aggs else None
+    rows = [(x, *[box[x][k] for k in ("q1", "median", "q3")], got[f"l{i}"], got[f"h{i}"], got[f"n{i}"], box[x]["q3"] - box[x]["q1"])
+            for i, x in enumerate(x for x in cols if x in box)]
+    return df.sparkSession.createDataFrame(rows, "feature string, q1 double, median double, q3 double, whisker_low double, "
+                                                 "whisker_high double, n_outliers long, iqr double")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
