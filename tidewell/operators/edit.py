@@ -72,7 +72,12 @@ def select_columns(df: DataFrame, cols: Sequence[str], label_col: str = "label",
     return df.select(*[c(x) for x in keep if x in df.columns])
 
 
-def select_rows(df: DataFrame, ids: Sequence[str], cols: Sequence[str] | None = None, id_col: str = "id") -> DataFrame:
-    """P10: rows picked by key (and optionally some columns) for an ad-hoc summary."""
-    out = df.filter(c(id_col).isin(*ids))
+def select_rows(df: DataFrame, ids: Sequence[str] | DataFrame, cols: Sequence[str] | None = None, id_col: str = "id") -> DataFrame:
+    """P10: rows picked by key (and optionally some columns) for an ad-hoc summary.  ``ids`` is a
+    list or a table with the key column; either way a semi join picks the rows."""
+    if not isinstance(ids, DataFrame):
+        ids = df.sparkSession.createDataFrame([(i,) for i in ids], "__id string").select(F.col("__id").cast(df.schema[id_col].dataType).alias("__id"))
+    else:
+        ids = ids.select(c(id_col).alias("__id"))
+    out = df.join(ids, c(id_col) == F.col("__id"), "left_semi")
     return out.select(c(id_col), *[c(x) for x in cols]) if cols else out

@@ -148,12 +148,15 @@ def select_by_importance(imp: DataFrame, threshold: float = 0.005, mode: str = "
 def fit_per_model_subset(train: DataFrame, test: DataFrame, spec: Spec, importances: dict[str, DataFrame],
                          threshold: float = 0.005) -> DataFrame:
     """Each family refit on its own selected features; leaderboards appended,
-    ensembles left out, sorted by test score."""
-    boards = None
+    ensembles left out, sorted by test score.  A family of which no feature passes the
+    threshold is left out; if none is left, the result is empty."""
+    boards = M.leaderboard([], spec, test=test)
     for family, imp in importances.items():
-        feats = select_by_importance(imp, threshold) or list(spec.feats)
+        feats = select_by_importance(imp, threshold)
+        if not feats:
+            continue
         s2 = spec.with_features(feats)
         m = M.fit_model(train, s2, family)
         b = M.leaderboard([m], s2, test=test)
-        boards = b if boards is None else boards.unionByName(b)
+        boards = boards.unionByName(b)
     return boards.filter(~F.col("model").contains("Ensemble")).orderBy(F.col("score_test").desc())

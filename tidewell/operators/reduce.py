@@ -21,8 +21,9 @@ METHODS = ("first", "last", "proportion")
 def rank_by_centroid_distance(df: DataFrame, spec: Spec, p: float = 2.0) -> DataFrame:
     """Adds distance, rn (1 = nearest; ties by id) and n (class size)."""
     d = distance_to_centroid(df, spec, p, "distance")
+    # the count, the sample, the numbering and the slice totals read the distances: join the centroids once
     return group_rank(d, [spec.label_col], ["distance", spec.id_col], rank_col="rn", count_col="n",
-                      hash_ordered=False)
+                      hash_ordered=False, materialize=True)
 
 
 def reduce_per_class(df: DataFrame, spec: Spec, threshold: float = 0.8, method: str = "first",

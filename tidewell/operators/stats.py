@@ -340,16 +340,16 @@ def with_row_max(df: DataFrame, cols: Sequence[str], out_col: str = "p_max") ->
 # --------------------------------------------------------------------- misc
 
 
-def infer_problem_type(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """E12: 'binary' (2 classes), 'multiclass' (string, or integer with few classes),
-    'regression' (floating label, or many integer values)."""
+def infer_problem_type(df: DataFrame, label_col: str = "label", most_classes: int = 20) -> DataFrame:
+    """E12: 'binary' (2 classes), 'multiclass' (string, or integer with up to ``most_classes``
+    values), 'regression' (floating label, or more integer values)."""
     dtype = df.schema[label_col].dataType
     n = df.agg(F.count_distinct(c(label_col)).alias("n_classes"))
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
         kind = F.when(F.col("n_classes") == 2, "binary").otherwise("regression")
     elif isinstance(dtype, NUMERIC_TYPES):
         kind = (F.when(F.col("n_classes") == 2, "binary")
-                 .when(F.col("n_classes") <= 20, "multiclass").otherwise("regression"))
+                 .when(F.col("n_classes") <= most_classes, "multiclass").otherwise("regression"))
     else:
         kind = F.when(F.col("n_classes") == 2, "binary").otherwise("multiclass")
     return n.withColumn("problem_type", kind)

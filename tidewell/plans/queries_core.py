@@ -303,6 +303,14 @@ def q_distance(spark, sf):
     return rounded(G.distance_to_centroid(X.emb(spark, sf), X.EMB_SPEC, 2.0).select("id", "label", "distance"))
 
 
+@register("distance_manhattan", X.with_ctes(["emb"], "SELECT e.id, e.label, round(" + " + ".join(
+    f"abs(e.e{i} - c.e{i})" for i in range(X.N_EMB)) + ", 6) AS distance FROM emb e JOIN (SELECT label, " + ", ".join(
+    f"avg(e{i}) AS e{i}" for i in range(X.N_EMB)) + " FROM emb GROUP BY label) c ON e.label = c.label"))
+def q_distance_l1(spark, sf):
+    """G15 (p = 1)."""
+    return rounded(G.distance_to_centroid(X.emb(spark, sf), X.EMB_SPEC, 1.0).select("id", "label", "distance"))
+
+
 @register("row_max", X.with_ctes(["emb"], f"SELECT id, round(greatest({', '.join(X.EMB_FEATURES)}), 6) AS p_max FROM emb"))
 def q_row_max(spark, sf):
     """The largest of all components."""
@@ -430,3 +438,42 @@ def q_align(spark, sf):
 def q_select_columns(spark, sf):
     """Key, two chosen features, label."""
     return rounded(U.select_columns(X.li(spark, sf), ["price", "tax"]))
+
+
+@register("select_rows", X.with_ctes(["ephys", "morph"], rsel(["n_orders", "avg_price"], ["id"], "ephys") + " WHERE id IN (SELECT id FROM morph)"))
+def q_select_rows(spark, sf):
+    """P10: the order aggregates of the customers that have line aggregates."""
+    return rounded(U.select_rows(X.ephys(spark, sf), X.morph(spark, sf), ["n_orders", "avg_price"]))
+
+
+def _board(spark, sf):
+    """A leaderboard of given scores: one model per line number and half of the parts."""
+    l = X.read(spark, sf, "lineitem")
+    name = F.concat(F.lit("M"), F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 2 == 0, "_DSTL").otherwise(""))
+    return l.groupBy(name.alias("model")).agg(F.round(F.avg("l_discount"), 4).alias("score_test"), F.round(F.avg("l_tax"), 4).alias("score_val"))
+
+
+_BOARD_SQL = """board AS (
+  SELECT 'M' || CAST(l_linenumber AS VARCHAR) || CASE WHEN l_partkey % 2 = 0 THEN '_DSTL' ELSE '' END AS model,
+         round(avg(l_discount), 4) AS score_test, round(avg(l_tax), 4) AS score_val
+  FROM lineitem GROUP BY ALL)"""
+
+
+@register("name_contains", X.with_ctes([], "WITH " + _BOARD_SQL + " SELECT model, score_test, score_val FROM board WHERE contains(model, 'DSTL')"))
+def q_name_contains(spark, sf):
+    """The models whose name contains a text."""
+    return W.name_contains(_board(spark, sf), "DSTL")
+
+
+@register("rank_models", "WITH " + _BOARD_SQL + """ SELECT model, score_test, score_val FROM board
+ORDER BY score_test DESC, score_val DESC, model LIMIT 3""")
+def q_rank_models(spark, sf):
+    """The three best models by test and validation score (a top-k report)."""
+    return W.rank_models(_board(spark, sf)).limit(3)
+
+
+@register("best_student", "WITH " + _BOARD_SQL + """ SELECT model, score_test, score_val FROM board WHERE contains(model, 'DSTL')
+ORDER BY score_test DESC, score_val DESC, model LIMIT 1""")
+def q_best_student(spark, sf):
+    """The best distilled model."""
+    return W.best_student(_board(spark, sf))
