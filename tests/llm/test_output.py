@@ -27,6 +27,9 @@ def test_encoder_equals_the_tokenizer(spark, tok, odd):
         enc = tokenizing.Encoder(f.read())
     texts = [r.text for r in read_table(spark, SMALL, "documents").collect()] + [r.text for r in odd.collect()]
     texts += ["<|endoftext|> it's 'S 'sandwich ''s don't", "a b c\x1cd\x85e", "é İI ıſ ΑΣ ς σ Ǆ", "x‍😀️ 12³½ ⅷ", "ﬁ ß ẞ", "\x00\x01"]
+    # every character near and in the range of the pattern scan, alone and inside words
+    near = [chr(i) for r in (range(1, 0x260), range(0x2000, 0x2070), range(0x20a0, 0x20c1)) for i in r]
+    texts += [t for c in near for t in (c, f"a{c}b", f"'{c}s I'll {c}{c} x1{c}2")]
     for _ in range(2):  # the second time from the tables
         assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode_many(texts)] == [tok(t) for t in texts]
 

@@ -1,9 +1,11 @@
 """Token ids of whole texts, with word-level reuse.
 
-The vocabulary splits at white space, so a text's ids are the ids of its white-space separated
-chunks in a row, and a chunk's ids those of its letter, digit and symbol runs.  Both are looked
-up in bounded tables of the worker process and encoded only when new; a chunk outside the
-Latin range is encoded by the tokenizer as it is.
+The vocabulary splits at white space and then into letter, digit and symbol runs, and a text's
+ids are those of its runs in a row.  A text of the Latin range and common punctuation is cut
+into runs by one pattern scan and the runs are looked up in a bounded table of the worker
+process; only new runs are encoded, all of a slice in one call.  In other texts white-space
+separated chunks are looked up, and a chunk outside that range is encoded by the tokenizer as
+it is.
 """
 
 from __future__ import annotations
@@ -13,14 +15,29 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
 
-#: fixed value: the split pattern that the vocabulary file itself names
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: the same for lower-case ASCII
-ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-CHUNKS, PIECES = 200_000, 300_000
+#: fixed value: the split pattern that the vocabulary file itself names is
+#: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+#: characters below this bound never combine, so a text of them is in its composed form
+LATIN_END = 0x250
+
+
+def _latin(kind: str) -> str:
+    """The members of a character class (L or N) below the bound and their lower-case forms, some
+    of which lie above it, as a pattern's class body."""
+    own = [c for c in map(chr, range(LATIN_END)) if unicodedata.category(c)[0] == kind]
+    return "".join(sorted({*own, *[c.lower() for c in own if len(c.lower()) == 1]}))
+
+
+#: that pattern for lower-case texts that ``OUTSIDE`` does not meet, for the faster scanner
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[^\\s%s%s]+"
+                         % (_latin("L"), _latin("N"), _latin("L"), _latin("N")), re.ASCII)
+#: neither Latin nor plain punctuation (dashes, quotes, dots, currency signs); also the two other
+#: spaces of that range and the capital whose lower-case form is two characters
+OUTSIDE = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\x85\xa0\u0130]")
+SPACE = re.compile("[ \\t-\\r]+")
+CHUNKS, PIECES = 50_000, 300_000
 
 
 def default_vocabulary() -> str:
@@ -36,7 +53,7 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
@@ -50,44 +67,44 @@ class Encoder:
         raw, cuts = ids.tobytes(), (ends * 4).tolist()
         return {p: raw[a:b] for p, a, b in zip(pieces, [0, *cuts], cuts)}
 
-    def _new_chunks(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        out, split = {}, {}
-        for c in chunks:
-            if c.isalpha():  # of ASCII letters
-                split[c] = [c.decode().lower()]
-                continue
-            s = c.decode("utf-8", "surrogatepass")
-            if s.isascii():
-                split[c] = ASCII_PIECE.findall(s.lower())
-            elif (max(s) < "ɐ" and "İ" not in s and "\x85" not in s and "\xa0" not in s
-                  and unicodedata.is_normalized("NFC", s)):
-                split[c] = PIECE.findall(s.lower())
-            else:
-                out[c] = self._raw(s)
-        known = self.pieces
-        new = list(set().union(*split.values()).difference(known))
-        got = self._new_pieces(new) if new else {}
-        for c, ps in split.items():
-            out[c] = b"".join([got[p] if p in got else known[p] for p in ps])
+    def _runs(self, found: list[list[str]]) -> dict[str, bytes]:
+        """A table with every run of ``found``; the kept table grows up to its bound."""
+        known, distinct = self.pieces, set().union(*found)
+        new = list(distinct.difference(known))
+        if not new:
+            return known
+        got = self._new_pieces(new)
         if len(known) < PIECES:
             known.update(got)
-        return out
+            return known
+        got.update((p, known[p]) for p in distinct.intersection(known))
+        return got
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    def _new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        split = {c: LATIN_PIECE.findall(c.lower()) for c in chunks if not OUTSIDE.search(c)}
+        runs = self._runs(list(split.values()))
+        return {c: b"".join([runs[p] for p in split[c]]) if c in split else self._raw(c) for c in chunks}
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        words = [SPACE.split(t) for t in texts]
         known, distinct = self.chunks, set().union(*words)
         new = distinct.difference(known)
-        if not new:
+        table = self._new_chunks(new) if new else known
+        if new and len(known) < CHUNKS:
+            known.update(table)
             table = known
-        else:
-            table = self._new_chunks(new)
-            if len(known) < CHUNKS:
-                known.update(table)
-                table = known
-            else:
-                table.update((w, known[w]) for w in distinct.difference(new))
+        elif new:
+            table.update((w, known[w]) for w in distinct.difference(new))
         return [b"".join(map(table.__getitem__, ws)) for ws in words]
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and OUTSIDE.search(t)]
+        apart = dict(zip(odd, self._by_chunks([texts[i] for i in odd]))) if odd else {}
+        found = [[] if i in apart else LATIN_PIECE.findall(t.lower()) for i, t in enumerate(texts)]
+        runs = self._runs(found)
+        return [apart[i] if i in apart else b"".join(map(runs.__getitem__, ps)) for i, ps in enumerate(found)]
+
 
 _encoders: dict[int, Encoder] = {}
 
