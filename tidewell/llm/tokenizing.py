@@ -2,16 +2,17 @@
 
 The vocabulary splits at white space and then into letter, digit and symbol runs, and a text's
 ids are those of its runs in a row.  A text of the Latin range and common punctuation is cut
-into runs by one pattern scan and the runs are looked up in a bounded table of the worker
-process; only new runs are encoded, all of a slice in one call.  In other texts white-space
-separated chunks are looked up, and a chunk outside that range is encoded by the tokenizer as
-it is.
+into runs by one pattern scan; runs are numbered in a bounded table of the worker process, only
+new ones are encoded, all of a slice in one call, and the ids of a slice are gathered by number.
+Other texts are cut at white space first, and a chunk outside that range is encoded by the
+tokenizer as it is.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,15 +38,28 @@ LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[^\\s%s%s]+"
 #: spaces of that range and the capital whose lower-case form is two characters
 OUTSIDE = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\x85\xa0\u0130]")
 SPACE = re.compile("[ \\t-\\r]+")
-CHUNKS, PIECES = 50_000, 300_000
+#: a table that holds more runs or characters than this is started again
+RUNS, CHARS = 300_000, 4_000_000
 
 
 def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Runs(dict):
+    """Run → its number; ``new`` lists those without ids yet, in the order of their numbers."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        at = self[run] = len(self)
+        self.new.append(run)
+        return at
+
+
 class Encoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit bytes."""
+    """``encode_many(texts)``: the ids of each as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: bytes):
         self.tok = Tokenizer.from_buffer(vocabulary)
@@ -53,57 +67,65 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.runs, self.chars = _Runs(), 0
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)  # of all runs, by number
 
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def _raw(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all runs in a row, and how many each has."""
+        ids = self._raw(" ".join(runs))
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(pieces) or (len(ends) and ends[-1] != len(ids)):
-            return {p: self._raw(p) for p in pieces}
-        raw, cuts = ids.tobytes(), (ends * 4).tolist()
-        return {p: raw[a:b] for p, a, b in zip(pieces, [0, *cuts], cuts)}
-
-    def _runs(self, found: list[list[str]]) -> dict[str, bytes]:
-        """A table with every run of ``found``; the kept table grows up to its bound."""
-        known, distinct = self.pieces, set().union(*found)
-        new = list(distinct.difference(known))
-        if not new:
-            return known
-        got = self._new_pieces(new)
-        if len(known) < PIECES:
-            known.update(got)
-            return known
-        got.update((p, known[p]) for p in distinct.intersection(known))
-        return got
-
-    def _new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        split = {c: LATIN_PIECE.findall(c.lower()) for c in chunks if not OUTSIDE.search(c)}
-        runs = self._runs(list(split.values()))
-        return {c: b"".join([runs[p] for p in split[c]]) if c in split else self._raw(c) for c in chunks}
-
-    def _by_chunks(self, texts: list[str]) -> list[bytes]:
-        words = [SPACE.split(t) for t in texts]
-        known, distinct = self.chunks, set().union(*words)
-        new = distinct.difference(known)
-        table = self._new_chunks(new) if new else known
-        if new and len(known) < CHUNKS:
-            known.update(table)
-            table = known
-        elif new:
-            table.update((w, known[w]) for w in distinct.difference(new))
-        return [b"".join(map(table.__getitem__, ws)) for ws in words]
+        if len(ends) == len(runs) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        each = [self._raw(r) for r in runs]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self) -> None:
+        """Ids for the new runs.  A chunk that is encoded as it is starts with a space here."""
+        new, self.runs.new = self.runs.new, []
+        plain = np.array([r[0] != " " for r in new])
+        parts, sizes = [], np.zeros(len(new), np.int64)
+        if plain.all():
+            ids, sizes = self._encode_runs(new)
+            parts = [ids]
+        else:
+            for i, r in enumerate(new):
+                parts.append(self._raw(r[1:] if r[0] == " " else r))
+                sizes[i] = len(parts[-1])
+        self.chars += sum(map(len, new))
+        self.ids = np.concatenate([self.ids, *parts])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii() or not OUTSIDE.search(text):
+            return LATIN_PIECE.findall(text.lower())
+        out = []
+        for chunk in SPACE.split(text):
+            if OUTSIDE.search(chunk):
+                out.append(" " + chunk)
+            else:
+                out += LATIN_PIECE.findall(chunk.lower())
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and OUTSIDE.search(t)]
-        apart = dict(zip(odd, self._by_chunks([texts[i] for i in odd]))) if odd else {}
-        found = [[] if i in apart else LATIN_PIECE.findall(t.lower()) for i, t in enumerate(texts)]
-        runs = self._runs(found)
-        return [apart[i] if i in apart else b"".join(map(runs.__getitem__, ps)) for i, ps in enumerate(found)]
+        if len(self.runs) > RUNS or self.chars > CHARS:
+            self._clear()
+        found = [self._cut(t or "") for t in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        code = np.fromiter(map(self.runs.__getitem__, chain.from_iterable(found)), np.int64, ends[-1])
+        if self.runs.new:
+            self._learn()
+        first = self.ends[code]
+        size = self.ends[code + 1] - first
+        before = np.concatenate([[0], np.cumsum(size)])  # ids of this slice before each run
+        at = np.arange(before[-1]) + np.repeat(first - before[:-1], size)
+        raw, cuts = self.ids[at].tobytes(), (4 * before[ends]).tolist()
+        return [raw[a:z] for a, z in zip(cuts, cuts[1:])]
 
 
 _encoders: dict[int, Encoder] = {}
