@@ -84,12 +84,36 @@ def test_lexicon_counts_all_labelled_rows(spark):
 def test_lexicon_of_a_fold_leaves_it_out(spark):
     rows = [("nasty" if i % 2 else "calm", i % 2, i // 2 % toxicity.FOLDS) for i in range(40)] + [("vile", 1, 2)] * 9
     rows = spark.createDataFrame(rows, "text string, label int, fold int")
-    counts = {r.entry: r for r in toxicity.entry_counts(rows).collect()}
+    counts = {r.entry: r for r in toxicity.candidate_counts(rows).collect()}
     assert (counts[""].t, counts[""].c, counts["vile"].t, counts["vile"].t2, counts["nasty"].t, counts["nasty"].t1) == (29, 20, 9, 9, 20, 4)
     whole, others = toxicity.learn_lexicons(rows)
     assert "vile" in whole and ["vile" in x for x in others] == [True, True, False, True, True]
 
 
+def test_entries_of_shared_slots(spark):
+    """Counts do not depend on the number of slots: entries that share one drop out in the join."""
+    rows = [(f"bad{i % 3} word{i % 7} calm", i % 2, i % toxicity.FOLDS) for i in range(90)]
+    rows = spark.createDataFrame(rows, "text string, label int, fold int")
+    plain = {}
+    for r in rows.collect():
+        for e in {e for w in r.text.split() for e in toxicity._entries(w)} | {""}:
+            at = plain.setdefault(e, [[0] * toxicity.FOLDS, [0] * toxicity.FOLDS])
+            at[1 - r.label][r.fold] += 1
+    want = {e: (sum(t), sum(c), *[x for p in zip(t, c) for x in p]) for e, (t, c) in plain.items()
+            if sum(t) >= toxicity.LEAST_TEXTS}
+    for n in (1 << 22, 3):
+        assert {r[0]: tuple(r)[1:] for r in toxicity.candidate_counts(rows, n).collect()} == want
+
+
+def test_marks_for_letters_at_the_ends_and_capitals():
+    words = toxicity._Words({"stupid": 3.0, "idiot": 2.0, "ass": 5.0})
+    texts = ["$tupid", "!diot", "a$$", "stup1d", "idiot!", "calm!", "yOu IdIoT"]
+    x = [dict(zip(toxicity.NAMES, r)) for r in words.rows(texts)]
+    assert [r["top_weight"] for r in x] == [3.0, 2.0, 5.0, 3.0, 2.0, 0.0, 2.0]
+    assert [r["obfuscated"] for r in x] == [1, 1, 1, 1, 0, 0, 0]
+    assert x[-1]["capitals"] == 4 / 9 and x[-1]["capital_words"] == 0
+
+
 def test_obfuscated_words_and_distance():
     words = toxicity._Words({"wretch": 5.0})
     x = dict(zip(toxicity.NAMES, words.rows(["you are a wr3tch, WRETCH w.r.e.t.c.h", ""])[0]))

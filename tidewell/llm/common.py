@@ -62,12 +62,12 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost
     executors cost nothing, and later readers prune columns.  Deleted when Python ends."""
     spark = df.sparkSession
     path = scratch_folder(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ Features come from one Arrow pass over whole texts; trees and calibration are Sp
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +32,8 @@ LEXICON = 20_000
 FOLDS = 5
 #: entries that a task counts before it hands them on
 ENTRIES = 400_000
+#: slots of the table that tells which entries may be candidates (fixed size, one byte each)
+SLOTS = 1 << 22
 #: lengths of word beginnings that may be lexicon entries
 STEMS = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 4
@@ -44,6 +47,8 @@ SECOND_PERSON = frozenset(
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 NEAR = 5
 EDGES = ".,;:!?\"'()[]{}<>|%*$&#-_…«»“”„"
+#: the same without marks that look like a letter
+OUTER = EDGES.translate(dict.fromkeys(LOOKALIKE))
 
 NAMES = ["weight_per_word", "hits_per_word", "strong_per_word", "log_hits", "log_strong", "top_weight",
          "second_person", "hits_near_person", "log_near_person", "capitals", "capital_words",
@@ -60,59 +65,84 @@ def _entries(core: str) -> list[str]:
 
 
 class _Entries(dict):
-    """Word → numbers of its entries, in ``ids``; number 0 (the empty entry) is in every text."""
+    """Word → numbers of its entries, in ``ids``; number 0 (the empty entry) is in every text.
+    With ``slots``, only entries whose slot is set."""
 
-    def __init__(self):
-        self.ids = {"": 0}
+    def __init__(self, slots: np.ndarray | None = None):
+        self.ids, self.slots = {"": 0}, slots
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.ids
-        out = self[word] = tuple([ids.setdefault(e, len(ids)) for e in _entries(_core(word))])
+        ids, found = self.ids, _entries(_core(word))
+        if self.slots is not None:
+            found = [e for e in found if self.slots[zlib.crc32(e.encode("utf-8", "surrogatepass")) % len(self.slots)]]
+        out = self[word] = tuple([ids.setdefault(e, len(ids)) for e in found])
         return out
 
 
-def entry_counts(rows: DataFrame) -> DataFrame:
-    """(entry, t, c, t0, c0, ...): how many toxic and other texts of (text, label, fold) hold an
-    entry, and how many of them are in each fold; the empty entry counts all texts.  Tasks
-    combine before they shuffle, in tables of about ``ENTRIES`` entries."""
+def entry_counts(rows: DataFrame, slots: np.ndarray | None = None) -> DataFrame:
+    """(entry, n, n0, n1, ...): how many texts of (text, fold) hold an entry, and how many of
+    them are in each fold; the empty entry counts all texts.  With ``slots``, entries of other
+    slots are left out.  Tasks combine before they shuffle, in tables of about ``ENTRIES``."""
+    sent = rows.sparkSession.sparkContext.broadcast(slots)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Entries(), np.zeros(0, np.int64)
+        words, total = _Entries(sent.value), np.zeros(0, np.int64)
 
         def flush():
-            cells = total[:len(words.ids) * FOLDS * 2].reshape(-1, 2)
+            cells = total[:len(words.ids) * FOLDS].reshape(-1, FOLDS)
             at = np.flatnonzero(cells.any(axis=1))
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(words.ids), pa.string()).take(pa.array(at // FOLDS)), pa.array((at % FOLDS).astype(np.int32)),
-                 pa.array(cells[at, 0]), pa.array(cells[at, 1])], names=["entry", "fold", "t", "c"])
+                [pa.array(list(words.ids), pa.string()).take(pa.array(at)), *[pa.array(cells[at, k]) for k in range(FOLDS)]],
+                names=["entry", *[f"n{k}" for k in range(FOLDS)]])
 
         for batch in batches:
-            texts, labels, folds = [batch.column(i).to_pylist() for i in range(3)]
+            texts, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, z in slices(texts, 1 << 19):
                 found = []
-                for t, y, k in zip(texts[a:z], labels[a:z], folds[a:z]):
+                for t, k in zip(texts[a:z], folds[a:z]):
                     ids = {0}.union(*map(words.__getitem__, set(t.split())))
-                    found.append(np.fromiter(ids, np.int64, len(ids)) * (FOLDS * 2) + (k * 2 + 1 - y))
+                    found.append(np.fromiter(ids, np.int64, len(ids)) * FOLDS + k)
                 at, n = np.unique(np.concatenate(found), return_counts=True)
-                if len(words.ids) * FOLDS * 2 > len(total):
-                    total = np.r_[total, np.zeros(len(words.ids) * FOLDS * 4 - len(total), np.int64)]
+                if len(words.ids) * FOLDS > len(total):
+                    total = np.r_[total, np.zeros(len(words.ids) * FOLDS * 2 - len(total), np.int64)]
                 total[at] += n
-                if len(words.ids) > ENTRIES:
+                if len(words.ids) > ENTRIES or len(words) > ENTRIES:
                     yield flush()
-                    words, total = _Entries(), np.zeros(0, np.int64)
+                    words, total = _Entries(sent.value), np.zeros(0, np.int64)
         if total.any():
             yield flush()
 
-    sums = [F.sum(F.when(F.col("fold") == k, F.col(x)).otherwise(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in "tc"]
-    return (rows.select("text", F.col("label").cast("int"), F.col("fold").cast("int"))
-            .mapInArrow(run, "entry string, fold int, t long, c long")
-            .groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), *sums))
+    folds = [f"n{k}" for k in range(FOLDS)]
+    return (rows.select("text", F.col("fold").cast("int"))
+            .mapInArrow(run, "entry string, " + ", ".join(f"{x} long" for x in folds))
+            .groupBy("entry").agg(F.sum(reduce(lambda a, b: a + b, map(F.col, folds))).alias("n"),
+                                  *[F.sum(x).alias(x) for x in folds]))
+
+
+def candidate_counts(rows: DataFrame, n_slots: int = SLOTS) -> DataFrame:
+    """(entry, t, c, t0, c0, ...): toxic and other texts of (text, label, fold) that hold an entry,
+    for the entries of at least ``LEAST_TEXTS`` toxic texts and the empty one.  Toxic texts are
+    counted first; other texts hand on only entries whose slot (of a fixed number) a candidate
+    has, so that the few that share one by chance go in the join and the rest never travel."""
+    spark = rows.sparkSession
+    toxic = entry_counts(rows.where("label = 1")).where((F.col("n") >= LEAST_TEXTS) | (F.col("entry") == ""))
+    toxic = materialise(toxic.select("entry", F.col("n").alias("t"), *[F.col(f"n{k}").alias(f"t{k}") for k in range(FOLDS)]),
+                        "toxic-candidates")
+    slots = np.zeros(n_slots, bool)
+    used = toxic.select((F.crc32(F.col("entry").cast("binary")) % n_slots).alias("s")).distinct()
+    slots[np.array([r["s"] for r in used.toLocalIterator()], np.int64)] = True
+    other = entry_counts(rows.where("label = 0"), slots).withColumnsRenamed(
+        {"n": "c", **{f"n{k}": f"c{k}" for k in range(FOLDS)}})
+    counts = [x + k for k in ["", *map(str, range(FOLDS))] for x in "tc"]
+    return (toxic.join(other.withColumnRenamed("entry", "e"), F.col("entry") == F.col("e"), "left")
+            .select("entry", *[F.coalesce(x, F.lit(0)).alias(x) for x in counts]))
 
 
 def learn_lexicons(rows: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
     """{entry: log-odds} from all (text, label, fold) rows, and for each fold the same from the
     rows outside it.  Only the strongest ``LEXICON`` entries that pass both limits reach the
     driver."""
-    counts = materialise(entry_counts(rows).where((F.col("t") >= LEAST_TEXTS) | (F.col("entry") == "")), "toxic-entries")
+    counts = materialise(candidate_counts(rows), "toxic-entries")
     every = counts.where("entry = ''").first()
     if every is None:
         return {}, [{}] * FOLDS
@@ -140,7 +170,7 @@ class _Words(dict):
 
     def _clear(self) -> None:
         self.clear()
-        self.weight, self.strong, self.person, self.masked, self.capital = [], [], [], [], []
+        self.weight, self.strong, self.person, self.masked, self.capital, self.upper = [], [], [], [], [], []
 
     def best(self, core: str) -> float:
         return max((self.lexicon.get(e, 0.0) for e in _entries(core)), default=0.0)
@@ -152,6 +182,10 @@ class _Words(dict):
         masked = len(core) >= 3 and squeezed != core and any(c.isalpha() for c in core)
         weight = self.best(core)
         hidden = max(self.best(squeezed), self.best(plain)) if masked else 0.0
+        # marks at the ends may stand for letters too ($tupid): the whole word must then be an entry
+        plain = word.lower().strip(OUTER).translate(LOOKALIKE)
+        if plain != core and self.lexicon.get(plain, 0.0) > max(weight, hidden):
+            masked, hidden = True, self.lexicon[plain]
         best = max(weight, hidden)
         at = self[word] = len(self.weight)
         self.weight.append(best)
@@ -159,6 +193,7 @@ class _Words(dict):
         self.person.append(core in SECOND_PERSON)
         self.masked.append(2.0 * (hidden > weight) + masked)
         self.capital.append(len(core) > 1 and word.isupper())
+        self.upper.append(sum(map(str.isupper, word)))
         return at
 
     def rows(self, texts: list[str]) -> np.ndarray:
@@ -166,13 +201,13 @@ class _Words(dict):
             self._clear()
         split = [t.split() for t in texts]
         codes = [np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in split]
-        table = np.array([self.weight, self.strong, self.person, self.masked, self.capital], float)
+        table = np.array([self.weight, self.strong, self.person, self.masked, self.capital, self.upper], float)
         return np.array([self._features(t, c, table) for t, c in zip(texts, codes)]).reshape(len(texts), len(NAMES))
 
     @staticmethod
     def _features(text: str, code: np.ndarray, table: np.ndarray) -> list[float]:
         n, chars = max(1, len(code)), max(1, len(text))
-        weight, strong, person, masked, capital = table[:, code] if len(code) else np.zeros((5, 0))
+        weight, strong, person, masked, capital, upper = table[:, code] if len(code) else np.zeros((6, 0))
         hit = weight > 0
         near = 0
         if person.any() and hit.any():
@@ -182,11 +217,10 @@ class _Words(dict):
             gap = np.minimum(np.abs(where - at[np.minimum(right, len(at) - 1)]), np.abs(where - at[np.maximum(right - 1, 0)]))
             near = int((gap <= NEAR).sum())
         hits = int(hit.sum())
-        upper = sum(map(str.isupper, text)) if capital.any() else 0
         marks = text.count("!") + text.count("?")
         marked = sum(text.count(c) for c in ".,;:'\"-|%*$&#@()")
         return [weight.sum() / n, hits / n, strong.sum() / n, np.log1p(hits), np.log1p(strong.sum()),
-                weight.max() if len(weight) else 0.0, person.sum() / n, near / n, np.log1p(near), upper / chars,
+                weight.max() if len(weight) else 0.0, person.sum() / n, near / n, np.log1p(near), upper.sum() / chars,
                 capital.sum() / n, marks / chars, marked / chars, (masked > 0).sum() / n,
                 np.log1p((masked > 1).sum()), np.log1p(len(code))]
 
@@ -250,21 +284,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     own = (labels.where(F.col(label).isNotNull() & (crc32_mod(id_col, 5) != 0))
            .groupBy(F.col(id_col).alias("__tw_l")).agg(F.max(label).cast("int").alias("label")))
     share = min(1.0, fit_rows / max(1, own.count()))
-    sample = own.where(F.pmod(F.xxhash64("__tw_l", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = (docs.where(crc32_mod(f"`{id_col}`", 5) != 0)
               .select(F.col(f"`{id_col}`").alias("__tw_id"), text_of(f"`{text_col}`").alias("text")))
     part = F.pmod(F.xxhash64("__tw_id", F.lit("part")), F.lit(10))
-
-    def labelled(chosen: DataFrame) -> DataFrame:
-        return (picked.join(chosen, F.col("__tw_id") == F.col("__tw_l"))
-                .select("text", "label", part.alias("part"), (part % FOLDS).alias("fold")))
-
-    rows = materialise(labelled(sample), "toxic-fit")
+    in_fit = F.pmod(F.xxhash64("__tw_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))
+    # labels grow with the documents, so the join shuffles at every size; texts move once
+    every = materialise(picked.join(own.hint("merge"), F.col("__tw_id") == F.col("__tw_l"))
+                        .select("text", "label", part.alias("part"), (part % FOLDS).alias("fold"), in_fit.alias("fit")),
+                        "toxic-labelled", compression="zstd")
+    rows = every.where("fit")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2 or sum(n.values()) < 20:
         rate = (n.get(1, 0) + 1.0) / (sum(n.values()) + 2.0)
         return ToxicityModel({}, None, (0.0,), (rate,))
-    lexicon, others = learn_lexicons(labelled(own))
+    lexicon, others = learn_lexicons(every)
     made = materialise(reduce(DataFrame.unionByName, [
         features(rows.where(F.col("fold") == k), words, "text", ("label", "part")) for k, words in enumerate(others)]), "toxic-features")
     fit = made.where("part < 6").withColumn("features", array_to_vector("x"))
