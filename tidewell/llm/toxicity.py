@@ -177,15 +177,17 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         core = _core(word)
-        plain = core.translate(LOOKALIKE)
-        squeezed = "".join(c for c in plain if c.isalpha())
-        masked = len(core) >= 3 and squeezed != core and any(c.isalpha() for c in core)
-        weight = self.best(core)
-        hidden = max(self.best(squeezed), self.best(plain)) if masked else 0.0
-        # marks at the ends may stand for letters too ($tupid): the whole word must then be an entry
-        plain = word.lower().strip(OUTER).translate(LOOKALIKE)
-        if plain != core and self.lexicon.get(plain, 0.0) > max(weight, hidden):
-            masked, hidden = True, self.lexicon[plain]
+        weight, hidden, masked = self.best(core), 0.0, False
+        if not core.isalpha():  # letters only hide nothing
+            plain = core.translate(LOOKALIKE)
+            squeezed = "".join(c for c in plain if c.isalpha())
+            masked = len(core) >= 3 and squeezed != core and any(c.isalpha() for c in core)
+            hidden = max(self.best(squeezed), self.best(plain)) if masked else 0.0
+        if word[0] in "$!" or word[-1] in "$!":
+            # marks at the ends may stand for letters too ($tupid): the whole word must then be an entry
+            plain = word.lower().strip(OUTER).translate(LOOKALIKE)
+            if plain != core and self.lexicon.get(plain, 0.0) > max(weight, hidden):
+                masked, hidden = True, self.lexicon[plain]
         best = max(weight, hidden)
         at = self[word] = len(self.weight)
         self.weight.append(best)
@@ -193,7 +195,7 @@ class _Words(dict):
         self.person.append(core in SECOND_PERSON)
         self.masked.append(2.0 * (hidden > weight) + masked)
         self.capital.append(len(core) > 1 and word.isupper())
-        self.upper.append(sum(map(str.isupper, word)))
+        self.upper.append(0 if word.islower() else sum(map(str.isupper, word)))
         return at
 
     def rows(self, texts: list[str]) -> np.ndarray:
