@@ -151,6 +151,30 @@ def test_language_model_base_and_normalisation(spark, odd, none):
     assert all(u.train_tokens == 0 and u.base_score == 0 and u.n_known == 0 for u in unlearnt)
 
 
+def test_language_model_score_against_plain_python(spark):
+    docs = read_table(spark, MEDIUM, "documents").limit(60).select("doc_id", "text")
+    learn, text = docs.where("doc_id % 3 <> 0"), F.coalesce("text", F.lit(""))
+    model = lm.fit(learn, lm.word_counts(learn, text), text)
+    p, head = model.parameters, {w: i for i, w in enumerate(model.head)}
+    counts = Counter(w for r in learn.collect() for w in brute_words(r.text))
+    rest = [w for w in counts if w not in head]
+    ending = {k: [w for w in rest if (w[-1] % lm.ENDINGS if w else 0) == k] for k in range(lm.ENDINGS)}
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, F.col("doc_id") % 3 != 0).collect()}
+    for r in docs.limit(8).collect():
+        want, past = 0.0, [len(head) + lm.ENDINGS] * lm.CONTEXT
+        for w in brute_words(r.text):
+            k = w[-1] % lm.ENDINGS if w else 0
+            cls = head.get(w, len(head) + k)
+            v = sum(p.q[h].astype(float) * p.c[i] for i, h in enumerate(past))
+            s = p.r.astype(float) @ v + p.b
+            want += (s[cls] - math.log(np.exp(s).sum())) / math.log(10)
+            if w not in head:
+                inside = sum(counts[x] for x in ending[k]) + len(ending[k]) + 1
+                want += math.log10((counts[w] + 1) / inside)
+            past = [cls, *past[:-1]]
+        assert got[r.doc_id] == pytest.approx(want, rel=1e-4)
+
+
 def test_log_probabilities_sum_to_one_and_nce_learns():
     rng = np.random.default_rng(0)
     n = 40

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,16 +130,26 @@ def examples(streams: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndar
     return flat[at], np.stack([flat[at - i - 1] for i in range(CONTEXT)], axis=1)
 
 
-def _add_rows(to: np.ndarray, scale: np.ndarray, ids: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """Adagrad step with one accumulator per row; rows that occur more than once are summed first."""
+def _add_rows(ids: np.ndarray, rate: float, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Adagrad step with one accumulator per row; rows that occur more than once are summed first.
+    Each part is (parameters, accumulators, gradients by ``ids``)."""
     order = np.argsort(ids.astype(np.int16), kind="stable")  # radix sort: classes are few
     ids = ids[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    total = np.add.reduceat(grad[order], first, axis=0)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     rows = ids[first]
-    scale[rows] += (total * total).mean(axis=-1) if total.ndim > 1 else total * total
-    step = rate / np.sqrt(scale[rows])
-    to[rows] += (step[:, None] if total.ndim > 1 else step) * total
+    for to, scale, grad in parts:
+        total = np.add.reduceat(grad[order], first, axis=0)
+        wide = total.ndim > 1
+        scale[rows] += np.einsum("ij,ij->i", total, total) / total.shape[1] if wide else total * total
+        step = rate / np.sqrt(scale[rows])
+        to[rows] += (step[:, None] if wide else step) * total
+
+
+def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(x, out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
 
 
 def nce_pass(p: Parameters, targets: np.ndarray, contexts: np.ndarray, share: np.ndarray,
@@ -152,18 +163,22 @@ def nce_pass(p: Parameters, targets: np.ndarray, contexts: np.ndarray, share: np
         part = order[at:at + BATCH]
         w, h, noise = targets[part], contexts[part], noise_all[i]
         near = p.q[h]  # batch x CONTEXT x DIM
-        v = np.einsum("bcd,cd->bd", near, p.c)
-        true = 1.0 - 1.0 / (1.0 + np.exp(-(np.einsum("bd,bd->b", v, p.r[w]) + p.b[w] - logs[w])))
-        false = 1.0 / (1.0 + np.exp(-(v @ p.r[noise].T + p.b[noise] - logs[noise])))
-        dv = true[:, None] * p.r[w] - false @ p.r[noise]
+        v = near[:, 0] * p.c[0]
+        for k in range(1, CONTEXT):
+            v += near[:, k] * p.c[k]
+        own, drawn, off = p.r[w], p.r[noise], p.b - logs
+        true = _sigmoid_of_minus(np.einsum("bd,bd->b", v, own) + off[w])
+        false = v @ drawn.T
+        false += off[noise]
+        false = _sigmoid_of_minus(np.negative(false, out=false))
+        dv = true[:, None] * own
+        dv -= false @ drawn
         dr = np.concatenate([true[:, None] * v, -(false.T @ v)])
         db = np.concatenate([true, -false.sum(axis=0)])
-        both = np.concatenate([w, noise])
         dq = dv[:, None, :] * p.c
         dc = np.einsum("bcd,bd->cd", near, dv)
-        _add_rows(p.r, scales[1], both, dr, rate)
-        _add_rows(p.b, scales[2], both, db, rate)
-        _add_rows(p.q, scales[0], h.reshape(-1), dq.reshape(-1, DIM), rate)
+        _add_rows(np.concatenate([w, noise]), rate, (p.r, scales[1], dr), (p.b, scales[2], db))
+        _add_rows(h.reshape(-1), rate, (p.q, scales[0], dq.reshape(-1, DIM)))
         scales[3] += (dc * dc).mean(axis=1)
         p.c += (rate / np.sqrt(scales[3]))[:, None] * dc
 
@@ -187,13 +202,16 @@ def log_probabilities(p: Parameters, targets: np.ndarray, contexts: np.ndarray)
     table = np.ascontiguousarray(np.c_[p.r, p.b].T)
     # no score is beyond this bound, so below 80 sums of exponentials stay in single precision
     safe = np.sqrt((wide * wide).sum(axis=1).max(initial=0)) * np.sqrt((table * table).sum(axis=0).max()) < 80
-    for at in range(0, len(v), 2048):
-        s = wide[at:at + 2048] @ table
+    ones = np.ones(table.shape[1], np.float32)
+    block = np.empty((512, len(ones)), np.float32)  # stays in the processor's cache
+    for at in range(0, len(v), len(block)):
+        rows = wide[at:at + len(block)]
+        s = np.matmul(rows, table, out=block[:len(rows)])
         if safe:
-            norm[at:at + 2048] = np.log(np.exp(s, out=s).sum(axis=1))
+            norm[at:at + len(block)] = np.log(np.exp(s, out=s) @ ones)
         else:
             top = s.max(axis=1)
-            norm[at:at + 2048] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+            norm[at:at + len(block)] = np.log(np.exp(s - top[:, None]) @ ones) + top
     return (np.einsum("ij,ij->i", v[back], p.r[targets]) + p.b[targets] - norm[back]).astype(np.float64)
 
 
@@ -217,18 +235,19 @@ def _train(docs: DataFrame, text: Column, head: list[bytes], known: list[bytes],
     sized = docs.select(text.alias("t")).withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 20)))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     part = min(1 << 20, int((1 << 20) * min(1.0, WARM_TOKENS * 6.0 / max(1, chars))) + 1)
+    # whole texts in hash order; a text above the bound alone (tokens <= code points) is left to the pass
+    sample = sized.where((F.col("h") < part) & (F.length("t") <= WARM_TOKENS)).orderBy("h", "t").select("t")
     streams, held = [], 0
-    for row in sized.where(F.col("h") < part).select("t").toLocalIterator():
+    for row in sample.toLocalIterator():
         s = np.fromiter(map(classes.__getitem__, words_of(row["t"])), np.int64)
-        streams.append(s[:WARM_TOKENS])
-        held += len(streams[-1])
-        if held > WARM_TOKENS:
+        if held + len(s) > WARM_TOKENS:
             break
-    if not streams:
-        return p
-    targets, contexts = examples(streams, n)
-    for _ in range(WARM_PASSES):
-        nce_pass(p, targets, contexts, share, rng, 0.3, scales)
+        streams.append(s)
+        held += len(s)
+    if streams:
+        targets, contexts = examples(streams, n)
+        for _ in range(WARM_PASSES):
+            nce_pass(p, targets, contexts, share, rng, 0.3, scales)
     sent = docs.sparkSession.sparkContext.broadcast((head, known, p, scales, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,33 +326,28 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
             rid = batch.column(2).to_pylist()
             for a, z in slices(texts, 1 << 22):  # longer slices share more contexts
                 split = [words_of(t) for t in texts[a:z]]
-                codes = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split]
-                streams = [np.where(k >= 0, class_of[np.maximum(k, -1)], n_head - 1 - k) for k in codes]
-                targets, contexts = examples(streams, n_head + ENDINGS)
+                n_tok = np.fromiter(map(len, split), np.int64, len(split))  # at least the end
+                start = np.cumsum(n_tok) - n_tok
+                nums = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(n_tok.sum()))
+                cls = np.where(nums >= 0, class_of[np.maximum(nums, -1)], n_head - 1 - nums)
+                targets, contexts = examples(np.split(cls, start[1:]), n_head + ENDINGS)
                 logp = log_probabilities(m.parameters, targets, contexts) / np.log(10.0)
-                at, word, tf, n_tok, n_known, base, score = [], [], [], [], [], [], []
-                done = 0
-                for i, (ws, cls, nums) in enumerate(zip(split, streams, codes)):
-                    n = len(ws)
-                    rare = cls >= n_head
-                    x = value[np.maximum(nums, -1)]  # unknown: the zero at the end
-                    at.append(a + i)
-                    word.append(b" %d" % rid[a + i])  # no word has a space: a row of its own key
-                    tf.append(0)
-                    n_tok.append(n)
-                    n_known.append(int((nums >= 0).sum()))
-                    base.append(float(x.sum() - n * whole))
-                    score.append(float(logp[done:done + n].sum() + x[rare].sum() - size[cls[rare] - n_head].sum()))
-                    done += n
-                    tail = Counter([ws[k] for k in np.flatnonzero(nums < 0).tolist()])
+                x = value[np.maximum(nums, -1)]  # unknown: the zero at the end
+                logp += np.where(cls >= n_head, x - size[np.maximum(cls - n_head, 0)], 0.0)
+                new = nums < 0
+                # unknown words become rows of their own, with their count in the text
+                at, word, tf = list(range(a, z)), [b" %d" % r for r in rid[a:z]], [0] * len(split)  # no word has a space
+                for i in np.flatnonzero(np.add.reduceat(new, start, dtype=np.int64)).tolist():
+                    ws, n0 = split[i], start[i]
+                    tail = Counter([ws[k] for k in np.flatnonzero(new[n0:n0 + n_tok[i]]).tolist()])
                     at += [a + i] * len(tail)
                     word += tail.keys()
                     tf += tail.values()
-                    zeros = [0] * len(tail)
-                    n_tok += zeros
-                    n_known += zeros
-                    base += zeros
-                    score += zeros
+                zeros = np.zeros(len(at) - len(split), np.int64)
+                n_known = np.r_[n_tok - np.add.reduceat(new, start, dtype=np.int64), zeros]
+                base = np.r_[np.add.reduceat(x, start) - n_tok * whole, zeros]
+                score = np.r_[np.add.reduceat(logp, start), zeros]
+                n_tok = np.r_[n_tok, zeros]
                 pick = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pick), batch.column(2).take(pick), pa.array(word, pa.binary()), pa.array(tf, pa.int64()),
