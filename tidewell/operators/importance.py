@@ -1,9 +1,10 @@
 """Permutation feature importance (E9, E10) and importance-driven selection.
 
-For every feature f and shuffle s, each evaluation row takes the value of f from
-the row whose dense number is (own number + shift(f, s)) mod n, with the shift a
-digest in [1, n-1] — a permutation without a driver-side shuffle.  The rows of
-all (feature, shuffle) pairs are scored in one ``transform``; accuracy per pair
+For every shuffle s, each evaluation row meets the row whose dense number is
+(own number + shift(s)) mod n, with the shift a digest in [1, n-1] — a permutation
+without a driver-side shuffle.  That self-join moves each row once a shuffle; feature f
+then takes the partner's value in the scoring task, so rows of single features never
+travel.  The rows of all (feature, shuffle) pairs are scored in one ``transform``; accuracy per pair
 is one grouped aggregate.  Statistics over the shuffles: mean drop, sample
 standard deviation, one-sided t-test p-value and the 99 % t interval.
 """
@@ -104,17 +105,14 @@ def permuted_scores(m: M.Trained, df: DataFrame, spec: Spec, features: list[str]
                      c(spec.label_col).alias("__y")).withColumn("__h", hash_text(spec.id_col, seed, "perm"))
     numbered = group_rank(base, [], ["__h", spec.id_col], rank_col="__rn", count_col="__n", hash_ordered=True) \
         .withColumn("__rn", F.col("__rn") - 1)
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("shuffle"))
-                      for f in feats for s in range(shuffles)])
-    ex = numbered.withColumn("__fs", F.explode(pairs)).select("*", "__fs.feature", "__fs.shuffle").drop("__fs")
-    shift = 1 + F.floor(hash_uniform(F.concat_ws("|", F.col("feature"), F.col("shuffle").cast("string")), seed, "shift")
-                        * (F.col("__n") - 1))
+    shift = 1 + F.floor(hash_uniform(F.col("shuffle").cast("string"), seed, "shift") * (F.col("__n") - 1))
+    ex = numbered.withColumn("shuffle", F.explode(F.array(*[F.lit(s) for s in range(shuffles)])))
     ex = ex.withColumn("__src", F.pmod(F.col("__rn") + shift.cast("bigint"), F.col("__n")))
-    donor = numbered.select(F.col("__rn").alias("__src"),
-                            F.create_map(*[x for f in feats for x in (F.lit(f), c(f).cast("double"))]).alias("__vals"))
-    j = ex.join(donor, "__src")
-    swapped = j.withColumns({f: F.when(F.col("feature") == F.lit(f), F.col("__vals")[F.lit(f)]).otherwise(c(f))
-                             for f in feats})
+    donor = numbered.select(F.col("__rn").alias("__src"), F.struct(*[c(f).alias(f"v{i}") for i, f in enumerate(feats)])
+                            .alias("__vals"))
+    j = ex.join(donor, "__src").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feats])))
+    swapped = j.withColumns({f: F.when(F.col("feature") == F.lit(f), F.col("__vals")[f"v{i}"]).otherwise(c(f))
+                             for i, f in enumerate(feats)})
     swapped = swapped.withColumn(spec.id_col, F.concat_ws("|", c(spec.id_col), F.col("feature"),
                                                           F.col("shuffle").cast("string")))
     # scored on the permuted rows themselves: the label travels with them, no join back

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,11 @@ def _class_needs(df: DataFrame, label_col: str) -> DataFrame:
                                     (F.max("__n").over(Window.partitionBy()) - F.col("__n")).alias("__need")))
 
 
-def _deal(seeds: DataFrame, spec: Spec, seed: int, salt: str) -> DataFrame:
-    """Rank seed rows per class in hash order and attach their copy count (``__cnt``).
-    ``seeds`` carries ``__need`` (rows to make for its class)."""
+def _deal(seeds: DataFrame, spec: Spec, seed: int, salt: str, within: Sequence[str] = ()) -> DataFrame:
+    """Rank seed rows per class (and ``within``) in hash order and attach their copy count
+    (``__cnt``).  ``seeds`` carries ``__need`` (rows to make for its class)."""
     keyed = seeds.withColumn("__h", hash_text(spec.id_col, seed, salt))
-    ranked = group_rank(keyed, [spec.label_col], ["__h", spec.id_col], rank_col="__rn", count_col="__ns",
+    ranked = group_rank(keyed, [spec.label_col, *within], ["__h", spec.id_col], rank_col="__rn", count_col="__ns",
                         hash_ordered=True)
     q = F.floor(F.col("__need") / F.col("__ns"))
     r = F.col("__need") % F.col("__ns")
@@ -88,11 +90,13 @@ def oversample_random(df: DataFrame, spec: Spec, seed: int = 42) -> DataFrame:
 
 def _interpolate(copies: DataFrame, knn: DataFrame, base: DataFrame, spec: Spec, k: int,
                  seed: int, avail_col: str) -> DataFrame:
-    """x + u·(neighbour − x) with neighbour = the pick-th of the seed's k nearest."""
+    """x + u·(neighbour − x) with neighbour = the pick-th of the seed's k nearest; a column
+    ``__dir`` of the copies scales the step (negative: away from the neighbour)."""
+    step = F.col("__dir") if "__dir" in copies.columns else F.lit(1.0)
     key = F.concat(c(spec.id_col).cast("string"), F.lit("|"), F.col("copy").cast("string"))
     picks = copies.withColumn("__pick", (F.floor(hash_uniform(key, seed, "nn") * F.least(F.lit(k), F.col(avail_col)))
                                          + 1).cast("bigint")) \
-                  .withColumn("__gap", hash_uniform(key, seed, "gap"))
+                  .withColumn("__gap", hash_uniform(key, seed, "gap") * step)
     nn = knn.select(F.col("probe_id").alias("__sid"), F.col("nn_rank").alias("__pick"), F.col("base_id").alias("__nid"))
     j = picks.join(nn, (picks[spec.id_col].cast("string") == nn["__sid"]) & (picks["__pick"] == nn["__pick"]), "left") \
              .drop(nn["__pick"])
@@ -112,7 +116,12 @@ def smote(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, partition_cols:
     # the minority rows are read by the dealing, both kNN sides and the neighbour lookup:
     # materialise them once instead of re-reading the input each time
     cls = cut_lineage(df.join(needs.select(lab, "__n", "__need"), on=lab).filter(F.col("__need") > 0))
-    seed_rows = cls if seeds is None else cls.join(seeds.select(c(spec.id_col)), on=spec.id_col, how="left_semi")
+    if seeds is None:
+        seed_rows = cls
+    elif "__dir" in seeds.columns:
+        seed_rows = cls.join(seeds.select(c(spec.id_col), "__dir"), on=spec.id_col)
+    else:
+        seed_rows = cls.join(seeds.select(c(spec.id_col)), on=spec.id_col, how="left_semi")
     dealt = _deal(seed_rows, spec, seed, salt)
     knn = knn_join(cls, cls, k, spec.feats, id_col=spec.id_col, partition_cols=[lab, *partition_cols],
                    exclude_self=True, **knn_kw)
@@ -179,49 +188,129 @@ def adasyn(df: DataFrame, spec: Spec, k: int = 3, seed: int = 42, **knn_kw) -> D
     return _finish(df, syn, spec)
 
 
-def svm_smote(df: DataFrame, spec: Spec, k: int = 3, m: int = 5, seed: int = 42, **knn_kw) -> DataFrame:
-    """Seeds are the minority support vectors of a linear SVM (one-vs-rest, margin ≤ 1)
-    that are not noise (not all m nearest rows of another class).  A linear kernel
-    replaces the RBF kernel of the usual method — a stated deviation."""
+def fourier_features(df: DataFrame, feats: Sequence[str], dims: int = 256, gamma: float | None = None,
+                     seed: int = 42, out: str = "__v") -> DataFrame:
+    """Random Fourier features: ``dims`` cosines whose inner products approach the RBF kernel
+    exp(−γ·|x − y|²), each with a standard error of at most 1 / sqrt(dims).  γ defaults to
+    1 / (features · variance of all cells).  The projection (features × dims numbers) is drawn
+    on the driver; rows are mapped in Arrow batches.  NULL cells count as 0."""
+    from pyspark.ml.functions import array_to_vector
+    feats = list(feats)
+    if gamma is None:
+        row = df.agg(*[F.avg(c(x)).alias(f"m{i}") for i, x in enumerate(feats)],
+                     *[F.var_pop(c(x)).alias(f"v{i}") for i, x in enumerate(feats)]).collect()[0]
+        mean = [row[f"m{i}"] or 0.0 for i in range(len(feats))]
+        square = sum((row[f"v{i}"] or 0.0) + m * m for i, m in enumerate(mean)) / len(feats)
+        var = square - (sum(mean) / len(feats)) ** 2
+        gamma = 1.0 / (len(feats) * var) if var > 0 else 1.0
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(feats), dims))
+    b = rng.uniform(0.0, 2.0 * np.pi, dims)
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        z = np.stack(x.to_numpy()) @ w + b if len(x) else np.empty((0, dims))
+        return pd.Series(list(np.cos(z) * np.sqrt(2.0 / dims)))
+
+    cells = F.array(*[F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in feats])
+    return df.withColumn(out, array_to_vector(mapped(cells)))
+
+
+def rbf_margins(vec: DataFrame, label_col: str, cl, rows: int, cost: float = 1.0) -> DataFrame:
+    """``vec`` (with ``fourier_features``) plus ``__margin``: the one-vs-rest SVM's decision value
+    for class ``cl`` (hinge loss summed with weight ``cost`` against half the squared norm)."""
     from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
+    data = vec.withColumn("__y", c(label_col).eqNullSafe(F.lit(cl)).cast("double"))
+    model = LinearSVC(featuresCol="__v", labelCol="__y", maxIter=100, regParam=1.0 / (cost * max(1, rows)),
+                      standardization=False).fit(data)
+    return model.transform(data).withColumn("__margin", vector_to_array("rawPrediction")[1]) \
+        .drop("rawPrediction", "prediction")
+
+
+def svm_smote(df: DataFrame, spec: Spec, k: int = 3, m: int = 5, seed: int = 42, dims: int = 256,
+              out_step: float = 0.5, **knn_kw) -> DataFrame:
+    """Seeds are the minority support vectors (margin at most 1) of one-vs-rest SVMs with an
+    RBF kernel, taken by random Fourier features, that are not noise (not all m nearest rows
+    of another class).  A seed in danger (at least half of them of another class) moves
+    towards a neighbour of its class; a safe one moves away from it, up to ``out_step`` times
+    the distance.  A class without such seeds gets no rows."""
+    from tidewell.operators.models import parallel_map
     lab = spec.label_col
     needs = _class_needs(df, lab)
-    minority = [r[lab] for r in needs.filter(F.col("__need") > 0).select(lab).collect()]  # one row per class
-    va = VectorAssembler(inputCols=list(spec.feats), outputCol="__v", handleInvalid="keep")
-    vec = va.transform(df)
-    from tidewell.operators.models import parallel_map
+    table = needs.select(lab, "__n", "__need").collect()  # one row per class
+    minority, rows = [r[lab] for r in table if r["__need"] > 0], sum(r["__n"] for r in table)
+    if not minority:
+        return _finish(df, df.limit(0), spec)
+    vec = cut_lineage(fourier_features(df, spec.feats, dims, seed=seed).select(c(spec.id_col), c(lab), "__v"))
 
     def support_vectors(cl):
-        # one-vs-rest linear SVM per minority class; the class's rows within the margin
-        data = vec.withColumn("__y", (c(lab) == F.lit(cl)).cast("double"))
-        model = LinearSVC(featuresCol="__v", labelCol="__y", maxIter=50, regParam=0.01).fit(data)
-        scored = model.transform(data.filter(c(lab) == F.lit(cl)))
-        return scored.filter(F.abs(vector_to_array("rawPrediction")[1]) <= 1.0).select(c(spec.id_col))
+        own = rbf_margins(vec, lab, cl, rows).filter(c(lab).eqNullSafe(F.lit(cl)))
+        return own.filter(F.col("__margin") <= 1.0).select(c(spec.id_col))
+
     svs = None
-    for s in parallel_map(support_vectors, minority):
-        svs = s if svs is None else svs.unionByName(s)
-    if svs is None:
-        return _finish(df, df.limit(0), spec)
+    for found in parallel_map(support_vectors, minority):
+        svs = found if svs is None else svs.unionByName(found)
     probes = df.join(svs, on=spec.id_col, how="left_semi")
     share = _other_class_share(df, probes, spec, m, **knn_kw)
-    keep = share.filter(F.col("n_other") < F.col("n_nn")).select(F.col("probe_id").alias(spec.id_col))
-    return smote(df, spec, k, seed, seeds=keep, salt="svm", **knn_kw)
-
-
-def kmeans_smote(df: DataFrame, spec: Spec, k: int = 3, n_clusters: int = 1, seed: int = 42, **knn_kw) -> DataFrame:
-    """Clusters by ``pyspark.ml`` KMeans (one cluster by default, as configured in the
-    source), then SMOTE with neighbours restricted to the row's cluster."""
-    if n_clusters <= 1:
-        return smote(df, spec, k, seed, salt="kmeans", **knn_kw)
+    seeds = share.filter(F.col("n_other") < F.col("n_nn")).select(
+        F.col("probe_id").alias(spec.id_col),
+        F.when(F.col("n_other") * 2 >= F.col("n_nn"), F.lit(1.0)).otherwise(F.lit(-out_step)).alias("__dir"))
+    return smote(df, spec, k, seed, seeds=seeds, salt="svm", **knn_kw)
+
+
+def cluster_needs(df: DataFrame, spec: Spec, cluster_col: str, threshold: float | None = None,
+                  exponent: float | None = None) -> DataFrame:
+    """(label, cluster, n, need): how the rows that a class lacks are shared out over its clusters.
+
+    A cluster takes part with at least two rows of the class that make up at least ``threshold``
+    of its rows (default: half the class's part of all rows lacking).  Its weight is
+    spread ** exponent / n, so that sparse clusters get more; spread is the root mean square
+    distance between its rows of the class, which variances give without pairs, and the
+    exponent defaults to 0.16 · log(n, base 1.6) ** 1.8.  Shares are whole parts plus largest
+    remainders (then the smallest cluster).  A class without such a cluster gets no rows."""
+    lab = spec.label_col
+    needs = _class_needs(df, lab)
+    every = Window.partitionBy()
+    per = df.groupBy(c(lab).alias(lab), c(cluster_col).alias(cluster_col)).agg(
+        F.count(F.lit(1)).alias("n"), sum(F.coalesce(F.var_samp(c(x)), F.lit(0.0)) for x in spec.feats).alias("__var"))
+    # from here on tables of classes x clusters rows
+    per = per.withColumn("__all", F.sum("n").over(Window.partitionBy(cluster_col)))
+    least = needs.select(lab, "__need", (F.col("__need") / F.sum("__need").over(every) / 2).alias("__least"))
+    limit = F.col("__least") if threshold is None else F.lit(float(threshold))
+    per = per.join(least, on=lab).filter((F.col("__need") > 0) & (F.col("n") >= 2) & (F.col("n") / F.col("__all") >= limit))
+    power = F.pow(F.log("n") / F.log(F.lit(1.6)), F.lit(1.8)) * 0.16 if exponent is None else F.lit(float(exponent))
+    label = Window.partitionBy(lab)
+    # weights by logarithms: a power of the spread may leave the range of doubles
+    per = per.withColumn("__lw", power * F.log(F.greatest(F.sqrt(2 * F.col("__var")), F.lit(1e-300))) - F.log("n"))
+    per = per.withColumn("__w", F.exp(F.col("__lw") - F.max("__lw").over(label)))
+    per = per.withColumn("__share", F.col("__need") * F.col("__w") / F.sum("__w").over(label))
+    per = per.withColumn("__whole", F.floor("__share"))
+    order = Window.partitionBy(lab).orderBy((F.col("__share") - F.col("__whole")).desc(), cluster_col)
+    left = F.col("__need") - F.sum("__whole").over(label)
+    return per.select(lab, cluster_col, "n", (F.col("__whole") + (F.row_number().over(order) <= left).cast("long")).alias("need"))
+
+
+def kmeans_smote(df: DataFrame, spec: Spec, k: int = 3, n_clusters: int = 1, seed: int = 42,
+                 threshold: float | None = None, exponent: float | None = None, **knn_kw) -> DataFrame:
+    """Clusters by ``pyspark.ml`` KMeans (one by default, as configured in the source); each
+    class's rows are shared out by ``cluster_needs`` and made by SMOTE inside the cluster."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(spec.feats), outputCol="__v")
-    model = KMeans(k=n_clusters, seed=seed, featuresCol="__v", predictionCol="__cluster").fit(va.transform(df))
-    clustered = model.transform(va.transform(df)).drop("__v")
-    out = smote(clustered, spec, k, seed, partition_cols=["__cluster"], salt="kmeans", **knn_kw)
-    return out
+    lab, cluster = spec.label_col, "__cluster"
+    # KMeans asks for two clusters at least; one cluster is every row
+    if n_clusters > 1:
+        vec = VectorAssembler(inputCols=list(spec.feats), outputCol="__v").transform(df)
+        clustered = KMeans(k=n_clusters, seed=seed, featuresCol="__v", predictionCol=cluster).fit(vec).transform(vec).drop("__v")
+    else:
+        clustered = df.withColumn(cluster, F.lit(0))
+    shares = small_side(cluster_needs(clustered, spec, cluster, threshold, exponent)
+                        .filter(F.col("need") > 0).withColumnsRenamed({"n": "__n", "need": "__need"}))
+    cls = cut_lineage(clustered.join(shares, on=[lab, cluster]))
+    dealt = _deal(cls, spec, seed, "kmeans", [cluster])
+    knn = knn_join(cls, cls, k, spec.feats, id_col=spec.id_col, partition_cols=[lab, cluster], exclude_self=True, **knn_kw)
+    copies = explode_count(dealt.withColumn("__avail", F.col("__n") - 1), "__cnt", "copy", key_col=spec.id_col)
+    return _finish(df, _interpolate(copies, knn, cls, spec, k, seed, "__avail"), spec)
 
 
 def oversample(df: DataFrame, spec: Spec, method: str = "smote", **kw) -> DataFrame:

@@ -7,6 +7,8 @@ probabilities do have one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.operators import distill as D
@@ -21,7 +23,7 @@ from tidewell.plans.fixtures import sql_hash
 from tidewell.plans.flagship import assembled
 from tidewell.plans.prepare import PrepConfig, prepare
 from tidewell.plans.registry import register, rounded
-from tidewell.session import cut_lineage
+from tidewell.session import cut_lineage, ensure_checkpoint_dir
 from tidewell.sources import runs as R
 from tidewell.sources import tables as S
 
@@ -220,11 +222,75 @@ def q_impute_forest(spark, sf):
     return rounded(impute_iterative(X.embn(spark, sf), X.EMB_SPEC, "randomforest", max_iter=2).select("id", *EMBF))
 
 
-@register("run_info")
+@register("run_info", X.with_ctes(["emb"], f"""
+SELECT 'All' AS subset, 'Emb' AS modality, 'Mouse' AS taxonomy, 'medium' AS preset,
+       count(*) FILTER (NOT held) AS train_rows, CAST({X.N_EMB + 2} AS BIGINT) AS train_cols,
+       count(*) FILTER (held) AS test_rows, CAST({X.N_EMB + 2} AS BIGINT) AS test_cols,
+       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (NOT held) AS train_labels,
+       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (held) AS test_labels FROM tagged""", [
+    f"""tagged AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('id')}, id)
+             <= round_even(count(*) OVER (PARTITION BY label) * 0.2, 0) AS held FROM emb)"""]))
 def q_run_info(spark, sf):
-    """One-row description of a prepared run."""
+    """One-row description of a prepared run (label lists joined by commas)."""
     train, test = emb_split(spark, sf)
-    return R.run_info(spark, "All", "Emb", "Mouse", "medium", train, test)
+    out = R.run_info(spark, "All", "Emb", "Mouse", "medium", train, test)
+    return rounded(out.withColumns({x: F.array_join(x, ",") for x in ("train_labels", "test_labels")}))
+
+
+@register("importance_statistics", X.with_ctes([], """
+SELECT feature, round(importance, 6) AS importance, round(stddev, 6) AS stddev,
+       round(0.5 - sin(a) * (1 + pow(cos(a), 2) / 2 + 3 * pow(cos(a), 4) / 8) / 2, 6) AS p_value, n,
+       round(importance + 3.7074280213 * stddev / sqrt(7), 6) AS p99_high,
+       round(importance - 3.7074280213 * stddev / sqrt(7), 6) AS p99_low
+FROM (SELECT *, atan(importance / (stddev / sqrt(7)) / sqrt(6)) AS a FROM (
+  SELECT feature, avg(0.05 - score) AS importance, stddev_samp(0.05 - score) AS stddev, count(*) AS n FROM (
+    SELECT concat(l_returnflag, l_linestatus) AS feature, l_linenumber, avg(CAST(l_discount AS DOUBLE)) AS score
+    FROM lineitem GROUP BY 1, 2) s GROUP BY feature) m) t"""))
+def q_importance_statistics(spark, sf):
+    """E9 on given scores: the mean discount by return flag and line status (feature) and line number (seven shuffles);
+    the SQL has the closed form of Student's t for six degrees of freedom."""
+    scores = X.read(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("feature"), "l_linenumber").agg(
+        F.avg(F.col("l_discount").cast("double")).alias("score"))
+    return rounded(IMP.importance_stats(scores, 0.05))
+
+
+@register("write_table", X.with_ctes(["li"], "SELECT label, id, round(price, 6) AS price FROM li WHERE label = 'N'"))
+def q_write_table(spark, sf):
+    """A table written by class into the shared folder, one class read back (partition pruning)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewell-written-{uuid.uuid4().hex}"
+    S.write_table(X.li(spark, sf).select("id", "price", "label"), path, partition_by=["label"])
+    return rounded(spark.read.parquet(path).filter(F.col("label") == "N").select("label", "id", "price"))
+
+
+@register("load_or_build", X.with_ctes(["emb"], """
+SELECT id, label, CASE WHEN rn <= round_even(n * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM sp""", [
+    f"""sp AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('id')}, id) AS rn,
+             count(*) OVER (PARTITION BY label) AS n FROM emb)"""]))
+def q_load_or_build(spark, sf):
+    """Train and test tables built and saved by the first call, loaded by the second."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewell-built-{uuid.uuid4().hex}"
+    S.load_or_build(spark, f"{path}/train", f"{path}/test", lambda: emb_split(spark, sf))
+
+    def never():
+        raise RuntimeError("both tables were saved by the first call")
+    train, test = S.load_or_build(spark, f"{path}/train", f"{path}/test", never)
+    return (train.select("id", "label", F.lit("train").alias("split"))
+            .unionByName(test.select("id", "label", F.lit("test").alias("split"))))
+
+
+@register("sweep_resumed", X.with_ctes(["li"], " UNION ALL ".join(
+    f"SELECT label, count(*) AS n, '{m}' AS min_rows, '{q}' AS tax FROM li WHERE tax >= {q} AND label IS NOT NULL "
+    f"GROUP BY label HAVING count(*) >= {m}" for m in (1, 100) for q in (0.02, 0.05))))
+def q_sweep_resumed(spark, sf):
+    """A sweep of class counts that stopped after half its grid, resumed over the whole grid."""
+    from tidewell.operators import stats as G
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewell-sweep-{uuid.uuid4().hex}"
+
+    def cell(min_rows, tax):
+        rows = X.li(spark, sf).filter(F.col("tax") >= tax)
+        return G.class_counts(G.filter_min_class(rows, "label", min_rows))
+    TS.sweep({"min_rows": [1], "tax": [0.02, 0.05]}, cell, path, spark)
+    return TS.sweep({"min_rows": [1, 100], "tax": [0.02, 0.05]}, cell, path, spark)
 
 
 @register("list_datasets")

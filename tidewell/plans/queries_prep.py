@@ -305,9 +305,33 @@ def q_kmeans_smote(spark, sf):
     return _ov_out(O.kmeans_smote(X.emb(spark, sf), X.EMB_SPEC, 3, 2, 42))
 
 
+def _cluster_needs_sql() -> str:
+    spread = " + ".join(f"coalesce(var_samp({f}), 0)" for f in EMBF)
+    return X.with_ctes(["emb"], """
+SELECT label, CAST(cluster AS BIGINT) AS cluster, n, CAST(floor(share) + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY share - floor(share)
+  DESC, cluster) <= need - sum(floor(share)) OVER (PARTITION BY label) THEN 1 ELSE 0 END AS BIGINT) AS need
+FROM (SELECT *, need * exp(lw - top) / sum(exp(lw - top)) OVER (PARTITION BY label) AS share
+      FROM (SELECT *, max(lw) OVER (PARTITION BY label) AS top FROM weighed) w) t""", [
+        f"cl AS (SELECT label, CASE WHEN e0 > 0 THEN 1 ELSE 0 END AS cluster, count(*) AS n, {spread} AS v "
+        "FROM emb GROUP BY 1, 2)",
+        "sized AS (SELECT label, sum(n) AS c FROM cl GROUP BY label)",
+        "lack AS (SELECT label, (SELECT max(c) FROM sized) - c AS need FROM sized)",
+        "part AS (SELECT cl.*, lack.need, sum(n) OVER (PARTITION BY cluster) AS total, "
+        "(SELECT sum(need) FROM lack) AS lacking FROM cl JOIN lack ON cl.label = lack.label)",
+        "weighed AS (SELECT *, pow(ln(n) / ln(1.6), 1.8) * 0.16 * ln(greatest(sqrt(2 * v), 1e-300)) - ln(n) AS lw FROM part "
+        "WHERE need > 0 AND n >= 2 AND n / total >= need / lacking / 2)"])
+
+
+@register("kmeans_smote_shares", _cluster_needs_sql())
+def q_kmeans_shares(spark, sf):
+    """A class's lacking rows shared out over given clusters (the sign of one component)."""
+    given = X.emb(spark, sf).withColumn("cluster", F.when(F.col("e0") > 0, 1).otherwise(0))
+    return rounded(O.cluster_needs(given, X.EMB_SPEC, "cluster"))
+
+
 @register("svm_smote")
 def q_svm_smote(spark, sf):
-    """Seeds from linear-SVM support vectors."""
+    """Seeds from the support vectors of RBF machines; safe seeds extrapolate."""
     return _ov_out(O.svm_smote(X.emb(spark, sf), X.EMB_SPEC, 3, 5, 42))
 
 
