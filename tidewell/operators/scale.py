@@ -257,8 +257,9 @@ def _interp_sym_bucketed(x: Column, b: Column, q: list[float], r: list[float], u
     """0.5·(forward + backward) np.interp of x over (q, r), given the bucket b of x among the
     distinct points (b = 0: below the first; b = t+1: uniq[t] ≤ x < uniq[t+1])."""
     m = len(q)
-    arr = lambda vals: F.array(*[F.lit(float(v)) for v in vals])
-    iarr = lambda vals: F.array(*[F.lit(int(v)) for v in vals])
+    # one text per array, folded to one literal: the plan does not grow with the number of points
+    arr = lambda vals: F.split(F.lit(",".join(repr(float(v)) for v in vals)), ",").cast("array<double>")
+    iarr = lambda vals: F.split(F.lit(",".join(str(int(v)) for v in vals)), ",").cast("array<int>")
     q_arr, r_arr, u_arr = arr(q), arr(r), arr(uniq)
     f_arr, l_arr = iarr(first), iarr(last)
     # forward: k = #points ≤ x

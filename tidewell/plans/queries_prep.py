@@ -156,14 +156,31 @@ def q_power(spark, sf):
     return rounded(out.select("id", "label", *LIF))
 
 
-_QT_SQL = X.with_ctes(["emb"], "SELECT id, label, round(max(CASE WHEN f = 'e0' THEN v END), 6) AS e0, round(max(CASE WHEN f = 'e1' THEN v END), 6) AS e1, round(max(CASE WHEN f = 'e2' THEN v END), 6) AS e2, round(max(CASE WHEN f = 'e3' THEN v END), 6) AS e3 FROM tv GROUP BY id, label", ["pts AS (SELECT 'e0' AS f, unnest(range(100)) AS j, unnest(quantile_cont(e0, [0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00])) AS q, unnest([0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00]) AS r FROM emb UNION ALL SELECT 'e1' AS f, unnest(range(100)) AS j, unnest(quantile_cont(e1, [0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00])) AS q, unnest([0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00]) AS r FROM emb UNION ALL SELECT 'e2' AS f, unnest(range(100)) AS j, unnest(quantile_cont(e2, [0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00])) AS q, unnest([0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00]) AS r FROM emb UNION ALL SELECT 'e3' AS f, unnest(range(100)) AS j, unnest(quantile_cont(e3, [0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00])) AS q, unnest([0.00000000000000000e+00, 1.01010101010101019e-02, 2.02020202020202037e-02, 3.03030303030303039e-02, 4.04040404040404075e-02, 5.05050505050505041e-02, 6.06060606060606077e-02, 7.07070707070707044e-02, 8.08080808080808149e-02, 9.09090909090909116e-02, 1.01010101010101008e-01, 1.11111111111111105e-01, 1.21212121212121215e-01, 1.31313131313131326e-01, 1.41414141414141409e-01, 1.51515151515151519e-01, 1.61616161616161630e-01, 1.71717171717171713e-01, 1.81818181818181823e-01, 1.91919191919191906e-01, 2.02020202020202017e-01, 2.12121212121212127e-01, 2.22222222222222210e-01, 2.32323232323232320e-01, 2.42424242424242431e-01, 2.52525252525252542e-01, 2.62626262626262652e-01, 2.72727272727272707e-01, 2.82828282828282818e-01, 2.92929292929292928e-01, 3.03030303030303039e-01, 3.13131313131313149e-01, 3.23232323232323260e-01, 3.33333333333333315e-01, 3.43434343434343425e-01, 3.53535353535353536e-01, 3.63636363636363646e-01, 3.73737373737373757e-01, 3.83838383838383812e-01, 3.93939393939393923e-01, 4.04040404040404033e-01, 4.14141414141414144e-01, 4.24242424242424254e-01, 4.34343434343434365e-01, 4.44444444444444420e-01, 4.54545454545454530e-01, 4.64646464646464641e-01, 4.74747474747474751e-01, 4.84848484848484862e-01, 4.94949494949494972e-01, 5.05050505050505083e-01, 5.15151515151515138e-01, 5.25252525252525304e-01, 5.35353535353535359e-01, 5.45454545454545414e-01, 5.55555555555555580e-01, 5.65656565656565635e-01, 5.75757575757575801e-01, 5.85858585858585856e-01, 5.95959595959595911e-01, 6.06060606060606077e-01, 6.16161616161616132e-01, 6.26262626262626299e-01, 6.36363636363636354e-01, 6.46464646464646520e-01, 6.56565656565656575e-01, 6.66666666666666630e-01, 6.76767676767676796e-01, 6.86868686868686851e-01, 6.96969696969697017e-01, 7.07070707070707072e-01, 7.17171717171717127e-01, 7.27272727272727293e-01, 7.37373737373737348e-01, 7.47474747474747514e-01, 7.57575757575757569e-01, 7.67676767676767624e-01, 7.77777777777777790e-01, 7.87878787878787845e-01, 7.97979797979798011e-01, 8.08080808080808066e-01, 8.18181818181818232e-01, 8.28282828282828287e-01, 8.38383838383838342e-01, 8.48484848484848508e-01, 8.58585858585858563e-01, 8.68686868686868729e-01, 8.78787878787878785e-01, 8.88888888888888840e-01, 8.98989898989899006e-01, 9.09090909090909061e-01, 9.19191919191919227e-01, 9.29292929292929282e-01, 9.39393939393939448e-01, 9.49494949494949503e-01, 9.59595959595959558e-01, 9.69696969696969724e-01, 9.79797979797979779e-01, 9.89898989898989945e-01, 1.00000000000000000e+00]) AS r FROM emb)", "vals AS (SELECT id, label, 'e0' AS f, e0 AS x FROM emb UNION ALL SELECT id, label, 'e1' AS f, e1 AS x FROM emb UNION ALL SELECT id, label, 'e2' AS f, e2 AS x FROM emb UNION ALL SELECT id, label, 'e3' AS f, e3 AS x FROM emb)", 'kk AS (SELECT v.*, (SELECT count(*) FROM pts p WHERE p.f = v.f AND p.q <= v.x) AS k, (SELECT count(*) FROM pts p WHERE p.f = v.f AND p.q >= v.x) AS kb FROM vals v)', 'tv AS (SELECT kk.id, kk.label, kk.f, 0.5 * ((CASE WHEN kk.k = 0 THEN 0.0 WHEN kk.k >= 100 THEN 1.0 ELSE a.r + (kk.x - a.q) * (b.r - a.r) / (b.q - a.q) END) + (-(CASE WHEN kk.kb = 0 THEN -1.0 WHEN kk.kb >= 100 THEN -0.0 ELSE (-a2.r) + ((-kk.x) - (-a2.q)) * ((-b2.r) - (-a2.r)) / ((-b2.q) - (-a2.q)) END))) AS v FROM kk LEFT JOIN pts a ON a.f = kk.f AND a.j = kk.k - 1 LEFT JOIN pts b ON b.f = kk.f AND b.j = kk.k LEFT JOIN pts a2 ON a2.f = kk.f AND a2.j = 100 - kk.kb LEFT JOIN pts b2 ON b2.f = kk.f AND b2.j = 100 - kk.kb - 1)'])
-
-
-@register("scale_quantile", _QT_SQL)
+def _quantile_sql(points: int = 1000) -> str:
+    back = ", ".join(f"round(max(CASE WHEN f = '{x}' THEN v END), 6) AS {x}" for x in EMBF)
+    return X.with_ctes(["emb"], f"SELECT id, label, {back} FROM tv GROUP BY id, label", [
+        f"vals AS (SELECT id, label, f, x FROM (UNPIVOT emb ON {', '.join(EMBF)} INTO NAME f VALUE x))",
+        "ranked AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS rn FROM vals)",
+        f"mm AS (SELECT least({points}, count(*)) AS m, count(*) AS n FROM emb)",
+        "pos AS (SELECT f, j, j / (m - 1) AS r, j / (m - 1) * (n - 1) AS h "
+        f"FROM (SELECT DISTINCT f FROM vals) d, mm, range({points}) t(j) WHERE j < m)",
+        "pts AS (SELECT pos.f, j, r, a.x + (h - floor(h)) * (b.x - a.x) AS q FROM pos "
+        "JOIN ranked a ON a.f = pos.f AND a.rn = CAST(floor(h) AS BIGINT) "
+        "JOIN ranked b ON b.f = pos.f AND b.rn = CAST(ceil(h) AS BIGINT))",
+        "kk AS (SELECT v.*, mm.m, (SELECT count(*) FROM pts p WHERE p.f = v.f AND p.q <= v.x) AS k, "
+        "(SELECT count(*) FROM pts p WHERE p.f = v.f AND p.q >= v.x) AS kb FROM vals v, mm)",
+        """tv AS (SELECT kk.id, kk.label, kk.f, 0.5 * (
+  (CASE WHEN k = 0 THEN 0.0 WHEN k >= m THEN 1.0 ELSE a.r + (kk.x - a.q) * (b.r - a.r) / (b.q - a.q) END)
+  + (CASE WHEN kb = 0 THEN 1.0 WHEN kb >= m THEN 0.0 ELSE a2.r + (kk.x - a2.q) * (b2.r - a2.r) / (b2.q - a2.q) END)) AS v
+FROM kk LEFT JOIN pts a ON a.f = kk.f AND a.j = k - 1 LEFT JOIN pts b ON b.f = kk.f AND b.j = k
+LEFT JOIN pts a2 ON a2.f = kk.f AND a2.j = m - kb LEFT JOIN pts b2 ON b2.f = kk.f AND b2.j = m - kb - 1)"""])
+
+
+@register("scale_quantile", _quantile_sql())
 def q_quantile(spark, sf):
-    """Quantile transform to uniform with 100 reference points (symmetric interpolation)."""
-    out, _ = N.scale(X.emb(spark, sf), EMBF[:4], "quantile", n_quantiles=100)
-    return rounded(out.select("id", "label", *EMBF[:4]))
+    """Quantile transform to uniform with at most 1,000 reference points (symmetric interpolation)."""
+    out, _ = N.scale(X.emb(spark, sf), EMBF, "quantile", n_quantiles=1000)
+    return rounded(out.select("id", "label", *EMBF))
 
 
 # ------------------------------------------------------------------ imputation
