@@ -217,9 +217,9 @@ def q_spunge(spark, sf):
 
 @register("impute_forest")
 def q_impute_forest(spark, sf):
-    """Chained random-forest imputation (2 rounds) of the embedding NULLs."""
+    """Chained random-forest imputation (10 rounds) of the embedding NULLs."""
     from tidewell.operators.impute import impute_iterative
-    return rounded(impute_iterative(X.embn(spark, sf), X.EMB_SPEC, "randomforest", max_iter=2).select("id", *EMBF))
+    return rounded(impute_iterative(X.embn(spark, sf), X.EMB_SPEC, "randomforest", max_iter=10).select("id", *EMBF))
 
 
 @register("run_info", X.with_ctes(["emb"], f"""
@@ -339,9 +339,9 @@ def q_prepared(spark, sf):
 
 @register("impute_tree")
 def q_impute_tree(spark, sf):
-    """I4: chained single-tree imputation (sqrt feature subsets, 2 rounds) of the embedding NULLs."""
+    """I4: chained single-tree imputation (sqrt feature subsets, 10 rounds) of the embedding NULLs."""
     from tidewell.operators.impute import impute_iterative
-    return rounded(impute_iterative(X.embn(spark, sf), X.EMB_SPEC, "decisiontree", max_iter=2).select("id", *EMBF))
+    return rounded(impute_iterative(X.embn(spark, sf), X.EMB_SPEC, "decisiontree", max_iter=10).select("id", *EMBF))
 
 
 @register("student_baseline")
