@@ -15,3 +15,10 @@ def spark():
     s = local_session(shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def _no_tables_cached_for_other_modules(spark):
+    """Tables that a module's fixtures cached go with the module."""
+    yield
+    spark.catalog.clearCache()
