@@ -110,7 +110,9 @@ def permuted_scores(m: M.Trained, df: DataFrame, spec: Spec, features: list[str]
     ex = ex.withColumn("__src", F.pmod(F.col("__rn") + shift.cast("bigint"), F.col("__n")))
     donor = numbered.select(F.col("__rn").alias("__src"), F.struct(*[c(f).alias(f"v{i}") for i, f in enumerate(feats)])
                             .alias("__vals"))
-    j = ex.join(donor, "__src").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feats])))
+    # a row becomes one per feature: spread before that, as the join's few bytes would end in few tasks
+    sc = df.sparkSession.sparkContext
+    j = ex.join(donor, "__src").repartition(4 * sc.defaultParallelism, "__rn", "shuffle").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feats])))
     swapped = j.withColumns({f: F.when(F.col("feature") == F.lit(f), F.col("__vals")[f"v{i}"]).otherwise(c(f))
                              for i, f in enumerate(feats)})
     swapped = swapped.withColumn(spec.id_col, F.concat_ws("|", c(spec.id_col), F.col("feature"),
