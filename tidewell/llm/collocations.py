@@ -182,8 +182,9 @@ def active_phrases(ids: np.ndarray, words: pa.Array, end: int, lang: str, step:
         table = slots[length - 1]
         reached = table[_slot(h, lang)]
         reached[~inside] = _NEVER
-        start = np.maximum(reached[:-1], reached[1:]).astype(np.int64) + 1
+        start = np.maximum(reached[:-1], reached[1:]).astype(np.int16) + 1
         at = np.flatnonzero((start <= step) & (step < start + shards))
+        del reached, start
         inside = inside[:-1] & inside[1:]
         h = _joined_hash(h[:-1], word[length - 1:])
         code = ids[at]
@@ -193,6 +194,7 @@ def active_phrases(ids: np.ndarray, words: pa.Array, end: int, lang: str, step:
             code = code * len(words) + ids[at + k]
         _, first, n = np.unique(code, return_index=True, return_counts=True)
         at = at[first]
+        del code, first
         yield length, [ids[at + k] for k in range(length)], n, h[at]
 
 
@@ -207,6 +209,8 @@ def _scan(chunks: DataFrame, step: int, shards: int, longest: int, buckets: int,
                 if not buf.strip(b" "):
                     continue
                 ids, words, end = _words(buf)
+                del buf
+                pa.default_memory_pool().release_unused()
                 rows = [row for length, parts, n, h in active_phrases(ids, words, end if end >= 0 else None, lang, step, shards, longest, tables)
                         for row in _bucketed(lang, length, words, parts, n, h, buckets)]
                 if rows:
