@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: fixed value: the split pattern that the vocabulary file itself names is
@@ -149,3 +151,13 @@ def slices(texts, size: int = 1 << 21):
             at, held = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def text_slices(column: pa.Array, size: int = 1 << 21):
+    """(first, texts): the same ranges of a string column, as Python strings one range at a time."""
+    ends = np.cumsum(pc.utf8_length(column).fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        z = min(len(column), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1)
+        yield at, column[at:z].to_pylist()
+        at = z

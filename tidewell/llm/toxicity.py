@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.common import ROW, crc32_mod, materialise, packed, text_of, unpacked
-from tidewell.llm.tokenizing import slices
+from tidewell.llm.tokenizing import text_slices
 
 #: labelled rows used to fit trees and calibration, at most (chosen by a hash of the id); the
 #: largest entries kept; parts of the labelled rows, each read with the lexicon of the others
 FIT_ROWS = 16_000
 LEXICON = 20_000
 FOLDS = 5
-#: entries that a task counts before it hands them on
-ENTRIES = 400_000
+#: entries that a task counts before it hands them on, and words whose entries it keeps
+ENTRIES = 200_000
 #: slots of the table that tells which entries may be candidates (fixed size, one byte each)
 SLOTS = 1 << 22
 #: lengths of word beginnings that may be lexicon entries
@@ -79,6 +79,38 @@ class _Entries(dict):
         return out
 
 
+def count_entries(batches: Iterator[pa.RecordBatch], slots: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """What a task of ``entry_counts`` makes of its (text, fold) batches.  It holds the strings
+    of one slice of texts and one table."""
+    words, total = _Entries(slots), np.zeros(0, np.int64)
+
+    def flush():
+        cells = total[:len(words.ids) * FOLDS].reshape(-1, FOLDS)
+        at = np.flatnonzero(cells.any(axis=1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(words.ids), pa.string()).take(pa.array(at)), *[pa.array(cells[at, k]) for k in range(FOLDS)]],
+            names=["entry", *[f"n{k}" for k in range(FOLDS)]])
+
+    for batch in batches:
+        folds = batch.column(1).to_pylist()
+        for a, texts in text_slices(batch.column(0), 1 << 19):
+            found = []
+            for t, k in zip(texts, folds[a:]):
+                ids = {0}.union(*map(words.__getitem__, set(t.split())))
+                found.append(np.fromiter(ids, np.int64, len(ids)) * FOLDS + k)
+            at, n = np.unique(np.concatenate(found), return_counts=True)
+            if len(words.ids) * FOLDS > len(total):
+                total = np.r_[total, np.zeros(len(words.ids) * FOLDS * 2 - len(total), np.int64)]
+            total[at] += n
+            if len(words.ids) > ENTRIES:
+                yield flush()
+                words, total = _Entries(slots), np.zeros(0, np.int64)
+            elif len(words) > ENTRIES:  # most words have no entry among the slots
+                words.clear()
+    if total.any():
+        yield flush()
+
+
 def entry_counts(rows: DataFrame, slots: np.ndarray | None = None) -> DataFrame:
     """(entry, n, n0, n1, ...): how many texts of (text, fold) hold an entry, and how many of
     them are in each fold; the empty entry counts all texts.  With ``slots``, entries of other
@@ -86,31 +118,7 @@ def entry_counts(rows: DataFrame, slots: np.ndarray | None = None) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Entries(sent.value), np.zeros(0, np.int64)
-
-        def flush():
-            cells = total[:len(words.ids) * FOLDS].reshape(-1, FOLDS)
-            at = np.flatnonzero(cells.any(axis=1))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(words.ids), pa.string()).take(pa.array(at)), *[pa.array(cells[at, k]) for k in range(FOLDS)]],
-                names=["entry", *[f"n{k}" for k in range(FOLDS)]])
-
-        for batch in batches:
-            texts, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in slices(texts, 1 << 19):
-                found = []
-                for t, k in zip(texts[a:z], folds[a:z]):
-                    ids = {0}.union(*map(words.__getitem__, set(t.split())))
-                    found.append(np.fromiter(ids, np.int64, len(ids)) * FOLDS + k)
-                at, n = np.unique(np.concatenate(found), return_counts=True)
-                if len(words.ids) * FOLDS > len(total):
-                    total = np.r_[total, np.zeros(len(words.ids) * FOLDS * 2 - len(total), np.int64)]
-                total[at] += n
-                if len(words.ids) > ENTRIES or len(words) > ENTRIES:
-                    yield flush()
-                    words, total = _Entries(sent.value), np.zeros(0, np.int64)
-        if total.any():
-            yield flush()
+        return count_entries(batches, sent.value)
 
     folds = [f"n{k}" for k in range(FOLDS)]
     return (rows.select("text", F.col("fold").cast("int"))
@@ -244,11 +252,10 @@ def features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text",
             _words[key] = _Words(held.value)
         words = _words[key]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, z in slices(texts):
-                x = words.rows(texts[a:z])
+            for a, texts in text_slices(batch.column(1)):
+                x = words.rows(texts)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES)), pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), flat], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), flat], names=schema.names)
 
     return src.mapInArrow(run, schema).select(*unpacked(carry), "x")
 
