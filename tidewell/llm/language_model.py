@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialise, text_of
-from tidewell.llm.tokenizing import slices
+from tidewell.llm.tokenizing import text_slices
 
 HEAD, ENDINGS, CONTEXT, DIM = 451, 61, 3, 16
 KNOWN = 50_000
@@ -81,9 +81,8 @@ def word_counts(docs: DataFrame, text: Column) -> DataFrame:
             return out
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, z in slices(texts):
-                for t in texts[a:z]:
+            for _, texts in text_slices(batch.column(0)):
+                for t in texts:
                     held.update(words_of(t))
                 if len(held) > 400_000:
                     yield flush()
@@ -191,11 +190,12 @@ def new_scales(classes: int) -> list[np.ndarray]:
 def log_probabilities(p: Parameters, targets: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Normalised natural log-probabilities; each distinct context is normalised once."""
     base = len(p.q)
-    code = contexts[:, 0].astype(np.int64)
+    kind = np.int32 if base ** CONTEXT < 1 << 31 else np.int64
+    code = contexts[:, 0].astype(kind)
     for i in range(1, CONTEXT):
-        code = code * base + contexts[:, i]
-    _, first, back = np.unique(code, return_index=True, return_inverse=True)
-    h = contexts[first]
+        code = code * kind(base) + contexts[:, i].astype(kind)
+    codes, back = np.unique(code, return_inverse=True)
+    h = np.stack([codes // base ** i % base for i in range(CONTEXT - 1, -1, -1)], axis=1)
     v = sum((p.q * p.c[i])[h[:, i]] for i in range(CONTEXT))
     norm = np.empty(len(v), np.float32)
     wide = np.c_[v, np.ones(len(v), np.float32)]  # the bias is one more dimension
@@ -255,9 +255,8 @@ def _train(docs: DataFrame, text: Column, head: list[bytes], known: list[bytes],
         own = Parameters(p0.q.copy(), p0.r.copy(), p0.b.copy(), p0.c.copy())
         scale, classes, seen, rng = [s.copy() for s in scales0], _Classes(head, known), 0, np.random.default_rng(29)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, z in slices(texts):
-                streams = [np.fromiter(map(classes.__getitem__, words_of(t)), np.int64) for t in texts[a:z]]
+            for _, texts in text_slices(batch.column(0)):
+                streams = [np.fromiter(map(classes.__getitem__, words_of(t)), np.int64) for t in texts]
                 targets, contexts = examples(streams, len(share))
                 nce_pass(own, targets, contexts, share, rng, 0.1, scale)
                 seen += len(targets)
@@ -322,10 +321,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         size = np.log10(m.ending_tokens + m.ending_words + 1.0)
         whole = np.log10(m.tokens + m.distinct + 1.0)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            rid = batch.column(2).to_pylist()
-            for a, z in slices(texts, 1 << 22):  # longer slices share more contexts
-                split = [words_of(t) for t in texts[a:z]]
+            ids, rid = batch.column(0), batch.column(2).to_pylist()
+            for a, texts in text_slices(batch.column(1), 1 << 22):  # longer slices share more contexts
+                z, split = a + len(texts), [words_of(t) for t in texts]
                 n_tok = np.fromiter(map(len, split), np.int64, len(split))  # at least the end
                 start = np.cumsum(n_tok) - n_tok
                 nums = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(n_tok.sum()))
@@ -358,7 +356,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.monotonically_increasing_id().alias("rid"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, rid long, word binary, tf long, n_tokens long, n_known long, base double, score double"
     rows = src.mapInArrow(run, schema)
-    joined = rows.join(counts.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    # a shuffled hash join: a partition of the counts has each word once, while the words of all
+    # texts, far more rows, need no sort
+    joined = rows.join(counts.withColumnRenamed("word", "w").hint("shuffle_hash"), F.col("word") == F.col("w"), "left")
     add = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
     seen = F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)
     return (joined.groupBy("rid").agg(
