@@ -48,6 +48,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _outside(text: str) -> bool:
+    """Whether ``OUTSIDE`` meets the text; one of single-byte characters needs no pattern."""
+    if text.isascii():
+        return False
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return OUTSIDE.search(text) is not None
+    return b"\x85" in raw or b"\xa0" in raw
+
+
 class _Runs(dict):
     """Run → its number; ``new`` lists those without ids yet, in the order of their numbers."""
 
@@ -104,7 +115,7 @@ class Encoder:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def _cut(self, text: str) -> list[str]:
-        if text.isascii() or not OUTSIDE.search(text):
+        if not _outside(text):
             return LATIN_PIECE.findall(text.lower())
         out = []
         for chunk in SPACE.split(text):

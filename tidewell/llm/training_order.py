@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialise, text_of
-from tidewell.llm.tokenizing import default_vocabulary, encoder, slices
+from tidewell.llm.tokenizing import default_vocabulary, encoder, text_slices
 
 LENGTH, END_ID, PAD_ID = 2048, 1, 0
 PER_SHARD = 2048
@@ -108,9 +108,9 @@ def token_sequences(docs: DataFrame, text_col: str = "text", length: int = LENGT
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, texts = batch.column(0)[0].as_py(), batch.column(1).to_pylist()
-            for a, z in slices(texts):
-                ids = np.frombuffer(end.join(enc.encode_many(texts[a:z])) + end, "<u4").astype(kind)
+            part = batch.column(0)[0].as_py()
+            for _, texts in text_slices(batch.column(1)):
+                ids = np.frombuffer(end.join(enc.encode_many(texts)) + end, "<u4").astype(kind)
                 open_ids = np.concatenate([open_ids, ids])
                 full = len(open_ids) // length
                 if full:
@@ -156,8 +156,9 @@ def write_training_order(docs: DataFrame, path: str, text_col: str = "text", len
 
     placed = made.select("n_tokens", "ids", place("part", "at").alias("r")).select("n_tokens", "ids", "r.*")
     shards = max(1, -(-count // per_shard))
+    # a shard's number is its partition's: no pass over all slots to find bounds for a range
     (placed.withColumn("shard", (F.col("slot") / per_shard).cast("long"))
-     .repartitionByRange(shards, "shard")
+     .repartitionById(shards, F.col("shard").cast("int"))
      .select("shard", "slot", record("number", "n_tokens", "ids").cast("string").alias("value"))
      .sortWithinPartitions("shard", "slot").select("shard", "value")
      .write.partitionBy("shard").option("lineSep", "\n").text(path))
